@@ -1,16 +1,16 @@
 """Rule-based quality filter whose cutoffs carry a statistical guarantee.
 
 Every document gets counts of words, symbols, repeated lines and repeated three-word windows. A base rule
-rejects the very short and the mostly repeated. Beyond that, per length stratum and rule, a cutoff is taken
-from labelled documents: for a cutoff with k of n good documents beyond it, the exact binomial probability
-P(Bin(n, a) <= k) is the p-value of "the cutoff falsely rejects more than a share a". Cutoffs are tested from
-the loosest to the strictest and testing stops at the first that fails (a fixed sequence needs no correction
-inside it); across strata and rules the level is divided (Bonferroni). The allowed share `max_false_reject` of
-a stratum is divided over the rules, so that their union keeps within it. Of the certified cutoffs the one that
-best separates bad from good is used; a stratum or rule that can't be certified rejects nothing.
+rejects the very short and the mostly repeated. Beyond that every rule has a ladder of cutoffs; a document's
+severity is the highest rung that one of its measures passes. Per length stratum the rung from which documents
+are rejected is taken from labelled documents: for a rung with k of n good documents on it or above, the exact
+binomial probability P(Bin(n, a) <= k) is the p-value of "this rung falsely rejects more than a share a". Rungs
+are tested from the loosest to the strictest and testing stops at the first that fails (a fixed sequence needs
+no correction inside it); across strata the level is divided (Bonferroni). Of the certified rungs the one that
+best separates bad from good is used; a stratum in which none can be certified rejects nothing.
 
-Everything here is DataFrame functions: per-row array functions for the counts, no shuffle of texts; only the
-per-stratum histogram of the labelled rows is shuffled.
+Everything here is DataFrame functions: per-row array functions for the counts, no shuffle of texts; only
+measures of labelled rows and a histogram per stratum are shuffled.
 
 Defined results: a null text counts as empty (all counts 0, base_failed). Rows are judged one by one, so repeated
 rows, ties and repeated ids give equal verdicts. Without labels only the base rule rejects. Columns of the input
@@ -37,9 +37,9 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 class Rules:
     """max_false_reject: share of good documents of a stratum that may be rejected; delta: risk that this fails.
 
-    bands: lower word counts of the length strata. cutoffs: rule -> cutoffs from strict to loose; a document
-    whose measure lies above the cutoff is rejected. good_weight: a rejected share of good documents weighs so
-    many times a rejected share of bad ones when one of the certified cutoffs is picked.
+    bands: lower word counts of the length strata. cutoffs: per rule a ladder from strict to loose, all of one
+    length. good_weight: a rejected share of good documents weighs so many times a rejected share of bad ones
+    when one of the certified rungs is picked.
     """
 
     max_false_reject: float = 0.01
@@ -47,10 +47,10 @@ class Rules:
     bands: tuple[int, ...] = (0, 250, 700)
     good_weight: float = 20.0
     cutoffs: tuple[tuple[str, tuple[float, ...]], ...] = (
-        ("symbols", (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 2.0)),
-        ("dup_lines", (0.05, 0.1, 0.2, 0.3, 0.5, 0.7)),
-        ("repeats", (0.02, 0.05, 0.1, 0.2, 0.3, 0.4)),
-        ("capitals", (0.1, 0.2, 0.3, 0.5, 0.7, 0.9)),
+        ("symbols", (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0)),
+        ("dup_lines", (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)),
+        ("repeats", (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4)),
+        ("capitals", (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)),
     )
 
 
@@ -102,7 +102,7 @@ def with_scores(df: DataFrame, rules: Rules) -> DataFrame:
     share = lambda a, b: F.coalesce(F.try_divide(F.col(P + a).cast("double"), F.col(P + b)), F.lit(0.0))
     words = F.col(P + "n_words")
     stratum = reduce(lambda acc, i: F.when(words >= rules.bands[i], i).otherwise(acc), range(1, len(rules.bands)), F.lit(0))
-    return df.withColumns(
+    df = df.withColumns(
         {
             P + "base_failed": (words < 50) | (100 * F.col(P + "n_repeat_words") > 50 * words),
             P + "stratum": stratum.cast("int"),
@@ -112,6 +112,8 @@ def with_scores(df: DataFrame, rules: Rules) -> DataFrame:
             P + "capitals": share("n_capitals", "word_chars"),
         }
     )
+    rungs = [reduce(lambda a, b: a + b, [(F.col(P + k) > F.lit(float(c))).cast("int") for c in cuts]) for k, cuts in rules.cutoffs]
+    return df.withColumn(P + "severity", F.greatest(*rungs, F.lit(0)))
 
 
 def binomial_tail(n, k, share: float):
@@ -126,44 +128,33 @@ def binomial_tail(n, k, share: float):
     )
 
 
-def certified_cutoffs(labelled: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row per stratum: the certified cutoff of each rule, or null. labelled: with_scores() and `__qr_quality`."""
-    names = [k for k, _ in rules.cutoffs]
-    per_rule = rules.max_false_reject / len(names)
-    level = rules.delta / (len(names) * len(rules.bands))
-    stacked = labelled.where(~F.col(P + "base_failed")).select(
-        P + "stratum",
-        F.col(P + "quality").alias("good"),
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(k).alias("rule"), F.array(*[F.lit(float(c)) for c in cuts]).alias("cuts"), F.col(P + k).alias("value"))
-                    for k, cuts in rules.cutoffs
-                ]
-            )
-        ).alias("r"),
+def certified_rungs(labelled: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """(stratum, rung) for the strata in which a rung is certified. labelled: with_scores() and `__qr_quality`."""
+    level = rules.delta / len(rules.bands)
+    top = len(rules.cutoffs[0][1])
+    counts = (
+        labelled.where(~F.col(P + "base_failed"))
+        .groupBy(P + "stratum", P + "severity")
+        .agg(F.sum(P + "quality").alias("g"), F.sum(1 - F.col(P + "quality")).alias("b"))
     )
-    beyond = stacked.select(P + "stratum", "good", F.col("r.rule").alias("rule"), F.expr("size(filter(r.cuts, c -> c < r.value))").alias("beyond"), F.col("r.cuts").alias("cuts"))
-    counts = beyond.groupBy(P + "stratum", "rule", "cuts", "beyond").agg(F.sum("good").alias("g"), F.sum(1 - F.col("good")).alias("b"))
     per = (
-        counts.groupBy(P + "stratum", "rule", "cuts")
-        .agg(F.collect_list(F.struct("beyond", "g", "b")).alias("h"), F.sum("g").cast("long").alias("n"), F.sum("b").cast("long").alias("m"))
-        .select(P + "stratum", "rule", "n", "m", "h", F.posexplode("cuts").alias("i", "cut"))
-        .withColumn("k", F.expr("aggregate(filter(h, x -> x.beyond > i), 0L, (a, x) -> a + x.g)"))
-        .withColumn("rejected", F.expr("aggregate(filter(h, x -> x.beyond > i), 0L, (a, x) -> a + x.b)"))
-        .withColumn("p", binomial_tail("n", "k", per_rule))
+        counts.groupBy(P + "stratum")
+        .agg(F.collect_list(F.struct(F.col(P + "severity").alias("s"), "g", "b")).alias("h"), F.sum("g").cast("long").alias("n"), F.sum("b").cast("long").alias("m"))
+        .select(P + "stratum", "n", "m", "h", F.explode(F.sequence(F.lit(1), F.lit(top))).alias("rung"))
+        .withColumn("k", F.expr("aggregate(filter(h, x -> x.s >= rung), 0L, (a, x) -> a + x.g)"))
+        .withColumn("rejected", F.expr("aggregate(filter(h, x -> x.s >= rung), 0L, (a, x) -> a + x.b)"))
+        .withColumn("p", binomial_tail("n", "k", rules.max_false_reject))
     )
-    looser_first = Window.partitionBy(P + "stratum", "rule").orderBy(F.desc("cut"))
-    passed = per.withColumn("ok", F.min(F.col("p") <= level).over(looser_first)).where("ok")
+    loosest_first = Window.partitionBy(P + "stratum").orderBy(F.desc("rung"))
+    passed = per.withColumn("ok", F.min(F.col("p") <= level).over(loosest_first)).where("ok")
     gain = F.try_divide(F.col("rejected").cast("double"), F.col("m")) - rules.good_weight * F.try_divide(F.col("k").cast("double"), F.col("n"))
-    best = passed.groupBy(P + "stratum", "rule").agg(F.max_by("cut", F.struct(F.coalesce(gain, F.lit(0.0)), F.col("cut"))).alias("cut"))
-    return best.groupBy(P + "stratum").pivot("rule", names).agg(F.first("cut")).select(P + "stratum", *[F.col(k).alias(f"{P}cut_{k}") for k in names])
+    return passed.groupBy(P + "stratum").agg(F.max_by("rung", F.struct(F.coalesce(gain, F.lit(0.0)), F.col("rung"))).alias(P + "rung"))
 
 
-def judged(scored: DataFrame, cutoffs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """scored with `__qr_kept`. cutoffs has a row per stratum at most, so its broadcast is bounded by `rules.bands`."""
-    hit = reduce(lambda a, k: a | F.coalesce(F.col(P + k) > F.col(f"{P}cut_{k}"), F.lit(False)), [k for k, _ in rules.cutoffs], F.lit(False))
-    return scored.join(F.broadcast(cutoffs), P + "stratum", "left").withColumn(P + "kept", ~F.col(P + "base_failed") & ~hit)
+def judged(scored: DataFrame, rungs: DataFrame) -> DataFrame:
+    """scored with `__qr_kept`. rungs has a row per stratum at most, so its broadcast is bounded by `Rules.bands`."""
+    hit = F.coalesce(F.col(P + "severity") >= F.col(P + "rung"), F.lit(False))
+    return scored.join(F.broadcast(rungs), P + "stratum", "left").withColumn(P + "kept", ~F.col(P + "base_failed") & ~hit)
 
 
 def with_labels(scored: DataFrame, labels: DataFrame) -> DataFrame:
@@ -175,8 +166,8 @@ def with_labels(scored: DataFrame, labels: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
     known = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    cutoffs = staged(certified_cutoffs(with_labels(with_scores(with_measures(known), rules), labels), rules), "cutoffs")
-    return judged(with_scores(with_measures(docs), rules), cutoffs, rules).where(P + "kept").select(*docs.columns)
+    rungs = staged(certified_rungs(with_labels(with_scores(with_measures(known), rules), labels), rules), "rungs")
+    return judged(with_scores(with_measures(docs), rules), rungs).where(P + "kept").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,6 +175,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = Rules()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = with_scores(staged(with_measures(docs).drop("text"), "measures"), rules)
-    cutoffs = certified_cutoffs(with_labels(scored, table(spark, sf_dir, "labels")), rules)
-    out = judged(scored, cutoffs, rules)
+    rungs = certified_rungs(with_labels(scored, table(spark, sf_dir, "labels")), rules)
+    out = judged(scored, rungs)
     return out.select("doc_id", *[F.col(P + k).cast("long").alias(k) for k in BASE], F.col(P + "base_failed").alias("base_failed"), F.col(P + "kept").alias("kept"))

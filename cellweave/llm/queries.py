@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib
 
 MODULES = {
+    "op2_near_duplicates": "near_dedup",
     "op7_certified_rules": "quality_rules",
+    "op10_byte_bpe": "bpe",
 }
 
 

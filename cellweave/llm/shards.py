@@ -1,6 +1,7 @@
 """Sharding by balanced label propagation.
 
-Documents that share a link key belong together. Linked documents start evenly spread over the shards; then, for a number of rounds, a group's counts per shard (one pre-aggregated row per group and shard, never pairs of
+Documents that share a link key belong together. Linked documents start evenly spread over the shards; then, for
+a number of rounds, a group's counts per shard (one pre-aggregated row per group and shard, never pairs of
 documents) tell every member how many neighbours each shard holds. A document asks for the shard that holds most
 of them, of those that have room. A shard takes requests, those of the largest gain in each lane first, up to
 its free capacity: requests are numbered within (shard, lane) and offset by lane, so no task sees all requests

@@ -7,6 +7,7 @@ import importlib
 MODULES = {
     "op2_near_duplicates": "near_dedup",
     "op5_chat_windows": "chat",
+    "op6_motion_jpeg": "avi",
     "op7_certified_rules": "quality_rules",
     "op8_line_blocks": "html_text",
     "op9_label_shards": "shards",

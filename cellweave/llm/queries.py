@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = {
+    "op1_warc_derivatives": "warc",
     "op2_near_duplicates": "near_dedup",
     "op5_chat_windows": "chat",
     "op6_motion_jpeg": "avi",

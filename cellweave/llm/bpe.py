@@ -85,16 +85,35 @@ def decode(ids: np.ndarray, path: str) -> bytes:
     return gathered(pool, offsets[ids], offsets[ids + 1] - offsets[ids]).tobytes()
 
 
+def squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """32-bit numbers as compressed byte planes."""
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    return squeezed(np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    raw = np.frombuffer(unsqueezed(data), np.uint8)
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel() if len(raw) else np.zeros(0, "<u4")
 
 
+def pack_stream(numbers: np.ndarray) -> tuple[bytes, bytes]:
+    """Numbers below 255 in one byte each, 255 pointing to the rest."""
+    return squeezed(np.minimum(numbers, 255).astype(np.uint8).tobytes()), packed(numbers[numbers >= 255] - 255)
+
+
+def unpack_stream(short: bytes, rest: bytes) -> np.ndarray:
+    numbers = np.frombuffer(unsqueezed(short), np.uint8).astype(np.uint32)
+    numbers[numbers == 255] = unpacked(rest) + 255
+    return numbers
+
+
 def framed(*parts: bytes) -> bytes:
     return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
 
@@ -110,12 +129,12 @@ def unframed(data: bytes) -> list[bytes]:
 
 def pack_words(words: list[str]) -> bytes:
     coded = [w.encode() for w in words]
-    return framed(packed(np.fromiter(map(len, coded), np.uint32, len(coded))), zstandard.ZstdCompressor(level=3).compress(b"".join(coded)))
+    return framed(packed(np.fromiter(map(len, coded), np.uint32, len(coded))), squeezed(b"".join(coded)))
 
 
 def unpack_words(data: bytes) -> list[bytes]:
     sizes, text = unframed(data)
-    ends, text = np.cumsum(unpacked(sizes), dtype=np.int64).tolist(), zstandard.ZstdDecompressor().decompress(text)
+    ends, text = np.cumsum(unpacked(sizes), dtype=np.int64).tolist(), unsqueezed(text)
     return [text[a:b] for a, b in zip([0, *ends], ends)]
 
 
@@ -137,16 +156,18 @@ def explode_blocks(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS
         ids, counts, streams, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
+            stream = np.concatenate(streams)
+            # frequent words get small numbers: the stream packs better
+            order = np.argsort(-np.bincount(stream, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.uint32)
+            rank[order] = np.arange(len(words), dtype=np.uint32)
+            listed = list(words)
+            listed = [listed[i] for i in order.tolist()]
             by_bucket: list[list[str]] = [[] for _ in range(BUCKETS)]
-            buckets = np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in words), np.uint8, len(words))
-            for w, k in zip(words, buckets.tolist()):
+            buckets = np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in listed), np.uint8, len(listed))
+            for w, k in zip(listed, buckets.tolist()):
                 by_bucket[k].append(w)
-            body = framed(
-                json.dumps(ids).encode(),
-                packed(np.array(counts, np.uint32)),
-                packed(np.concatenate(streams)),
-                zstandard.ZstdCompressor(level=3).compress(buckets.tobytes()),
-            )
+            body = framed(json.dumps(ids).encode(), packed(np.array(counts, np.uint32)), *pack_stream(rank[stream]), squeezed(buckets.tobytes()))
             rows = [(-1, body), *((k, pack_words(x)) for k, x in enumerate(by_bucket) if x)]
             n = len(rows)
             return pa.record_batch(
@@ -202,15 +223,15 @@ def reassembled(blocks: DataFrame, each, schema: str) -> DataFrame:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("bucket")
-        ids, counts, stream, buckets = unframed(frame["data"].iloc[0])
+        ids, counts, short, rest, buckets = unframed(frame["data"].iloc[0])
         coded = [unframed(x) for x in frame["data"].iloc[1:]]
         none = [np.zeros(0, np.uint32)]
         sizes = np.concatenate([unpacked(x) for x, _ in coded] or none).astype(np.int64)
         pool = np.concatenate([unpacked(x) for _, x in coded] or none)
-        order = np.argsort(np.frombuffer(zstandard.ZstdDecompressor().decompress(buckets), np.uint8), kind="stable")
+        order = np.argsort(np.frombuffer(unsqueezed(buckets), np.uint8), kind="stable")
         lengths, starts = np.empty_like(sizes), np.empty_like(sizes)
         lengths[order], starts[order] = sizes, np.cumsum(sizes) - sizes
-        stream, at, done = unpacked(stream), 0, []
+        stream, at, done = unpack_stream(short, rest), 0, []
         for doc_id, n in zip(json.loads(ids), unpacked(counts).tolist()):
             own = stream[at : at + n]
             at += n

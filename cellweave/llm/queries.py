@@ -7,6 +7,7 @@ import importlib
 MODULES = {
     "op1_warc_derivatives": "warc",
     "op2_near_duplicates": "near_dedup",
+    "op3_line_crf": "line_crf",
     "op5_chat_windows": "chat",
     "op6_motion_jpeg": "avi",
     "op7_certified_rules": "quality_rules",

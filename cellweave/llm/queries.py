@@ -8,6 +8,7 @@ MODULES = {
     "op1_warc_derivatives": "warc",
     "op2_near_duplicates": "near_dedup",
     "op3_line_crf": "line_crf",
+    "op4_lexical_packing": "packing",
     "op5_chat_windows": "chat",
     "op6_motion_jpeg": "avi",
     "op7_certified_rules": "quality_rules",

@@ -113,7 +113,9 @@ def with_scores(df: DataFrame, rules: Rules) -> DataFrame:
         }
     )
     rungs = [reduce(lambda a, b: a + b, [(F.col(P + k) > F.lit(float(c))).cast("int") for c in cuts]) for k, cuts in rules.cutoffs]
-    return df.withColumn(P + "severity", F.greatest(*rungs, F.lit(0)))
+    # the partition's number isn't deterministic to the optimizer: a filter on what stands here isn't pushed below
+    # it, where every measure would be computed anew for each time the filter names it
+    return df.withColumns({P + "severity": F.greatest(*rungs, F.lit(0)), P + "part": F.spark_partition_id()})
 
 
 def binomial_tail(n, k, share: float):
@@ -133,7 +135,7 @@ def certified_rungs(labelled: DataFrame, rules: Rules = Rules()) -> DataFrame:
     level = rules.delta / len(rules.bands)
     top = len(rules.cutoffs[0][1])
     counts = (
-        labelled.where(~F.col(P + "base_failed"))
+        labelled.where(~F.col(P + "base_failed") & (F.col(P + "part") >= 0))
         .groupBy(P + "stratum", P + "severity")
         .agg(F.sum(P + "quality").alias("g"), F.sum(1 - F.col(P + "quality")).alias("b"))
     )
@@ -167,7 +169,7 @@ def filter_documents(docs: DataFrame, labels: DataFrame, rules: Rules = Rules())
     """The rows of docs that the rules keep, with the columns of docs."""
     known = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
     rungs = staged(certified_rungs(with_labels(with_scores(with_measures(known), rules), labels), rules), "rungs")
-    return judged(with_scores(with_measures(docs), rules), rungs).where(P + "kept").select(*docs.columns)
+    return judged(with_scores(with_measures(docs), rules), rungs).where(F.col(P + "kept") & (F.col(P + "part") >= 0)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,8 +236,8 @@ def reassembled(blocks: DataFrame, each, schema: str) -> DataFrame:
             own = stream[at : at + n]
             at += n
             done.append((doc_id, *each(gathered(pool, starts[own], lengths[own]))))
-        out = pd.DataFrame(done, columns=names)
-        return out.assign(doc_id=out["doc_id"].astype("Int64"))
+        ids, *columns = zip(*done)
+        return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64")} | dict(zip(names[1:], columns)))
 
     return blocks.groupBy("block").applyInPandas(run, schema)
 

@@ -37,6 +37,7 @@ from cellweave.llm.common import table, text_or_empty
 CRLF = b"\r\n"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-record")
 DATE = "2024-01-01T00:00:00Z"
+LEVEL = 3  # of compression
 
 
 @dataclass
@@ -71,7 +72,7 @@ def write(record: Record, gzipped: bool = True) -> bytes:
     data = "\r\n".join(lines).encode() + CRLF * 2 + record.block + CRLF * 2
     if not gzipped:
         return data
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return packer.compress(data) + packer.flush()
 
 
@@ -145,13 +146,16 @@ def response(key: str, url: str, page: str, date: str = DATE) -> Record:
 
 # ---- what a page says ------------------------------------------------------------------------------------------
 
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<!--.*?-->|<![^>]*>", re.S)
+QUOTED = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
-HIDDEN = re.compile(r"<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+HIDDEN = re.compile(r"<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?-->", re.S | re.I)
+TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
 # fixed values: attributes that hold links, and elements that begin a line of text
 LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "source": "src", "video": "src", "audio": "src", "embed": "src", "form": "action"}
-LINES = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table td th title tr ul".split())
-SPACE = re.compile(r"[^\S\n]+")
+LINES = "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table td th title tr ul".split()
+LINKING = re.compile(rf"<!--.*?-->|<({'|'.join([*LINKS, 'meta', 'base'])})\s({QUOTED})>", re.S | re.I)
+LINE = re.compile(rf"</?(?:{'|'.join(LINES)})(?![-\w]){QUOTED}>", re.I)
+TAG = re.compile(rf"</?[a-zA-Z]{QUOTED}>|<![^>]*>")
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -160,35 +164,45 @@ def _attributes(text: str) -> dict[str, str]:
 
 def plain_text(page: str) -> str:
     """All visible text, a line per block."""
-    shown = HIDDEN.sub(" ", page)
-    shown = TAG.sub(lambda m: "\n" if m[2] and m[2].lower() in LINES else "", shown)
-    lines = (SPACE.sub(" ", x).strip() for x in html.unescape(shown).split("\n"))
+    shown = TAG.sub("", LINE.sub("\n", HIDDEN.sub(" ", page)))
+    lines = (" ".join(x.split()) for x in html.unescape(shown).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
+def resolved(base: str, site: str, link: str) -> str:
+    """link against base; site is base's scheme and host."""
+    link = link.strip()
+    if link.startswith("/") and not link.startswith("//") and "./" not in link and site:
+        return site + link
+    try:
+        return urljoin(base, link)
+    except ValueError:  # not a URL, kept as it is written
+        return link
+
+
 def page_facts(page: str, url: str) -> dict:
-    title = re.search(r"<title[^>]*>(.*?)</title\s*>", page, re.S | re.I)
-    metas, links, base = [], [], url
-    for m in TAG.finditer(page):
-        name = (m[2] or "").lower()
-        if m[1] or not m[3] or not m[3].strip():
+    title = TITLE.search(page)
+    metas, links, base, site = [], [], url, _site(url)
+    for m in LINKING.finditer(page):
+        if not m[1]:
             continue
-        if name in LINKS or name in ("meta", "base"):
-            found = _attributes(m[3])
-            if name == "base" and "href" in found:
-                base = urljoin(url, found["href"])
-            elif name == "meta":
-                metas.append(found)
-            elif found.get(LINKS.get(name, ""), "").strip():
-                raw = found[LINKS[name]]
-                try:
-                    target = urljoin(base, raw.strip())
-                except ValueError:  # not a URL, kept as it is written
-                    target = raw
-                links.append({"path": f"{name.upper()}@/{LINKS[name]}", "url": raw, "target": target})
+        name, found = m[1].lower(), _attributes(m[2])
+        if name == "base":
+            base = resolved(url, site, found.get("href", ""))
+            site = _site(base)
+        elif name == "meta":
+            metas.append(found)
+        elif found.get(LINKS[name], "").strip():
+            raw = found[LINKS[name]]
+            links.append({"path": f"{name.upper()}@/{LINKS[name]}", "url": raw, "target": resolved(base, site, raw)})
     return {"Title": html.unescape(title[1]).strip() if title else "", "Metas": metas, "Links": links}
 
 
+def _site(url: str) -> str:
+    found = re.match(r"https?://[^/?#]+", url)
+    return found[0] if found else ""
+
+
 # ---- derivatives -----------------------------------------------------------------------------------------------
 
 

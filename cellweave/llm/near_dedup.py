@@ -10,10 +10,11 @@
    for each of the samples.
 3. Samples are banded, without shuffling texts. Rows of equal texts are collapsed by the text's md5, so groups
    of thousands of copies count once from here on.
-4. In a bucket every member is compared with the bucket's leader (the smallest hash). Members that the leader
-   leaves over choose a leader among themselves, again and again, so no bucket emits all pairs. By the triangle
-   inequality of the Jaccard distance a later leader needs no look at members whose distances to the first
-   leader differ by more than 1 - threshold.
+4. In a bucket every member is compared with the bucket's leader: the member that shares most places in all its
+   buckets, so that the original of many variants leads them wherever they meet. Members left open choose a
+   leader among themselves in a second round. What is still open is paired with its bucket where the share of
+   equal samples, kept as four bits each, comes within `slack` of the threshold and the triangle inequality of
+   the Jaccard distance allows a link; that test is part of the join, so a bucket never emits all its pairs.
 5. Candidate pairs are verified by the exact weighted Jaccard similarity of the two texts; verified links are
    joined into classes by alternating smallest-neighbour steps with a checkpointed table between them.
 
@@ -33,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import staged, table, text_or_empty
@@ -41,6 +42,8 @@ from cellweave.llm.common import staged, table, text_or_empty
 SLOT_BITS = 17
 RUNGS, RUNGS_PER_E = 24, 6  # the ladder of weights: rungs, and how many make a factor e
 PIECES, LANES = 64, 512
+HOT = 1000
+OUT = ("root", "class_id", "class_size")
 
 
 @dataclass(frozen=True)
@@ -51,6 +54,7 @@ class Params:
     rows: int = 6
     df_bits: int = 20
     idf_gain: float = 0.25
+    slack: float = 0.1
     seed: int = 20240229
 
 
@@ -194,7 +198,7 @@ def idf_table(frequencies: np.ndarray, n: int, gain: float) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, idf, params: Params) -> DataFrame:
-    """rows(doc_id, rep, text) -> (doc_id, rep, keys): one key per band."""
+    """rows(doc_id, rep, text) -> (doc_id, rep, keys, sketch): one key per band, four bits per sample."""
     bands, per_band, shift = params.bands, params.rows, np.uint64(64 - params.df_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,19 +214,36 @@ def signatures(rows: DataFrame, idf, params: Params) -> DataFrame:
                 # the lowest rung is weight 1, the least that a shingle can have
                 rung = np.minimum(np.floor(np.log(w) * RUNGS_PER_E + 0.5).astype(np.int64), RUNGS - 1) << SLOT_BITS
                 keys = np.zeros((bands, len(texts)), np.uint64)
+                sketch = np.zeros((-(-bands * per_band // 16), len(texts)), np.uint64)
                 with np.errstate(over="ignore"):
                     for j in range(bands * per_band):
                         slot = ((hashes * salts[j]) >> down).view(np.int64)
                         slot += rung
                         least = np.minimum.reduceat(ranks[slot], offsets[:-1])
-                        keys[j // per_band] += (identity[least] + np.uint64(j)) * mixers[j % per_band]
+                        sample = (identity[least] + np.uint64(j)) * mixers[j % per_band]
+                        keys[j // per_band] += sample
+                        sketch[j // 16] |= (sample >> np.uint64(60)) << np.uint64(4 * (j % 16))
                     keys ^= keys >> np.uint64(31)
                     keys *= np.uint64(0x94D049BB133111EB)
                     keys ^= keys >> np.uint64(29)
-                packed = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * bands + 1, bands, dtype=np.int32)), pa.array(np.ascontiguousarray(keys.T).view(np.int64).ravel()))
-                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), packed], names=["doc_id", "rep", "keys"])
+                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)]
+                for numbers in (keys, sketch):
+                    ends = np.arange(0, numbers.size + 1, len(numbers), dtype=np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(numbers.T).view(np.int64).ravel())))
+                yield pa.record_batch(columns, names=["doc_id", "rep", "keys", "sketch"])
 
-    return rows.select("doc_id", "rep", "text").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rep binary, keys array<long>")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "rep", "text").mapInArrow(run, f"doc_id {kind}, rep binary, keys array<long>, sketch array<long>")
+
+
+def agreement(x: str, y: str, samples: int) -> Column:
+    """Estimated similarity of two sketches: the share of equal samples, less what four bits agree by chance."""
+    unequal = []
+    for i in range(-(-samples // 16)):
+        d = f"({x}[{i}] ^ {y}[{i}])"
+        d = f"({d} | shiftrightunsigned({d}, 1))"
+        unequal.append(f"bit_count(({d} | shiftrightunsigned({d}, 2)) & {0x1111111111111111}L)")
+    return F.expr(f"(({samples} - ({' + '.join(unequal)})) / {samples}D - 0.0625D) / 0.9375D")
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, idf, params: Params) -> DataFrame:
@@ -251,42 +272,43 @@ def similarities(pairs: DataFrame, texts: DataFrame, idf, params: Params) -> Dat
     return joined.mapInArrow(run, "a binary, b binary, sim double")
 
 
-def links(members: DataFrame, rows: DataFrame, idf, params: Params, rounds: int = 6) -> DataFrame:
-    """Verified links (a, b) of members(rep, band, key); rows(rep, text) has each member's text.
-
-    In every round the open members of a bucket name a leader, with which all members are compared; those that
-    match are closed. What is still open after `rounds` rounds is compared pair by pair with all of its bucket.
-    Either way pairs that the distances to the first leader rule out are left out.
-    """
-    slack = 1 - params.threshold
+def links(reps: DataFrame, rows: DataFrame, idf, params: Params, rounds: int = 2) -> DataFrame:
+    """Verified links (a, b) of reps(rep, keys, sketch); rows(rep, text) has each one's text."""
     bucket = ["band", "key"]
-    order = F.xxhash64("band", "rep")
-    shared = members.groupBy(*bucket).agg(F.min(F.struct(order.alias("h"), "rep")).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    state = staged(members.join(shared.select(*bucket, F.col("l.rep").alias("leader")), bucket), "members")
-    texts = staged(rows.join(state.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]), "candidates")
+    reach = 1 - params.threshold
+    members = reps.select("rep", F.posexplode("keys").alias("band", "key"))
+    shared = members.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = staged(members.join(shared, bucket), "shared")
+    fame = shared.groupBy("rep").agg(F.sum("n").alias("fame"))
+    state = staged(shared.join(fame, "rep").select(*bucket, "rep", "fame", F.lit(None).cast("double").alias("d"), F.lit(True).alias("open")), "members")
+    texts = staged(rows.join(fame.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]), "candidates")
     found = None
     for k in range(rounds):
-        ends = [F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")]
-        near = state.where("rep <> leader") if k == 0 else state.where("rep <> leader").where(F.abs(F.col("d") - F.col("ld")) <= slack)
-        sims = staged(similarities(near.select(*ends).distinct(), texts, idf, params), f"sims{k}")
+        first = F.struct(-F.col("fame"), F.xxhash64("rep"), "rep", "d")
+        lead = state.where("open").groupBy(*bucket).agg(F.min(first).alias("l")).select(*bucket, F.col("l.rep").alias("leader"), F.col("l.d").alias("ld"))
+        led = state.join(lead, bucket)
+        ends = {"a": F.least("rep", "leader"), "b": F.greatest("rep", "leader")}
+        near = led.where("rep <> leader").where(F.col("d").isNull() | (F.abs(F.col("d") - F.col("ld")) <= reach))
+        sims = staged(similarities(near.withColumns(ends).select("a", "b").distinct(), texts, idf, params), f"sims{k}")
         good = sims.where(F.col("sim") >= params.threshold).select("a", "b")
         found = good if found is None else found.unionByName(good)
-        scored = state.withColumns({"a": F.least("rep", "leader"), "b": F.greatest("rep", "leader")}).join(sims, ["a", "b"], "left")
-        is_open = (F.col("rep") != F.col("leader")) & (F.coalesce(F.col("sim"), F.lit(0.0)) < params.threshold)
-        if k == 0:
-            # the leader's distance to itself is 0
-            scored = scored.select(*bucket, "rep", F.when(F.col("rep") == F.col("leader"), 0.0).otherwise(1 - F.col("sim")).alias("d"), is_open.alias("open"))
-        else:
-            scored = scored.select(*bucket, "rep", "d", (F.col("open") & is_open).alias("open"))
-        scored = staged(scored, f"round{k}")
-        lead = scored.where("open").groupBy(*bucket).agg(F.min(F.struct(order.alias("h"), "rep", "d")).alias("l"))
-        state = staged(scored.join(lead.select(*bucket, F.col("l.rep").alias("leader"), F.col("l.d").alias("ld")), bucket), f"leaders{k}")
-        if state.isEmpty():
-            return found
-    x, y = state.where("open").alias("x"), state.alias("y")
-    rest = x.join(y, bucket).where("x.rep <> y.rep").where(F.abs(F.col("x.d") - F.col("y.d")) <= slack)
-    ends = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
-    sims = similarities(rest.select(*ends).distinct(), texts, idf, params)
+        scored = led.withColumns(ends).join(sims, ["a", "b"], "left")
+        leads = F.col("rep") == F.col("leader")
+        still = F.col("open") & ~leads & (F.coalesce(F.col("sim"), F.lit(0.0)) < params.threshold)
+        scored = staged(scored.select(*bucket, "rep", "fame", F.coalesce("d", F.when(leads, 0.0).otherwise(1 - F.col("sim"))).alias("d"), still.alias("open")), f"round{k}")
+        # buckets without open members are done
+        state = scored.join(scored.where("open").select(*bucket).distinct(), bucket, "left_semi")
+        if k + 1 < rounds:
+            state = staged(state, f"state{k}")
+    sketched = staged(state.join(reps, "rep"), "open")
+    x, y = (sketched.select(*bucket, *[F.col(c).alias(f"{c}_{v}") for c in ("rep", "d", "open", "keys", "sketch")]) for v in "xy")
+    # pairs of two open members come once; a pair that shares several buckets comes in the first of them
+    once = "open_x AND rep_x <> rep_y AND (NOT open_y OR rep_x < rep_y)"
+    allowed = (F.abs(F.col("d_x") - F.col("d_y")) <= reach) & (agreement("sketch_x", "sketch_y", params.bands * params.rows) >= params.threshold - params.slack)
+    first = F.expr("array_position(zip_with(keys_x, keys_y, (p, q) -> p = q), true) = x.band + 1")
+    rest = x.alias("x").join(y.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & F.expr(once) & allowed & first)
+    pairs = rest.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+    sims = similarities(pairs, texts, idf, params)
     return found.unionByName(sims.where(F.col("sim") >= params.threshold).select("a", "b"))
 
 
@@ -318,14 +340,17 @@ def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
     frequencies, n = document_frequencies(rows, params)
     idf = docs.sparkSession.sparkContext.broadcast(idf_table(frequencies, n, params.idf_gain))
     signed = staged(signatures(rows, idf, params), "signatures")
-    reps = signed.groupBy("rep").agg(F.first("keys").alias("keys"))
-    members = reps.select("rep", F.posexplode("keys").alias("band", "key"))
-    roots = components(links(members, rows.select("rep", "text"), idf, params))
+    reps = signed.groupBy("rep").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    roots = components(links(reps, rows.select("rep", "text"), idf, params))
     groups = signed.groupBy("rep").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     rooted = staged(groups.join(roots, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("root"), "first", "copies"), "roots")
     sizes = rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = rooted.select("rep", "root").join(sizes, "root")
-    return signed.select("doc_id", "rep").join(named, "rep").select("doc_id", "rep", "root", "class_id", "class_size")
+    named = staged(rooted.select("rep", "root", "copies").join(sizes, "root"), "named")
+    # texts of which there are more than a HOT-th of all rows number less than HOT: their rows join without a shuffle
+    frequent = (F.col("copies") * HOT > n) & (F.col("copies") > 1)
+    hot = F.broadcast(named.where(frequent).select("rep", *OUT))
+    rest = signed.select("doc_id", "rep").join(hot.select("rep"), "rep", "left_anti").join(named.where(~frequent), "rep")
+    return signed.select("doc_id", "rep").join(hot, "rep").select("doc_id", "rep", *OUT).unionByName(rest.select("doc_id", "rep", *OUT))
 
 
 def deduplicated(docs: DataFrame, params: Params = Params()) -> DataFrame:

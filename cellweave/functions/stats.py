@@ -7,19 +7,20 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: floors for divisions: the distance from 1 to the next double, and its root
 EPS = 2.220446049250313e-16
 ROOT_EPS = 1.4901161193847656e-08
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_normal(z: pd.Series) -> pd.Series:
     """P(|Z| >= |z|); exact in the far tail, where 2 * (1 - cdf) would be 0."""
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v == v and v is not None else None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_upper_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     """P(X >= x) of the chi-square distribution with a whole number of degrees of freedom."""
 

@@ -85,8 +85,8 @@ def decode(ids: np.ndarray, path: str) -> bytes:
     return gathered(pool, offsets[ids], offsets[ids + 1] - offsets[ids]).tobytes()
 
 
-def squeezed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+def squeezed(data: bytes, level: int = 9) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def unsqueezed(data: bytes) -> bytes:

@@ -17,6 +17,7 @@ row. An empty table gives an empty result. Texts are never cut short.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -48,13 +49,90 @@ class Params:
 
 #: characters whose normal form, lower case and class the fast path shares with the tokenizer
 UNSURE = r"[^\x00-\x1b\x20-\x84\x86-įı-ɏ]"
+MARKS = ".,;:!?"
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def _byte_chars() -> dict[str, int]:
+    """The printable characters that stand for bytes in byte-level vocabularies."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class FastWords:
+    """Ids of single lower-case pre-tokens by a byte-pair encoder that merges whatever joins to a known token.
+
+    The tokenizer merges listed pairs only. The two agree on a word if every token of the result arises from listed
+    pairs alone when its own bytes are merged; the tokens for which that fails are found once, and a word that has
+    one of them is left to the tokenizer. Byte 255, which no text has, marks the end of a word.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        chars, suffix, vocab = _byte_chars(), model["end_of_word_suffix"], model["vocab"]
+
+        def coded(token: str) -> bytes:
+            end = token.endswith(suffix)
+            return bytes(chars[c] for c in token.removesuffix(suffix)) + (b"\xff" if end else b"")
+
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 255]): 256 + b for b in range(255)}
+        names = {i: c for c, i in chars.items()}
+        self.ids = np.full(512 + len(model["merges"]), -1, np.int32)
+        for b in range(255):
+            self.ids[b], self.ids[256 + b] = vocab.get(names[b], -1), vocab.get(names[b] + suffix, -1)
+        listed: dict[bytes, tuple[bytes, bytes]] = {}
+        for i, merge in enumerate(model["merges"]):
+            left, right = merge if isinstance(merge, list) else merge.split(" ")
+            whole = coded(left) + coded(right)
+            if b"\xff" in whole[:-1] or whole in ranks:
+                continue  # never met, or a second way to the same token, which isn't taken here
+            ranks[whole] = 512 + i
+            self.ids[512 + i] = vocab[left + right]
+            listed[whole] = (coded(left), coded(right))
+        for token, (left, right) in listed.items():
+            if not self._arises(token, left, right, ranks, listed):
+                self.ids[ranks[token]] = -1
+        self.names = [None if i < 0 else int(i).to_bytes(2, "little") for i in self.ids]
+        encode = self.encode = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+        self.marks = {m: [self.names[i] for i in encode(m.encode() + b"\xff")] for m in MARKS}
+
+    @staticmethod
+    def _arises(token: bytes, left: bytes, right: bytes, ranks: dict, listed: dict) -> bool:
+        parts = [token[i : i + 1] for i in range(len(token))]
+        if len(parts) > 1 and parts[-1] == b"\xff":
+            parts[-2:] = [parts[-2] + b"\xff"]
+        while len(parts) > 1:
+            best, at = min((ranks.get(x + y, 1 << 30), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
+            if best == 1 << 30:
+                return False
+            whole = parts[at] + parts[at + 1]
+            if listed.get(whole) != (parts[at], parts[at + 1]):
+                return False
+            parts[at : at + 2] = [whole]
+        return True
+
+    def __call__(self, words: list[str], slow) -> list[bytes]:
+        """Ids of each word as packed 16-bit numbers; slow(words) encodes those that can't be told here."""
+        names, encode, marks = self.names, self.encode, self.marks
+        out = [marks[w] if w in marks else [names[i] for i in encode(w.encode() + b"\xff")] for w in words]
+        left = [i for i, x in enumerate(out) if None in x]
+        for i, found in zip(left, slow([words[i] for i in left]) if left else ()):
+            out[i] = [int(x).to_bytes(2, "little") for x in found]
+        return list(map(b"".join, out))
+
+
 class WordTokenizer:
-    """The ids of whole texts, each distinct pre-token encoded once as long as it is remembered."""
+    """The ids of whole texts as packed 16-bit numbers. No pre-token crosses white space, so a text is cut there and
+    each distinct piece is encoded once as long as it is remembered."""
+
+    def __init__(self, path: str, remembered: int = 3 << 17):
+        import re
 
-    def __init__(self, path: str, remembered: int = 1 << 18):
         import regex
         from tokenizers import Tokenizer
 
@@ -62,46 +140,40 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
-        self.unsure, self.find = regex.compile(UNSURE), regex.compile(PRE_TOKENS).findall
+        self.unsure, self.find = re.compile(UNSURE).search, regex.compile(PRE_TOKENS).findall
+        self.words = FastWords(path)
         self.remembered = remembered
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool, self.starts, self.lengths = np.zeros(1 << 16, np.uint16), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.filled = 0
-
-    def _learn(self, words: list[str]) -> None:
-        first = len(self.known)
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(lengths.sum())
-        while self.filled + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while first + len(words) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        self.pool[self.filled : self.filled + total] = np.fromiter((i for x in ids for i in x), np.uint16, total)
-        self.lengths[first : first + len(words)] = lengths
-        self.starts[first : first + len(words)] = self.filled + np.cumsum(lengths) - lengths
-        self.filled += total
-        self.known.update(zip(words, range(first, first + len(words))))
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.remembered:
-            self._forget()
-        found = [None if self.unsure.search(t) else self.find(t.lower()) for t in texts]
-        new = {w for x in found if x for w in x}
-        new = [w for w in new if w not in self.known]
-        if new:
-            self._learn(new)
-        known, out = self.known.__getitem__, []
-        for text, words in zip(texts, found):
-            if words is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16))
-            else:
-                at = np.fromiter(map(known, words), np.int64, len(words))
-                out.append(gathered(self.pool, self.starts[at], self.lengths[at]))
-        return out
+        self.known: dict[str, bytes] = {}
+
+    def _slow(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _words(self, piece: str) -> list[str]:
+        """The pre-tokens of a piece; most pieces are letters, or letters and one mark, and need no pattern."""
+        if piece.isalpha():
+            return [piece.lower()]
+        if piece[-1] in MARKS and piece[:-1].isalpha():
+            return [piece[:-1].lower(), piece[-1]]
+        return self.find(piece.lower())
+
+    def _learn(self, pieces: set[str]) -> None:
+        found = [self._words(x) for x in pieces]
+        ids = iter(self.words([w for x in found for w in x], self._slow))
+        for piece, words in zip(pieces, found):
+            self.known[piece] = next(ids) if len(words) == 1 else b"".join([next(ids) for _ in words])
+
+    def __call__(self, text: str) -> bytes:
+        if self.unsure(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        pieces = text.split()
+        ids = list(map(self.known.get, pieces))
+        if None in ids:
+            if len(self.known) > self.remembered:
+                self.known.clear()
+                ids = [None] * len(pieces)
+            self._learn({x for x, i in zip(pieces, ids) if i is None})
+            ids = map(self.known.__getitem__, pieces)
+        return b"".join(ids)
 
 
 @cache
@@ -109,8 +181,8 @@ def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def _pack_ids(ids: np.ndarray) -> bytes:
-    return squeezed(ids.view(np.uint8).reshape(-1, 2).T.tobytes())
+def _pack_ids(ids: bytes) -> bytes:
+    return squeezed(np.frombuffer(ids, np.uint8).reshape(-1, 2).T.tobytes(), 1)
 
 
 def _unpack_ids(data: bytes) -> np.ndarray:
@@ -124,6 +196,7 @@ def tokenized(docs: DataFrame, path: str, params: Params = Params(), chunk: int
         from pyspark import TaskContext
 
         tokenizer, part, row, df, total = _tokenizer(path), TaskContext.get().partitionId(), 0, None, 0
+        end = params.end_id.to_bytes(2, "little")
         names = ["doc_id", "row", "n", "ids", "lane", "df"]
         for batch in batches:
             df = np.zeros(max(tokenizer.size, params.end_id + 1), np.int64) if df is None else df
@@ -134,10 +207,10 @@ def tokenized(docs: DataFrame, path: str, params: Params = Params(), chunk: int
                 held += len(text)
                 if held < chunk and i + 1 < len(listed):
                     continue
-                ids = [np.append(x, np.uint16(params.end_id)) for x in tokenizer(texts)]
+                ids = [tokenizer(x) + end for x in texts]
                 for x in ids:
-                    df[np.unique(x)] += 1
-                n = [len(x) for x in ids]
+                    df[np.unique(np.frombuffer(x, "<u2"))] += 1
+                n = [len(x) // 2 for x in ids]
                 total += sum(n)
                 rows = np.arange(row, row + len(ids), dtype=np.int64) + (part << 33)
                 row += len(ids)
@@ -169,16 +242,21 @@ class Index:
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean_length: float, params: Params):
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        owner = np.repeat(np.arange(len(ids), dtype=np.int64), lengths)
-        pairs, tf = np.unique((np.concatenate(ids).astype(np.int64) << 24) | owner, return_counts=True)
-        terms, self.docs = pairs >> 24, pairs & ((1 << 24) - 1)
-        self.begin = np.searchsorted(terms, np.arange(len(idf) + 1))
-        norm = params.k1 * (1 - params.b + params.b * lengths[self.docs] / max(mean_length, 1e-9))
-        self.weights = idf[terms] * tf * (params.k1 + 1) / (tf + norm)
+        found = [np.unique(x, return_counts=True) for x in ids]
+        terms, tf = np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found])
+        sizes = np.fromiter((len(t) for t, _ in found), np.int64, len(ids))
+        norm = params.k1 * (1 - params.b + params.b * lengths / max(mean_length, 1e-9))
+        weights = idf[terms] * tf * (params.k1 + 1) / (tf + np.repeat(norm, sizes))
         # each document's strongest terms are its query
-        order = np.lexsort((terms, -self.weights, self.docs))
-        ends = np.searchsorted(self.docs[order], np.arange(len(ids) + 1))
-        self.queries = [terms[order[a : min(b, a + params.query_terms)]] for a, b in zip(ends, ends[1:])]
+        self.queries, at = [], 0
+        for (own, _), n in zip(found, sizes.tolist()):
+            if n > params.query_terms:
+                own = own[np.argpartition(-weights[at : at + n], params.query_terms)[: params.query_terms]]
+            self.queries.append(own.astype(np.int64))
+            at += n
+        order = np.argsort(terms, kind="stable")
+        self.docs, self.weights = np.repeat(np.arange(len(ids)), sizes)[order], weights[order]
+        self.begin = np.searchsorted(terms[order], np.arange(len(idf) + 1))
         self.n = len(ids)
 
     def scores(self, doc: int) -> np.ndarray:

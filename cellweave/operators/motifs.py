@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cellweave.graph import SpatialGraph
 from cellweave.operators import shapes
+from cellweave.plans.lineage import checkpointed
 
 PREFIX = {2: "e_", 3: None, 4: "q_"}
 CATALOG = ("motif_id", "size", "canonical_iso_class", "color_tuple", "count")
@@ -87,12 +88,13 @@ def _colored_edges(sg: SpatialGraph, anchors: DataFrame | None, size: int) -> Da
         nodes = nodes.withColumn("anchor", F.lit(False))
     else:
         wanted = anchors.select("cell_id").distinct()
+        # a step leads to the neighbours and stays: each step reads the one before once
+        steps = edges.unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
+        steps = steps.unionByName(nodes.select(F.col("cell_id").alias("source"), F.col("cell_id").alias("target")))
         near = wanted
-        both = edges.unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
         for _ in range(size - 1):
-            step = both.join(near.withColumnRenamed("cell_id", "source"), "source", "left_semi").select(F.col("target").alias("cell_id"))
-            # kept: each step reads the last one twice
-            near = near.unionByName(step).distinct().persist()
+            near = steps.join(near.withColumnRenamed("cell_id", "source"), "source", "left_semi").select(F.col("target").alias("cell_id")).distinct()
+        near = checkpointed(near)
         for c in ("source", "target"):
             edges = edges.join(near.withColumnRenamed("cell_id", c), c, "left_semi").select("source", "target")
         nodes = nodes.join(wanted.withColumn("anchor", F.lit(True)), "cell_id", "left").withColumn("anchor", F.coalesce("anchor", F.lit(False)))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.plans.lineage import checkpointed
+
 
 def bucketed(points: DataFrame, size: float) -> DataFrame:
     return points.withColumns({"gx": F.floor(F.col("x") / size), "gy": F.floor(F.col("y") / size)})
@@ -61,7 +63,8 @@ def nearest(points: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFrame:
         settled = top.where((F.col("rn") == k) & (F.col("d2") <= (reach * size) ** 2)).select(*keys, "a")
         done = top.join(settled, [*keys, "a"], "left_semi")
         found = done if found is None else found.unionByName(done)
-        todo = todo.join(settled.withColumnRenamed("a", "cell_id"), [*keys, "cell_id"], "left_anti").persist()
+        # the rest is cut off from its lineage: a plan doesn't grow with the number of rounds
+        todo = checkpointed(todo.join(settled.withColumnRenamed("a", "cell_id"), [*keys, "cell_id"], "left_anti"))
         if todo.isEmpty():
             return found
         reach *= 2

@@ -1,5 +1,6 @@
 import os
 import sys
+import warnings
 
 import pytest
 from pyspark.sql import SparkSession

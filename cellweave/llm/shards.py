@@ -1,14 +1,15 @@
 """Sharding by balanced label propagation.
 
-Documents that share a link key belong together. Linked documents start evenly spread over the shards; then, for
-a number of rounds, a group's counts per shard (one pre-aggregated row per group and shard, never pairs of
-documents) tell every member how many neighbours each shard holds. A document asks for the shard that holds most
-of them, of those that have room. A shard takes requests, those of the largest gain in each lane first, up to
-its free capacity: requests are numbered within (shard, lane) and offset by lane, so no task sees all requests
-for one shard, and a shard never outgrows its quota. The assignment is written to the shared folder after each round.
-
-Law: rows. With n documents, shard s holds exactly the documents that n * s / shards leaves it: counts are at most
-one apart. Linked documents never take more than that; documents without links fill what is left, numbered by a
+Documents that share a link key belong together. Linked documents start in the order of their keys, so that most
+groups lie in one shard and a large one in a run of shards; then, for a number of rounds, a group's counts per
+shard (one pre-aggregated row per group and shard, never pairs of documents) tell every member how many
+neighbours each shard holds. A document asks for the shard that holds most of them, of those that have room. A
+shard takes requests, those of the largest gain in each lane first, up to its free capacity: requests are numbered
+within (shard, lane) and offset by lane, so no task sees all requests for one shard, and a shard never outgrows
+its quota. The assignment is written to the shared folder after each round.
+
+Law: rows. With n documents, shard s holds as many as there are whole numbers from n * s / shards to below
+n * (s + 1) / shards: counts are at most one apart. Linked documents never take more than that; documents without links fill what is left, numbered by a
 two-level count (per lane, then offsets over at most `shards * lanes` rows), as are the slots within shards.
 
 Defined results: null texts count as empty (size 8, crc 0); rows with a null or repeated id
@@ -29,11 +30,15 @@ from cellweave.llm.common import partitions, staged, table
 class Params:
     shards: int = 24
     rounds: int = 4
-    #: share of a shard that linked documents may fill while labels move; the rest is room for those without links
-    fill: float = 1.0
+    #: share of a shard that linked documents fill at the start, where shards are large enough to leave room
+    fill: float = 0.9
     rows_per_lane: int = 20_000
 
 
+HOT = 1000
+SUB = 64
+
+
 def lanes_for(spark: SparkSession, n: int, params: Params) -> int:
     return max(1, min(max(partitions(spark), 1) * 4, -(-n // params.rows_per_lane)))
 
@@ -60,25 +65,30 @@ def numbered(df: DataFrame, by: list[str], lane: Column, order: list, name: str)
 
 def quota(shard: Column, n: int, shards: int) -> Column:
     """How many of n documents shard holds."""
-    return F.floor((shard + 1) * F.lit(n) / shards) - F.floor(shard * F.lit(n) / shards)
+    return F.ceil((shard + 1) * F.lit(n) / shards) - F.ceil(shard * F.lit(n) / shards)
 
 
 def propagated(linked: DataFrame, n: int, params: Params) -> DataFrame:
-    """linked(row, grp) -> (row, grp, shard): rows of a group gather in few shards, within the shards' quotas.
+    """linked(row, grp, m) -> (row, grp, shard): rows of a group gather in few shards, within the shards' quotas.
 
-    Each round moves single rows to where more of their group is.
+    m is the group's size. Each round moves single rows to where more of their group is.
     """
     spark, shards = linked.sparkSession, params.shards
     lanes = lanes_for(spark, n, params)
     lane = F.pmod(F.xxhash64("row"), F.lit(lanes)).cast("int")
-    # a start that is even whatever the groups are: by row number over all linked rows
-    start = numbered(linked, [], lane, ["row"], "i")
-    state = staged(start.select("row", "grp", F.pmod(F.col("i"), F.lit(shards)).cast("int").alias("shard")), "labels")
+    # groups in the order of their hash; a group too large for a lane has SUB lanes of its own after its lane
+    large = F.col("m") > F.greatest(F.lit(1), F.lit(params.rows_per_lane // 8))
+    by_group = F.pmod(F.xxhash64("grp"), F.lit(lanes)) * SUB + F.when(large, 1 + F.pmod(F.xxhash64("row"), F.lit(SUB - 1))).otherwise(0)
+    start = numbered(linked, [], by_group.cast("long"), ["grp", "row"], "i")
+    many = linked.count()
+    fill = params.fill if n * (1 - params.fill) >= 2 * shards and many <= n * params.fill else 1.0
+    first = F.least(F.floor(F.col("i") * shards / F.lit(n * fill)), F.lit(shards - 1))
+    state = staged(start.select("row", "grp", first.cast("int").alias("shard")), "labels")
     for k in range(params.rounds):
         held = state.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("c"))
         load = state.groupBy("shard").agg(F.count(F.lit(1)).alias("load"))
         free = spark.range(shards).select(F.col("id").cast("int").alias("goal")).join(load, F.col("goal") == F.col("shard"), "left")
-        free = free.select("goal", (F.floor(quota(F.col("goal"), n, shards) * params.fill) - F.coalesce("load", F.lit(0))).cast("long").alias("room")).where("room > 0")
+        free = free.select("goal", (quota(F.col("goal"), n, shards) - F.coalesce("load", F.lit(0))).cast("long").alias("room")).where("room > 0")
         # the goal of a group: of the shards with room the one that holds most of it; ties go by a draw from the group
         draw = F.pmod(F.xxhash64("grp", "shard"), F.lit(1 << 20))
         reachable = held.join(F.broadcast(free.select("goal")), F.col("shard") == F.col("goal"), "left_semi")
@@ -99,9 +109,13 @@ def assigned(docs: DataFrame, params: Params = Params()) -> DataFrame:
     n = docs.count()
     lanes = lanes_for(spark, n, params)
     lane = F.pmod(F.xxhash64("row"), F.lit(lanes)).cast("int")
-    sizes = docs.where("grp IS NOT NULL").groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    marked = staged(docs.join(sizes.select(F.col("grp").alias("g")), F.col("grp") == F.col("g"), "left").select("row", "g"), "marked")
-    linked = propagated(marked.where("g IS NOT NULL").select("row", F.col("g").alias("grp")), n, params).select("row", "shard")
+    sizes = docs.where("grp IS NOT NULL").groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("grp").alias("g"), "m")
+    sizes = staged(sizes, "sizes")
+    # groups of more than a HOT-th of all rows number less than HOT: their rows find them without a shuffle
+    hot = F.broadcast(sizes.where(F.col("m") * HOT > n))
+    rest = docs.join(hot.select("g"), F.col("grp") == F.col("g"), "left_anti").join(sizes.where(F.col("m") * HOT <= n), F.col("grp") == F.col("g"), "left")
+    marked = staged(docs.join(hot, F.col("grp") == F.col("g")).select("row", "g", "m").unionByName(rest.select("row", "g", "m")), "marked")
+    linked = propagated(marked.where("g IS NOT NULL").select("row", F.col("g").alias("grp"), "m"), n, params).select("row", "shard")
     load = linked.groupBy("shard").agg(F.count(F.lit(1)).alias("load"))
     room = spark.range(shards).select(F.col("id").cast("int").alias("s")).join(load, F.col("s") == F.col("shard"), "left")
     room = room.select("s", (quota(F.col("s"), n, shards) - F.coalesce("load", F.lit(0))).cast("long").alias("room"))

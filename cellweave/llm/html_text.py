@@ -60,8 +60,8 @@ class Params:
     window: int = 3
     #: a surge needs so many characters in a window
     threshold: int = 120
-    #: text inside links counts so much
-    link_weight: float = 0.0
+    #: a line of which this share is link text has no weight
+    link_share: float = 0.8
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -173,7 +173,7 @@ def surge_and_dive(weights: np.ndarray, params: Params) -> np.ndarray:
             i += 1
         # dive: the last line with text that a window above the threshold reaches
         end = min(i - 1 + w - 1, n - 1)
-        while end > start and weights[end] < params.threshold / w:
+        while end > start and weights[end] == 0:
             end -= 1
         keep[start : end + 1] = True
     return keep
@@ -185,7 +185,7 @@ def main_text(page: str, params: Params = Params()) -> str:
     lines = marked or lines
     if not lines:
         return ""
-    weights = np.array([len(text) - (1 - params.link_weight) * linked for text, linked, _ in lines], float)
+    weights = np.array([0 if linked >= params.link_share * len(text) else len(text) - linked for text, linked, _ in lines], float)
     if marked:
         weights = np.maximum(weights, params.threshold)
     if weights.max() <= 0:

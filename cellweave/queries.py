@@ -60,6 +60,7 @@ P_SQL = """p AS (SELECT cast(vec_id AS varchar) cell_id, cast(embedding[1] AS do
 E_SQL = f"""{P_SQL}, r AS (SELECT 0.6 / sqrt(count(*)) r FROM embeddings),
  e AS (SELECT a.cell_id source, b.cell_id target, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) d2, a.sample_id sample_id, a.cell_type sc, b.cell_type tc
   FROM p a JOIN p b ON a.cell_id < b.cell_id, r WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= r * r)"""
+AN_SQL = "an AS (SELECT cell_id FROM p WHERE cell_type = 'c3' AND region_id = 'EN')"
 ADJ_SQL = "adj AS (SELECT source b, target x FROM e UNION ALL SELECT target, source FROM e)"
 K_SQL = f"""{P_SQL}, nn AS (SELECT a.cell_id a, b.cell_id b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) d2,
    row_number() OVER (PARTITION BY a.cell_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.cell_id) rn FROM p a JOIN p b ON a.cell_id <> b.cell_id),
@@ -216,20 +217,20 @@ def _(spark, sf):
 
 
 def anchors(spark, sf) -> DataFrame:
-    return points(spark, sf).where("cast(cell_id AS long) % 25 = 0").select("cell_id")
+    return points(spark, sf).where("cell_type = 'c3' AND region_id = 'EN'").select("cell_id")
 
 
-@query("anchored2", f"WITH {E_SQL} SELECT 'size2_edge_' || least(sc, tc) || '-' || greatest(sc, tc) motif_id, count(*) \"count\" FROM e WHERE source::bigint % 25 = 0 OR target::bigint % 25 = 0 GROUP BY ALL")
+@query("anchored2", f"WITH {E_SQL}, {AN_SQL} SELECT 'size2_edge_' || least(sc, tc) || '-' || greatest(sc, tc) motif_id, count(*) \"count\" FROM e WHERE source IN (SELECT cell_id FROM an) OR target IN (SELECT cell_id FROM an) GROUP BY ALL")
 def _(spark, sf):
     return M.find_motifs(graph(spark, sf), 2, anchored_on=anchors(spark, sf)).catalog.select("motif_id", "count")
 
 
-@query("anchored3", f"WITH {I3_SQL} SELECT {L3} motif_id, count(*) \"count\" FROM i3 WHERE len(list_filter(cells, lambda c: c::bigint % 25 = 0)) > 0 GROUP BY ALL")
+@query("anchored3", f"WITH {I3_SQL}, {AN_SQL} SELECT {L3} motif_id, count(*) \"count\" FROM i3 WHERE list_has_any(cells, (SELECT list(cell_id) FROM an)) GROUP BY ALL")
 def _(spark, sf):
     return M.find_motifs(graph(spark, sf), 3, anchored_on=anchors(spark, sf)).catalog.select("motif_id", "count")
 
 
-@query("anchored4", f"WITH {I4_SQL} SELECT 'size4_' || topology || '_' || {T4} motif_id, count(*) \"count\" FROM i4 WHERE len(list_filter(q, lambda c: c::bigint % 25 = 0)) > 0 GROUP BY ALL")
+@query("anchored4", f"WITH {I4_SQL}, {AN_SQL} SELECT 'size4_' || topology || '_' || {T4} motif_id, count(*) \"count\" FROM i4 WHERE list_has_any(q, (SELECT list(cell_id) FROM an)) GROUP BY ALL")
 def _(spark, sf):
     return M.find_motifs(graph(spark, sf), 4, anchored_on=anchors(spark, sf)).catalog.select("motif_id", "count")
 
@@ -331,7 +332,7 @@ def _(spark, sf):
     return enriched(motif_enrichment(graph(spark, sf), 3, PERMS, SEED, strata_column="region_id").table)
 
 
-@query("enrich_anchored_s2", f"WITH {E_SQL}, {perm_sql(repr(''))}, {NULL2.replace('FROM e ', 'FROM ae ')}, {moments('FULL')} {ENR}".replace("pn AS", "ae AS (SELECT * FROM e WHERE source::bigint % 25 = 0 OR target::bigint % 25 = 0), pn AS", 1))
+@query("enrich_anchored_s2", f"WITH {E_SQL}, {perm_sql(repr(''))}, {NULL2.replace('FROM e ', 'FROM ae ')}, {moments('FULL')} {ENR}".replace("pn AS", f"{AN_SQL}, ae AS (SELECT * FROM e WHERE source IN (SELECT cell_id FROM an) OR target IN (SELECT cell_id FROM an)), pn AS", 1))
 def _(spark, sf):
     return enriched(motif_enrichment(graph(spark, sf), 2, PERMS, SEED, anchored_on=anchors(spark, sf)).table)
 
@@ -374,13 +375,13 @@ def _(spark, sf):
     return tested(test_motif_enrichment(M.find_motifs(sg, 2), sg, "geometric_jitter", 8, SEED, null_args={"sd": 0.01}).table)
 
 
-# parts bought in one order of every 20th, as an edge store with integer ids
-S_SQL = f"""li AS (SELECT DISTINCT l_orderkey o, l_partkey k FROM lineitem WHERE l_orderkey % 20 = 0), se AS (SELECT DISTINCT a.k f, b.k t FROM li a JOIN li b ON a.o = b.o AND a.k < b.k),
+# parts bought in one order, as an edge store with integer ids
+S_SQL = f"""li AS (SELECT DISTINCT l_orderkey o, l_partkey k FROM lineitem), se AS (SELECT DISTINCT a.k f, b.k t FROM li a JOIN li b ON a.o = b.o AND a.k < b.k),
  p AS (SELECT lpad(cast(p_partkey AS varchar), 19, '0') cell_id, p_brand cell_type FROM part), e AS (SELECT lpad(cast(f AS varchar), 19, '0') source, lpad(cast(t AS varchar), 19, '0') target, a.cell_type sc, b.cell_type tc FROM se JOIN p a ON a.cell_id = lpad(cast(f AS varchar), 19, '0') JOIN p b ON b.cell_id = lpad(cast(t AS varchar), 19, '0'))"""
 
 
 def purchases(spark, sf) -> DataFrame:
-    li = read(spark, sf, "lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", "l_partkey").distinct()
+    li = read(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
     left, right = li.toDF("o", "from_id"), li.toDF("o", "to_id")
     return left.join(right, "o").where("from_id < to_id").select("from_id", "to_id").distinct()
 
@@ -410,14 +411,14 @@ def _(spark, sf):
 # ---- comparison, association, niches ----------------------------------------------------------------------------
 
 
-def region_motifs(spark, sf) -> dict[str, M.Motifs]:
+def sample_motifs(spark, sf) -> dict[str, M.Motifs]:
     sg = graph(spark, sf)
-    return {r: M.find_motifs(sg.subset_region(F.col("region_id") == r), 3) for r in ("EN", "ES", "WN")}
+    return {s: M.find_motifs(sg.subset_sample(F.col("sample_id") == s), 3) for s in ("s0", "s1", "s2")}
 
 
-def catalogs_sql(regions: tuple[str, ...]) -> str:
-    ins = " AND ".join(f"k{i}.region_id = k1.region_id" for i in (2, 3))
-    return f"""{I3_SQL}, rg AS (SELECT {L3.replace('topology', 'i3.topology')} motif_id, k1.region_id g FROM i3 JOIN p k1 ON k1.cell_id = cells[1] JOIN p k2 ON k2.cell_id = cells[2] JOIN p k3 ON k3.cell_id = cells[3] WHERE {ins} AND k1.region_id IN {regions!r})"""
+def catalogs_sql() -> str:
+    ins = " AND ".join(f"k{i}.sample_id = k1.sample_id" for i in (2, 3))
+    return f"""{I3_SQL}, rg AS (SELECT {L3.replace('topology', 'i3.topology')} motif_id, k1.sample_id g FROM i3 JOIN p k1 ON k1.cell_id = cells[1] JOIN p k2 ON k2.cell_id = cells[2] JOIN p k3 ON k3.cell_id = cells[3] WHERE {ins})"""
 
 
 def chi_sql(groups: dict[str, str], df: int) -> str:
@@ -432,35 +433,35 @@ def chi_sql(groups: dict[str, str], df: int) -> str:
     return f"{body} SELECT motif_id, {cols}, total, round(chi2, 8) chi2 FROM ch"
 
 
-@query("compare_regions", f"WITH {catalogs_sql(('EN', 'ES', 'WN'))}, {chi_sql({'EN': chr(40) + repr('EN') + chr(41), 'ES': chr(40) + repr('ES') + chr(41), 'WN': chr(40) + repr('WN') + chr(41)}, 2)}")
+@query("compare_samples", f"WITH {catalogs_sql()}, {chi_sql({s: f'({s!r})' for s in ('s0', 's1', 's2')}, 2)}")
 def _(spark, sf):
-    out = compare_motifs(region_motifs(spark, sf))
-    return out.select("motif_id", "count_EN", "count_ES", "count_WN", "total", F.round("chi2", 8).alias("chi2"), F.round("p", 8).alias("p"), F.round("p_adj_BH", 8).alias("p_adj_BH"))
+    out = compare_motifs(sample_motifs(spark, sf))
+    return out.select("motif_id", "count_s0", "count_s1", "count_s2", "total", F.round("chi2", 8).alias("chi2"), F.round("p", 8).alias("p"), F.round("p_adj_BH", 8).alias("p_adj_BH"))
 
 
-@query("compare_replicates", f"WITH {catalogs_sql(('EN', 'ES', 'WN'))}, {chi_sql({'east': str(('EN', 'ES')), 'west': '(' + repr('WN') + ')'}, 1)}")
+@query("compare_replicates", f"WITH {catalogs_sql()}, {chi_sql({'a': str(('s0', 's1')), 'b': '(' + repr('s2') + ')'}, 1)}")
 def _(spark, sf):
-    out = compare_motifs(list(region_motifs(spark, sf).values()), group=["east", "east", "west"])
-    return out.select("motif_id", "count_east", "count_west", "total", F.round("chi2", 8).alias("chi2"))
+    out = compare_motifs(list(sample_motifs(spark, sf).values()), group=["a", "a", "b"])
+    return out.select("motif_id", "count_a", "count_b", "total", F.round("chi2", 8).alias("chi2"))
 
 
-@query("region_shares", f"WITH {catalogs_sql(('EN', 'ES', 'WN'))}, gs AS (SELECT unnest(['EN', 'ES', 'WN']) \"group\"), ms AS (SELECT DISTINCT motif_id FROM rg) SELECT ms.motif_id, \"group\", round(count(rg.g)::double / any_value(t.n), 9) share FROM ms CROSS JOIN gs JOIN (SELECT motif_id, count(*) n FROM rg GROUP BY 1) t ON t.motif_id = ms.motif_id LEFT JOIN rg ON rg.motif_id = ms.motif_id AND rg.g = \"group\" GROUP BY ALL")
+@query("sample_shares", f"WITH {catalogs_sql()}, gs AS (SELECT unnest(['s0', 's1', 's2']) \"group\"), ms AS (SELECT DISTINCT motif_id FROM rg) SELECT ms.motif_id, \"group\", round(count(rg.g)::double / any_value(t.n), 9) share FROM ms CROSS JOIN gs JOIN (SELECT motif_id, count(*) n FROM rg GROUP BY 1) t ON t.motif_id = ms.motif_id LEFT JOIN rg ON rg.motif_id = ms.motif_id AND rg.g = \"group\" GROUP BY ALL")
 def _(spark, sf):
-    return niche.region_shares(compare_motifs(region_motifs(spark, sf)), ["EN", "ES", "WN"]).withColumn("share", F.round("share", 9))
+    return niche.region_shares(compare_motifs(sample_motifs(spark, sf)), ["s0", "s1", "s2"]).withColumn("share", F.round("share", 9))
 
 
-@query("top_motif_per_region", f"WITH {catalogs_sql(('EN', 'ES', 'WN'))}, c AS (SELECT g \"group\", motif_id, count(*) n FROM rg GROUP BY ALL) SELECT \"group\", motif_id, n FROM (SELECT *, row_number() OVER (PARTITION BY \"group\" ORDER BY n DESC, motif_id) rn FROM c) WHERE rn = 1")
+@query("top_motif_per_sample", f"WITH {catalogs_sql()}, c AS (SELECT g \"group\", motif_id, count(*) n FROM rg GROUP BY ALL) SELECT \"group\", motif_id, n FROM (SELECT *, row_number() OVER (PARTITION BY \"group\" ORDER BY n DESC, motif_id) rn FROM c) WHERE rn = 1")
 def _(spark, sf):
-    return niche.top_per_group(compare_motifs(region_motifs(spark, sf)), ["EN", "ES", "WN"])
+    return niche.top_per_group(compare_motifs(sample_motifs(spark, sf)), ["s0", "s1", "s2"])
 
 
 def expression(spark, sf) -> DataFrame:
-    """Sixteen genes with many ties: the embedding's positive components in steps."""
-    e = read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("cell_id"), F.posexplode(F.slice("embedding", 1, 16)).alias("g", "v"))
+    """Genes with many ties: the embedding's positive components in steps."""
+    e = read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("cell_id"), F.posexplode("embedding").alias("g", "v"))
     return e.select(F.concat(F.lit("g"), F.col("g").cast("string")).alias("gene"), "cell_id", F.floor(F.greatest(F.col("v").cast("double") * 20, F.lit(0.0))).cast("double").alias("value")).where("value <> 0")
 
 
-X_SQL = """xr AS (SELECT cast(vec_id AS varchar) cell_id, unnest(range(16)) g, embedding FROM embeddings), x AS (SELECT 'g' || g gene, cell_id, floor(greatest(cast(embedding[g + 1] AS double) * 20, 0)) v FROM xr)"""
+X_SQL = """xr AS (SELECT cast(vec_id AS varchar) cell_id, unnest(range(len(embedding))) g, embedding FROM embeddings), x AS (SELECT 'g' || g gene, cell_id, floor(greatest(cast(embedding[g + 1] AS double) * 20, 0)) v FROM xr)"""
 # dense ranks and ties by gene (and sample), independent of the sparse method
 W_SQL = """nn AS (SELECT s, gene, count(*) n, sum(v) total FROM xs GROUP BY ALL), tv AS (SELECT s, gene, v, count(*) t FROM xs GROUP BY ALL), ti AS (SELECT s, gene, sum(t::double * t * t - t) ties FROM tv GROUP BY ALL),
  rk AS (SELECT *, rank() OVER (PARTITION BY s, gene ORDER BY v) + (count(*) OVER (PARTITION BY s, gene, v) - 1) / 2.0 r FROM xs),

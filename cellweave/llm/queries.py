@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+from cellweave.llm.oracles import certified_rules
+
 MODULES = {
     "op1_warc_derivatives": "warc",
     "op2_near_duplicates": "near_dedup",
@@ -26,4 +28,4 @@ def _lazy(module: str):
 
 
 QUERIES = {name: _lazy(module) for name, module in MODULES.items()}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_certified_rules": certified_rules()}

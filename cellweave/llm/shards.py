@@ -40,7 +40,8 @@ SUB = 64
 
 
 def lanes_for(spark: SparkSession, n: int, params: Params) -> int:
-    return max(1, min(max(partitions(spark), 1) * 4, -(-n // params.rows_per_lane)))
+    """As many lanes as shuffle partitions, or more where a lane would exceed rows_per_lane, up to four times that."""
+    return max(1, min(4 * partitions(spark), max(partitions(spark), -(-n // params.rows_per_lane))))
 
 
 def numbered(df: DataFrame, by: list[str], lane: Column, order: list, name: str) -> DataFrame:

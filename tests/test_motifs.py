@@ -146,6 +146,9 @@ def test_permutations_keep_composition(spark):
     drawn = permuted_labels(sg.nodes, 4, 3, F.col("region_id"))
     rows = drawn.join(sg.nodes.select("cell_id", "region_id"), "cell_id").groupBy("perm", "region_id", "label").count().collect()
     assert {r["count"] for r in rows} == {2} and len(rows) == 16
+    for stratum in (None, F.col("region_id")):
+        one, many = (permuted_labels(sg.nodes, 3, 5, stratum, rows_per_lane=n).orderBy("perm", "cell_id").collect() for n in (100, 3))
+        assert one == many
     held = permuted_labels(sg.nodes, 2, 3, None, F.col("cell_id") == "a").where("cell_id = 'a'").collect()
     assert [r.label for r in held] == ["T", "T"]
 

@@ -46,6 +46,9 @@ class Params:
     floor: float = 0.1
 
 
+#: frames that are coded or decoded at once: bounds the working memory whatever a text's length
+SLICE = 1400
+
 # fixed values: the zigzag order of a block follows from its diagonals
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
 #: how many DC codes each length has and their categories, fitted to the steps between bytes of running text
@@ -159,12 +162,13 @@ def samples_to_avi(payloads: list[bytes], params: Params = Params()) -> list[byt
     per = params.width * params.height
     counts = [-(-len(p) // per) for p in payloads]
     padded = b"".join(p + p[-1:] * (c * per - len(p)) for p, c in zip(payloads, counts))
-    scans = _scans(np.frombuffer(padded, np.uint8).reshape(-1, per)) if padded else []
+    frames = np.frombuffer(padded, np.uint8).reshape(-1, per)
+    scans = [x for i in range(0, len(frames), SLICE) for x in _scans(frames[i : i + SLICE])]
     head = _jpeg_head(params.width, params.height)
     out, at = [], 0
     for payload, count in zip(payloads, counts):
-        frames = [head + s + b"\xff\xd9" for s in scans[at : at + count]]
-        out.append(write_avi(frames, params.width * 8, params.height * 8, params.fps, struct.pack("<4sQ", b"smpl", len(payload))))
+        whole = [head + s + b"\xff\xd9" for s in scans[at : at + count]]
+        out.append(write_avi(whole, params.width * 8, params.height * 8, params.fps, struct.pack("<4sQ", b"smpl", len(payload))))
         at += count
     return out
 
@@ -426,10 +430,11 @@ def decode_samples(files: list[bytes]) -> list[tuple[bytes, Avi, np.ndarray]]:
     parsed = [parse_avi(f) for f in files]
     frames = [x for p in parsed for x in p.frames]
     out, at = [], 0
-    values = np.zeros((0, 0), np.uint8)
-    if frames:
-        jpeg, coefficients = decode_coefficients(frames)
-        values = (coefficients[:, :, 0].astype(np.int64) * int(jpeg.quant[jpeg.parts[0][3]][0]) // 8 + 128).astype(np.uint8)
+    values = [np.zeros((0, 0), np.uint8)]
+    for i in range(0, len(frames), SLICE):
+        jpeg, coefficients = decode_coefficients(frames[i : i + SLICE])
+        values.append((coefficients[:, :, 0].astype(np.int64) * int(jpeg.quant[jpeg.parts[0][3]][0]) // 8 + 128).astype(np.uint8))
+    values = np.concatenate(values[1:] or values)
     for p in parsed:
         own = values[at : at + len(p.frames)]
         at += len(p.frames)

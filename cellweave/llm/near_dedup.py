@@ -13,8 +13,9 @@
 4. In a bucket every member is compared with the bucket's leader: the member that shares most places in all its
    buckets, so that the original of many variants leads them wherever they meet. Members left open choose a
    leader among themselves in a second round. What is still open is paired with its bucket where the share of
-   equal samples, kept as four bits each, comes within `slack` of the threshold and the triangle inequality of
-   the Jaccard distance allows a link; that test is part of the join, so a bucket never emits all its pairs.
+   equal samples, kept as four bits each, comes within `slack` of the threshold and the overlaps with the first
+   leader allow a link (two texts share at most the smaller of their overlaps with it, and the smaller of what
+   they have beyond); that test is part of the join, so a bucket never emits all its pairs.
 5. Candidate pairs are verified by the exact weighted Jaccard similarity of the two texts; verified links are
    joined into classes by alternating smallest-neighbour steps with a checkpointed table between them.
 
@@ -53,8 +54,10 @@ class Params:
     bands: int = 20
     rows: int = 6
     df_bits: int = 20
-    idf_gain: float = 0.25
-    slack: float = 0.1
+    idf_gain: float = 0.1
+    #: samples in all, of which bands * rows are banded; the share of equal ones has a deviation of 0.027 at 0.8
+    samples: int = 240
+    slack: float = 0.07
     seed: int = 20240229
 
 
@@ -204,7 +207,7 @@ def signatures(rows: DataFrame, idf, params: Params) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, weights = Shingler(params.words, params.seed), idf.value
         ranks, identity = _sampling_tables(params.seed)
-        salts = _salts(params.seed + 1, bands * per_band)
+        salts = _salts(params.seed + 1, params.samples)
         mixers = _salts(params.seed + 2, per_band)
         down = np.uint64(64 - SLOT_BITS)
         for batch in batches:
@@ -214,14 +217,15 @@ def signatures(rows: DataFrame, idf, params: Params) -> DataFrame:
                 # the lowest rung is weight 1, the least that a shingle can have
                 rung = np.minimum(np.floor(np.log(w) * RUNGS_PER_E + 0.5).astype(np.int64), RUNGS - 1) << SLOT_BITS
                 keys = np.zeros((bands, len(texts)), np.uint64)
-                sketch = np.zeros((-(-bands * per_band // 16), len(texts)), np.uint64)
+                sketch = np.zeros((-(-params.samples // 16), len(texts)), np.uint64)
                 with np.errstate(over="ignore"):
-                    for j in range(bands * per_band):
+                    for j in range(params.samples):
                         slot = ((hashes * salts[j]) >> down).view(np.int64)
                         slot += rung
                         least = np.minimum.reduceat(ranks[slot], offsets[:-1])
                         sample = (identity[least] + np.uint64(j)) * mixers[j % per_band]
-                        keys[j // per_band] += sample
+                        if j < bands * per_band:
+                            keys[j // per_band] += sample
                         sketch[j // 16] |= (sample >> np.uint64(60)) << np.uint64(4 * (j % 16))
                     keys ^= keys >> np.uint64(31)
                     keys *= np.uint64(0x94D049BB133111EB)
@@ -247,7 +251,8 @@ def agreement(x: str, y: str, samples: int) -> Column:
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, idf, params: Params) -> DataFrame:
-    """pairs(a, b) with `sim`, the weighted Jaccard similarity of the two texts of texts(rep, text)."""
+    """pairs(a, b) with the weights wa, wb and `low` of the two texts of texts(rep, text) and of what they share, and
+    `sim`, their weighted Jaccard similarity."""
     shift = np.uint64(64 - params.df_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,55 +263,71 @@ def similarities(pairs: DataFrame, texts: DataFrame, idf, params: Params) -> Dat
             return hashes, tf * weights[(hashes >> shift).astype(np.int64)]
 
         for batch in batches:
-            sims, last, left = [], None, None
+            rows, last, left = [], None, None
             for a, x, y in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(2), batch.column(3)))):
                 if a != last:
                     last, left = a, vector(x)
                 right = vector(y)
                 _, i, j = np.intersect1d(left[0], right[0], assume_unique=True, return_indices=True)
-                low = float(np.minimum(left[1][i], right[1][j]).sum())
-                sims.append(low / (float(left[1].sum()) + float(right[1].sum()) - low))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
+                low, wa, wb = float(np.minimum(left[1][i], right[1][j]).sum()), float(left[1].sum()), float(right[1].sum())
+                rows.append((low / (wa + wb - low), low, wa, wb))
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, pa.float64()) for c in np.array(rows).reshape(-1, 4).T)], names=["a", "b", "sim", "low", "wa", "wb"])
 
     joined = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a binary, b binary, sim double")
+    return joined.mapInArrow(run, "a binary, b binary, sim double, low double, wa double, wb double")
+
+
+def allowed(x: tuple[str, str], y: tuple[str, str], threshold: float) -> Column:
+    """Whether two texts can be as similar as threshold, given each one's (overlap with a third text, weight)."""
+    (ox, wx), (oy, wy) = ((F.col(o), F.col(w)) for o, w in (x, y))
+    most = F.least(ox, oy) + F.least(wx - ox, wy - oy)
+    return most >= (threshold - 1e-6) * (wx + wy - most)
 
 
 def links(reps: DataFrame, rows: DataFrame, idf, params: Params, rounds: int = 2) -> DataFrame:
-    """Verified links (a, b) of reps(rep, keys, sketch); rows(rep, text) has each one's text."""
+    """Verified links (a, b) of reps(rep, keys, sketch, first); rows(doc_id, rep, text) has each one's text."""
     bucket = ["band", "key"]
-    reach = 1 - params.threshold
+    number = F.lit(None).cast("double")
     members = reps.select("rep", F.posexplode("keys").alias("band", "key"))
     shared = members.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = staged(members.join(shared, bucket), "shared")
     fame = shared.groupBy("rep").agg(F.sum("n").alias("fame"))
-    state = staged(shared.join(fame, "rep").select(*bucket, "rep", "fame", F.lit(None).cast("double").alias("d"), F.lit(True).alias("open")), "members")
-    texts = staged(rows.join(fame.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]), "candidates")
+    # o, w: overlap with the bucket's first leader, and weight
+    state = staged(shared.join(fame, "rep").select(*bucket, "rep", "fame", number.alias("o"), number.alias("w"), F.lit(True).alias("open")), "members")
+    # a text is taken from its first row: copies are dealt by their ids, not all to one task
+    wanted = fame.select(F.col("rep").alias("r")).join(reps.select("rep", "first"), F.col("r") == F.col("rep")).select("r", "first")
+    texts = rows.join(wanted, (F.col("rep") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    texts = staged(texts.select("rep", "text").dropDuplicates(["rep"]), "candidates")
     found = None
     for k in range(rounds):
-        first = F.struct(-F.col("fame"), F.xxhash64("rep"), "rep", "d")
-        lead = state.where("open").groupBy(*bucket).agg(F.min(first).alias("l")).select(*bucket, F.col("l.rep").alias("leader"), F.col("l.d").alias("ld"))
+        first = F.struct(-F.col("fame"), F.xxhash64("rep"), "rep", "o", "w")
+        lead = state.where("open").groupBy(*bucket).agg(F.min(first).alias("l")).select(*bucket, F.col("l.rep").alias("leader"), F.col("l.o").alias("lo"), F.col("l.w").alias("lw"))
         led = state.join(lead, bucket)
         ends = {"a": F.least("rep", "leader"), "b": F.greatest("rep", "leader")}
-        near = led.where("rep <> leader").where(F.col("d").isNull() | (F.abs(F.col("d") - F.col("ld")) <= reach))
+        near = led.where("rep <> leader")
+        near = near if k == 0 else near.where(allowed(("o", "w"), ("lo", "lw"), params.threshold))
         sims = staged(similarities(near.withColumns(ends).select("a", "b").distinct(), texts, idf, params), f"sims{k}")
         good = sims.where(F.col("sim") >= params.threshold).select("a", "b")
         found = good if found is None else found.unionByName(good)
         scored = led.withColumns(ends).join(sims, ["a", "b"], "left")
         leads = F.col("rep") == F.col("leader")
         still = F.col("open") & ~leads & (F.coalesce(F.col("sim"), F.lit(0.0)) < params.threshold)
-        scored = staged(scored.select(*bucket, "rep", "fame", F.coalesce("d", F.when(leads, 0.0).otherwise(1 - F.col("sim"))).alias("d"), still.alias("open")), f"round{k}")
+        if k == 0:
+            # a first leader was compared with its whole bucket and is done with, as is who equals it
+            scored = scored.where(~leads & (F.col("sim") < 1)).withColumns({"o": F.col("low"), "w": F.when(F.col("rep") == F.col("a"), F.col("wa")).otherwise(F.col("wb"))})
+        scored = staged(scored.select(*bucket, "rep", "fame", "o", "w", still.alias("open")), f"round{k}")
         # buckets without open members are done
         state = scored.join(scored.where("open").select(*bucket).distinct(), bucket, "left_semi")
         if k + 1 < rounds:
             state = staged(state, f"state{k}")
-    sketched = staged(state.join(reps, "rep"), "open")
-    x, y = (sketched.select(*bucket, *[F.col(c).alias(f"{c}_{v}") for c in ("rep", "d", "open", "keys", "sketch")]) for v in "xy")
+    sketched = staged(state.join(reps.select("rep", "keys", "sketch"), "rep"), "open")
+    x, y = (sketched.select(*bucket, *[F.col(c).alias(f"{c}_{v}") for c in ("rep", "o", "w", "open", "keys", "sketch")]) for v in "xy")
     # pairs of two open members come once; a pair that shares several buckets comes in the first of them
-    once = "open_x AND rep_x <> rep_y AND (NOT open_y OR rep_x < rep_y)"
-    allowed = (F.abs(F.col("d_x") - F.col("d_y")) <= reach) & (agreement("sketch_x", "sketch_y", params.bands * params.rows) >= params.threshold - params.slack)
+    once = F.expr("open_x AND rep_x <> rep_y AND (NOT open_y OR rep_x < rep_y)")
+    alike = agreement("sketch_x", "sketch_y", params.samples) >= params.threshold - params.slack
     first = F.expr("array_position(zip_with(keys_x, keys_y, (p, q) -> p = q), true) = x.band + 1")
-    rest = x.alias("x").join(y.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & F.expr(once) & allowed & first)
+    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
+    rest = x.alias("x").join(y.alias("y"), same & once & allowed(("o_x", "w_x"), ("o_y", "w_y"), params.threshold) & alike & first)
     pairs = rest.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
     sims = similarities(pairs, texts, idf, params)
     return found.unionByName(sims.where(F.col("sim") >= params.threshold).select("a", "b"))
@@ -340,9 +361,10 @@ def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
     frequencies, n = document_frequencies(rows, params)
     idf = docs.sparkSession.sparkContext.broadcast(idf_table(frequencies, n, params.idf_gain))
     signed = staged(signatures(rows, idf, params), "signatures")
-    reps = signed.groupBy("rep").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    roots = components(links(reps, rows.select("rep", "text"), idf, params))
-    groups = signed.groupBy("rep").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    reps = signed.groupBy("rep").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    reps = staged(reps, "reps")
+    roots = components(links(reps.drop("copies"), rows, idf, params))
+    groups = reps.select("rep", "first", "copies")
     rooted = staged(groups.join(roots, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("root"), "first", "copies"), "roots")
     sizes = rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
     named = staged(rooted.select("rep", "root", "copies").join(sizes, "root"), "named")

@@ -88,7 +88,7 @@ def _sampling_tables(seed: int) -> tuple[np.ndarray, np.ndarray]:
 class Shingler:
     """Hashed shingles of many texts at once; word hashes are remembered up to a bound."""
 
-    def __init__(self, words: int, seed: int, remembered: int = 1 << 19):
+    def __init__(self, words: int, seed: int, remembered: int = 1 << 17):
         self.words, self.remembered, self.known = words, remembered, {}
         self.multipliers = _salts(seed, words)
 
@@ -139,7 +139,7 @@ def weighted(texts: list[str], shingler: Shingler) -> tuple[np.ndarray, np.ndarr
     return flat[at], np.diff(np.append(at, len(flat))), np.append(np.searchsorted(at, starts), len(at))
 
 
-def _chunks(batch: pa.RecordBatch, column: int, size: int = 1 << 21) -> Iterator[tuple[int, int, list[str]]]:
+def _chunks(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[tuple[int, int, list[str]]]:
     """Runs of rows with about `size` characters: bounds what one step holds in memory."""
     texts, start, held = [], 0, 0
     for i, text in enumerate(batch.column(column).to_pylist()):

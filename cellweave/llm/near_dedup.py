@@ -12,10 +12,11 @@
    of thousands of copies count once from here on.
 4. In a bucket every member is compared with the bucket's leader: the member that shares most places in all its
    buckets, so that the original of many variants leads them wherever they meet. Members left open choose a
-   leader among themselves in a second round. What is still open is paired with its bucket where the share of
-   equal samples, kept as four bits each, comes within `slack` of the threshold and the overlaps with the first
-   leader allow a link (two texts share at most the smaller of their overlaps with it, and the smaller of what
-   they have beyond); that test is part of the join, so a bucket never emits all its pairs.
+   leader among themselves in a second round. Then all members of a bucket, taken by a leader or not, are paired
+   where the links found so far leave them in different components, the share of equal samples, kept as four bits
+   each, comes within `slack` of the threshold and the overlaps with the first leader allow a link (two texts share
+   at most the smaller of their overlaps with it, and the smaller of what they have beyond); those tests are part
+   of the join, so a bucket never emits all its pairs. A pair within one component can't change the classes.
 5. Candidate pairs are verified by the exact weighted Jaccard similarity of the two texts; verified links are
    joined into classes by alternating smallest-neighbour steps with a checkpointed table between them.
 
@@ -285,7 +286,7 @@ def allowed(x: tuple[str, str], y: tuple[str, str], threshold: float) -> Column:
 
 
 def links(reps: DataFrame, rows: DataFrame, idf, params: Params, rounds: int = 2) -> DataFrame:
-    """Verified links (a, b) of reps(rep, keys, sketch, first); rows(doc_id, rep, text) has each one's text."""
+    """Verified links (a, b) of reps(rep, keys, sketch, first) that join each class; rows(doc_id, rep, text) has each one's text."""
     bucket = ["band", "key"]
     number = F.lit(None).cast("double")
     members = reps.select("rep", F.posexplode("keys").alias("band", "key"))
@@ -316,21 +317,27 @@ def links(reps: DataFrame, rows: DataFrame, idf, params: Params, rounds: int = 2
             # a first leader was compared with its whole bucket and is done with, as is who equals it
             scored = scored.where(~leads & (F.col("sim") < 1)).withColumns({"o": F.col("low"), "w": F.when(F.col("rep") == F.col("a"), F.col("wa")).otherwise(F.col("wb"))})
         scored = staged(scored.select(*bucket, "rep", "fame", "o", "w", still.alias("open")), f"round{k}")
+        if k == 0:
+            everyone = scored
         # buckets without open members are done
         state = scored.join(scored.where("open").select(*bucket).distinct(), bucket, "left_semi")
         if k + 1 < rounds:
             state = staged(state, f"state{k}")
-    sketched = staged(state.join(reps.select("rep", "keys", "sketch"), "rep"), "open")
-    x, y = (sketched.select(*bucket, *[F.col(c).alias(f"{c}_{v}") for c in ("rep", "o", "w", "open", "keys", "sketch")]) for v in "xy")
-    # pairs of two open members come once; a pair that shares several buckets comes in the first of them
-    once = F.expr("open_x AND rep_x <> rep_y AND (NOT open_y OR rep_x < rep_y)")
+    # links are asked for between components only: `known` stands for all found so far
+    known = staged(components(found), "known")
+    placed = everyone.join(known, F.col("rep") == F.col("node"), "left").select(*bucket, "rep", "o", "w", F.coalesce("root", "rep").alias("root"))
+    mixed = placed.groupBy(*bucket).agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(*bucket)
+    sketched = staged(placed.join(mixed, bucket, "left_semi").join(reps.select("rep", "keys", "sketch"), "rep"), "apart")
+    x, y = (sketched.select(*bucket, *[F.col(c).alias(f"{c}_{v}") for c in ("rep", "o", "w", "root", "keys", "sketch")]) for v in "xy")
+    # a pair that shares several buckets comes in the first of them: a text missing there led it or equals who did
+    once = F.expr("rep_x < rep_y AND root_x <> root_y")
     alike = agreement("sketch_x", "sketch_y", params.samples) >= params.threshold - params.slack
     first = F.expr("array_position(zip_with(keys_x, keys_y, (p, q) -> p = q), true) = x.band + 1")
     same = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
     rest = x.alias("x").join(y.alias("y"), same & once & allowed(("o_x", "w_x"), ("o_y", "w_y"), params.threshold) & alike & first)
     pairs = rest.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
     sims = similarities(pairs, texts, idf, params)
-    return found.unionByName(sims.where(F.col("sim") >= params.threshold).select("a", "b"))
+    return known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(sims.where(F.col("sim") >= params.threshold).select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:

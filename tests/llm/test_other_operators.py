@@ -106,6 +106,40 @@ def test_large_near_group_against_brute_force(docs):
     assert sum(cls[i] == find(i) for i in range(120)) >= 119
 
 
+def test_links_between_led_members(docs):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(24):
+        # two centres with variants, joined only by one text on either side that lies between them
+        left = words(rng, 400)
+        spots = list(range(10, 370, 36))
+        right = list(left)
+        for i in spots:
+            right[i] = words(rng, 1)[0]
+        between = [[right[i] if i in moved else left[i] for i in range(400)] for moved in (spots[:1], spots[:9])]
+        for base, link in ((left, between[0]), (right, between[1])):
+            texts += [base, link]
+            for _ in range(5):
+                own = list(base)
+                own[rng.randrange(380, 395)] = words(rng, 1)[0]
+                texts.append(own)
+    rows = near_dedup.classes(docs([" ".join(x) for x in texts])).collect()
+    # equal classes at the parameters of production: in brute force each 14 texts are one component
+    sets = [Counter(tuple(x[i : i + 5]) for i in range(396)) for x in texts]
+    frequency = Counter(s for x in sets for s in x)
+    idf = {s: 1 + near_dedup.Params().idf_gain * np.log(len(texts) / n) / np.log(len(texts)) for s, n in frequency.items()}
+    size = lambda x: sum(n * idf[s] for s, n in x.items())
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a - a % 14, a):
+            low = size(sets[a] & sets[b])
+            if low >= 0.8 * (size(sets[a]) + size(sets[b]) - low):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    assert root == [i - i % 14 for i in range(len(texts))]
+    assert {r.doc_id: r.class_id for r in rows} == dict(enumerate(root))
+
+
 def test_samples_agree_as_often_as_weighted_similarity(spark, docs):
     rng = random.Random(1)
     a = words(rng, 400)

@@ -7,7 +7,7 @@
 2. Improved consistent weighted sampling (r, c ~ Gamma(2, 1), beta ~ U(0, 1); t = floor(ln w / r + beta),
    y = exp(r (t - beta)), a = c / (y exp(r)); the sample is (shingle, t) of the smallest a). Weights are rounded
    to a fixed ladder, so ln a and t come from a table over (rung of the ladder, slot); a shingle's slot differs
-   for each of the samples.
+   for each of the samples. For weights above the ladder (44) they are computed from the weight itself.
 3. Samples are banded, without shuffling texts. Rows of equal texts are collapsed by the text's md5, so groups
    of thousands of copies count once from here on.
 4. In a bucket every member is compared with the bucket's leader: the member that shares most places in all its
@@ -68,15 +68,23 @@ def _salts(seed: int, count: int) -> np.ndarray:
 
 
 @cache
-def _sampling_tables(seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ranks of ln a by rung and slot, sample identity by rank)."""
+def _draws(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, ln c and beta by slot."""
     rng = np.random.default_rng(seed)
     slots = 1 << SLOT_BITS
     r, c, beta = rng.gamma(2.0, 1.0, slots), rng.gamma(2.0, 1.0, slots), rng.random(slots)
+    return r, np.log(c), beta
+
+
+@cache
+def _sampling_tables(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ranks of ln a by rung and slot, sample identity by rank)."""
+    slots = 1 << SLOT_BITS
+    r, log_c, beta = _draws(seed)
     log_a, t = [], []
     for rung in range(RUNGS):
         step = np.floor((rung / RUNGS_PER_E) / r + beta)
-        log_a.append(np.log(c) - r * (step - beta) - r)
+        log_a.append(log_c - r * (step - beta) - r)
         t.append(step)
     flat = np.concatenate(log_a)
     order = np.argsort(flat, kind="stable")
@@ -86,6 +94,31 @@ def _sampling_tables(seed: int) -> tuple[np.ndarray, np.ndarray]:
     return ranks, identity[order]
 
 
+class Heavy:
+    """The shingles of a chunk whose weights are above the ladder: their samples come from the weights themselves."""
+
+    def __init__(self, seed: int, log_w: np.ndarray, hashes: np.ndarray, offsets: np.ndarray):
+        self.r, self.log_c, self.beta = _draws(seed)
+        at = np.flatnonzero(log_w * RUNGS_PER_E + 0.5 >= RUNGS)
+        self.log_w, self.hashes = log_w[at], hashes[at]
+        self.owners, self.starts, self.group = np.unique(np.searchsorted(offsets, at, "right") - 1, return_index=True, return_inverse=True)
+
+    def log_a(self, slot: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return self.log_c[slot] - self.r[slot] * (t - self.beta[slot]) - self.r[slot]
+
+    def improve(self, identity: np.ndarray, salt: np.uint64) -> None:
+        """Sets the sample of each text where a heavy shingle has a smaller a than the table's. A shingle's a falls
+        with its weight, so that it may also stand in the table with the top rung."""
+        slot = ((self.hashes * salt) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        t = np.floor(self.log_w / self.r[slot] + self.beta[slot])
+        log_a = self.log_a(slot, t)
+        known = identity[self.owners]
+        light = self.log_a((known >> np.uint64(16)).astype(np.int64), (known & np.uint64(0xFFFF)).astype(float))
+        least = np.minimum(np.minimum.reduceat(log_a, self.starts), light)
+        better = np.flatnonzero((log_a <= least[self.group]) & (log_a < light[self.group]))
+        identity[self.owners[self.group[better]]] = (slot[better].astype(np.uint64) << np.uint64(16)) | t[better].astype(np.uint64)
+
+
 class Shingler:
     """Hashed shingles of many texts at once; word hashes are remembered up to a bound."""
 
@@ -216,7 +249,9 @@ def signatures(rows: DataFrame, idf, params: Params) -> DataFrame:
                 hashes, tf, offsets = weighted(texts, shingler)
                 w = tf * weights[(hashes >> shift).astype(np.int64)]
                 # the lowest rung is weight 1, the least that a shingle can have
-                rung = np.minimum(np.floor(np.log(w) * RUNGS_PER_E + 0.5).astype(np.int64), RUNGS - 1) << SLOT_BITS
+                log_w = np.log(w.astype(float))
+                rung = np.minimum(np.floor(log_w * RUNGS_PER_E + 0.5).astype(np.int64), RUNGS - 1) << SLOT_BITS
+                heavy = Heavy(params.seed, log_w, hashes, offsets)
                 keys = np.zeros((bands, len(texts)), np.uint64)
                 sketch = np.zeros((-(-params.samples // 16), len(texts)), np.uint64)
                 with np.errstate(over="ignore"):
@@ -224,7 +259,10 @@ def signatures(rows: DataFrame, idf, params: Params) -> DataFrame:
                         slot = ((hashes * salts[j]) >> down).view(np.int64)
                         slot += rung
                         least = np.minimum.reduceat(ranks[slot], offsets[:-1])
-                        sample = (identity[least] + np.uint64(j)) * mixers[j % per_band]
+                        chosen = identity[least]
+                        if len(heavy.owners):
+                            heavy.improve(chosen, salts[j])
+                        sample = (chosen + np.uint64(j)) * mixers[j % per_band]
                         if j < bands * per_band:
                             keys[j // per_band] += sample
                         sketch[j // 16] |= (sample >> np.uint64(60)) << np.uint64(4 * (j % 16))

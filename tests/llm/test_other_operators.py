@@ -159,6 +159,23 @@ def test_samples_agree_as_often_as_weighted_similarity(spark, docs):
     assert abs(hits / 2000 - want) < 0.04
 
 
+def test_samples_of_heavy_shingles(spark, docs):
+    rng = random.Random(3)
+    texts = []
+    for a, b in ((304, 304), (304, 285), (470, 470), (470, 430), (900, 1000)) * 2:
+        phrase = words(rng, 8)
+        texts += [" ".join(phrase * n + words(rng, n // 2)) for n in (a, b)]
+    d, params = docs(texts), near_dedup.Params()
+    rows = d.select("doc_id", F.col("text"), F.unhex(F.md5("text")).alias("rep"))
+    idf = spark.sparkContext.broadcast(near_dedup.idf_table(*near_dedup.document_frequencies(rows, params), params.idf_gain))
+    signed = near_dedup.signatures(rows, idf, params)
+    x, y = (signed.select((F.col("doc_id") / 2).cast("long").alias("pair"), F.col("sketch").alias(f"s{v}"), F.col("rep").alias(v), "doc_id").where(F.col("doc_id") % 2 == i).drop("doc_id") for i, v in enumerate("ab"))
+    pairs = x.join(y, "pair").withColumn("guess", near_dedup.agreement("sa", "sb", params.samples))
+    both = near_dedup.similarities(pairs.select("a", "b"), rows.select("rep", "text"), idf, params).join(pairs.select("a", "b", "guess"), ["a", "b"]).collect()
+    assert len(both) == 10 and all(r.sim >= 0.8 and abs(r.guess - r.sim) < 0.11 for r in both)
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(d).collect()} == {i: i - i % 2 for i in range(20)}
+
+
 def test_components(spark):
     rng = random.Random(0)
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 140)] + [(rng.randrange(200, 230), rng.randrange(200, 230)) for _ in range(25)]

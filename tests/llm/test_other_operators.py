@@ -176,6 +176,12 @@ def test_samples_of_heavy_shingles(spark, docs):
     assert {r.doc_id: r.class_id for r in near_dedup.classes(d).collect()} == {i: i - i % 2 for i in range(20)}
 
 
+def test_slack_is_four_deviations():
+    p = near_dedup.Params()
+    equal = p.threshold + (1 - p.threshold) / 16  # four bits agree by chance
+    assert p.slack >= 4 * (equal * (1 - equal) / p.samples) ** 0.5 / 0.9375
+
+
 def test_components(spark):
     rng = random.Random(0)
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 140)] + [(rng.randrange(200, 230), rng.randrange(200, 230)) for _ in range(25)]

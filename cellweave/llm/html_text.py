@@ -6,8 +6,9 @@
    its text, the share of it inside links, and whether it stands inside an article or main element.
 2. Text lengths are summed over sliding windows of lines, link text not counted. A surge point is a line at which
    the window sum rises to the threshold and stays there; the dive point is where it falls back. The lines from
-   surge to dive are kept. If the page marks an article (article, main, role=main, itemprop=articleBody), only
-   lines inside it take part, and each weighs at least the threshold: a short paragraph there is text, not menu.
+   surge to dive are kept. If the page marks an article (article, main, role=main, itemprop=articleBody), a line
+   inside it that isn't link text weighs a window's share of the threshold more: a window of short paragraphs there
+   is text, not menu. Lines outside it take part by their own length; windows don't cross the article's border.
 3. Character references are decoded, white space inside a line becomes one space, lines are trimmed and joined in
    page order by one space.
 
@@ -155,11 +156,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
-def surge_and_dive(weights: np.ndarray, params: Params) -> np.ndarray:
-    """Which lines lie between a surge and its dive of the window sums."""
+def window_sums(weights: np.ndarray, params: Params) -> np.ndarray:
+    """The weight of each line and the next window - 1."""
+    return np.convolve(weights, np.ones(params.window))[params.window - 1 :][: len(weights)]
+
+
+def surge_and_dive(weights: np.ndarray, params: Params, least: float | None = None) -> np.ndarray:
+    """Which lines lie between a surge and its dive of the window sums; least: the sum that is a surge."""
     n, w = len(weights), params.window
-    sums = np.convolve(weights, np.ones(w))[w - 1 :][:n]  # line i and the next w - 1
-    above = sums >= min(params.threshold, sums.max())
+    sums = window_sums(weights, params)
+    above = sums >= (min(params.threshold, sums.max()) if least is None else least)
     keep = np.zeros(n, bool)
     i = 0
     while i < n:
@@ -181,16 +187,16 @@ def surge_and_dive(weights: np.ndarray, params: Params) -> np.ndarray:
 
 def main_text(page: str, params: Params = Params()) -> str:
     lines = lines_of(page)
-    marked = [x for x in lines if x[2]]
-    lines = marked or lines
     if not lines:
         return ""
     weights = np.array([0 if linked >= params.link_share * len(text) else len(text) - linked for text, linked, _ in lines], float)
-    if marked:
-        weights = np.maximum(weights, params.threshold)
     if weights.max() <= 0:
         return ""
-    keep = surge_and_dive(weights, params)
+    marked = np.array([x[2] for x in lines])
+    weights[marked & (weights > 0)] += params.threshold / params.window
+    parts = np.split(weights, np.flatnonzero(marked[1:] != marked[:-1]) + 1)
+    least = min(params.threshold, max(window_sums(x, params).max() for x in parts))
+    keep = np.concatenate([surge_and_dive(x, params, least) for x in parts])
     return " ".join(text for (text, *_), k in zip(lines, keep) if k)
 
 

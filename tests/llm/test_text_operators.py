@@ -120,6 +120,17 @@ def test_main_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_line_blocks_decide_around_and_in_marked_articles():
+    text = "".join(f"<p>Paragraph {i} with words enough to count in the sums of windows.</p>" for i in range(5))
+    shown = " ".join(f"Paragraph {i} with words enough to count in the sums of windows." for i in range(5))
+    teaser = html_text.main_text(f"<body><article><h2>Teaser</h2></article><div>Share</div>{text}<div><a href=1>Imprint</a></div></body>")
+    assert shown in teaser and "Imprint" not in teaser
+    links = "".join(f"<li><a href={i}>Other story {i}</a></li>" for i in range(12))
+    assert html_text.main_text(f"<body><p>Note</p><article>{text}<p>End.</p><ul class=more>{links}</ul></article><p>Foot</p></body>") == f"{shown} End."
+    # short paragraphs of an article stay
+    assert html_text.main_text("<article>" + "<p>Yes.</p><p>No.</p>" * 4 + "</article><p>Foot</p>") == " ".join(["Yes. No."] * 4)
+
+
 BYTE = tokenizers_.path("byte_bpe_multi_50k.tiktoken")
 
 

@@ -6,9 +6,9 @@
    with an inverted index of its own: postings by vocabulary id with BM25 weights, idf and mean length taken over
    the whole corpus.
 3. In a shard, documents of a window or more give full windows of their own. The rest, longest first, are seeds:
-   a seed asks the index with its `query_terms` strongest terms, and the unused neighbours it returns fill its
-   window greedily, best first, where they fit. What is left of the window takes the head of the best neighbour
-   that did not fit, whose rest stays unused. So only a shard's last window has padding.
+   a seed asks the index with all its terms, and the unused neighbours it returns fill its window greedily, best
+   first, where they fit. Once `fan` of them were tried and one did not fit, what is left of the window takes the
+   head of the best that did not, whose rest stays unused. So only a shard's last window has padding.
 
 Each id lies in exactly one piece. Defined results: null and empty texts are the end id alone; rows are packed one
 by one, so repeated rows and ids take part as often as they come; ties go by place in the shard, which is ordered by
@@ -41,7 +41,6 @@ class Params:
     window: int = 2048
     end_id: int = 1
     shard_tokens: int = 2_000_000
-    query_terms: int = 64
     fan: int = 24  # neighbours that are tried before the best of them is cut
     k1: float = 1.2
     b: float = 0.75
@@ -247,23 +246,29 @@ class Index:
         sizes = np.fromiter((len(t) for t, _ in found), np.int64, len(ids))
         norm = params.k1 * (1 - params.b + params.b * lengths / max(mean_length, 1e-9))
         weights = idf[terms] * tf * (params.k1 + 1) / (tf + np.repeat(norm, sizes))
-        # each document's strongest terms are its query
-        self.queries, at = [], 0
-        for (own, _), n in zip(found, sizes.tolist()):
-            if n > params.query_terms:
-                own = own[np.argpartition(-weights[at : at + n], params.query_terms)[: params.query_terms]]
-            self.queries.append(own.astype(np.int64))
-            at += n
+        self.queries = [own for own, _ in found]
         order = np.argsort(terms, kind="stable")
         self.docs, self.weights = np.repeat(np.arange(len(ids)), sizes)[order], weights[order]
         self.begin = np.searchsorted(terms[order], np.arange(len(idf) + 1))
         self.n = len(ids)
+        # terms of more than an eighth of the documents as rows over all of them
+        common = np.flatnonzero(np.diff(self.begin) * 8 > self.n)
+        self.row = np.full(len(idf), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n))
+        for k, t in enumerate(common.tolist()):
+            own = slice(self.begin[t], self.begin[t + 1])
+            self.dense[k, self.docs[own]] = self.weights[own]
 
     def scores(self, doc: int) -> np.ndarray:
-        terms = self.queries[doc]
-        begin = self.begin[terms]
-        count = self.begin[terms + 1] - begin
-        return np.bincount(gathered(self.docs, begin, count), gathered(self.weights, begin, count), self.n)
+        terms = self.queries[doc].astype(np.int64)
+        row = self.row[terms]
+        total, terms = self.dense[row[row >= 0]].sum(0), terms[row < 0]
+        if len(terms):
+            begin = self.begin[terms]
+            count = self.begin[terms + 1] - begin
+            total += np.bincount(gathered(self.docs, begin, count), gathered(self.weights, begin, count), self.n)
+        return total
 
 
 def pack_shard(ids: list[np.ndarray], index: Index, params: Params) -> Iterator[list[tuple[int, int, int]]]:
@@ -292,9 +297,18 @@ def pack_shard(ids: list[np.ndarray], index: Index, params: Params) -> Iterator[
                     room -= int(left[x])
                     unused[x] = False
             rest = [x for x in best if unused[x]]
-            while room and (rest or unused.any()):
+            if room and not rest:
+                # all that were tried fit: the next ones by score
+                for x in np.flatnonzero(unused)[np.argsort(-scores[unused], kind="stable")].tolist():
+                    if left[x] > room:
+                        rest = [x]
+                        break
+                    pieces.append((x, int(start[x]), int(left[x])))
+                    room -= int(left[x])
+                    unused[x] = False
+            while room and rest:
                 # nothing fits: the best that is left gives its head
-                x = rest.pop(0) if rest else int(np.argmax(np.where(unused, left, -1)))
+                x = rest.pop(0)
                 n = min(room, int(left[x]))
                 pieces.append((x, int(start[x]), n))
                 start[x] += n

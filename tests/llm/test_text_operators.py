@@ -227,6 +227,21 @@ def test_neighbours_come_by_score():
     assert [d for d, *_ in first][:2] == [0, 2]
 
 
+def test_all_terms_ask_and_windows_fill_by_score():
+    rng = np.random.default_rng(4)
+    # every document has more than 64 distinct terms, shared ones among them
+    ids = [rng.integers(0, 600, 300).astype(np.uint16) for _ in range(40)]
+    idf = rng.random(600) + 0.1
+    index = packing.Index(ids, idf, 300.0, packing.Params())
+    for q in range(3):
+        want = [sum(idf[t] * tf * 2.2 / (tf + 1.2) for t in set(ids[q].tolist()) if (tf := (ids[d] == t).sum())) for d in range(40)]
+        assert np.allclose(index.scores(q), want)
+    # a seed with 60 short neighbours, then documents without its terms: all neighbours come before those
+    ids = [np.full(10, 5, np.uint16)] + [np.full(9, 7, np.uint16)] * 5 + [np.full(3, 5, np.uint16)] * 60
+    first = next(packing.pack_shard(ids, packing.Index(ids, np.ones(10), 4.0, packing.Params()), packing.Params(window=190)))
+    assert sorted(d for d, *_ in first) == [0, *range(6, 66)]
+
+
 def test_sha_of_query_columns(spark, tmp_path):
     df = spark.createDataFrame([(1, "Hello wörld"), (2, None)], "doc_id long, text string")
     df.write.parquet(f"{tmp_path}/documents.parquet")

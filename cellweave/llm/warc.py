@@ -11,7 +11,8 @@ source, and SHA-1 block digests in base 32; the metadata record repeats the sour
 made from the source id and the kind, so building again gives the same records.
 
 Defined results: a null url or page is empty; pages of equal ids give equal record ids; records that aren't
-responses pass by; a malformed record gives a row with an error and no derivatives; repeated rows repeat. Texts are
+responses pass by; header names are looked up without regard to case, and a repeated header is a list of its values
+in the metadata record (of a repeated name that should be single the first counts); a malformed record gives a row with an error and no derivatives; repeated rows repeat. Texts are
 never cut. An empty table gives an empty result.
 """
 
@@ -41,18 +42,36 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PAIRS = [a + b for a in BASE32 for b in BASE32]
 
 
+# fixed values: the standard's spelling of header names, by their lower case
+NAMES = {
+    x.lower(): x
+    for x in (
+        "WARC-Type WARC-Record-ID WARC-Date WARC-Target-URI WARC-Payload-Digest WARC-Block-Digest WARC-Concurrent-To WARC-Refers-To WARC-Refers-To-Target-URI WARC-Refers-To-Date WARC-IP-Address "
+        "WARC-Truncated WARC-Warcinfo-ID WARC-Filename WARC-Profile WARC-Identified-Payload-Type WARC-Segment-Number WARC-Segment-Origin-ID WARC-Segment-Total-Length Content-Type Content-Length"
+    ).split()
+}
+
+
 @dataclass
 class Record:
-    headers: dict[str, str] = field(default_factory=dict)
+    headers: dict[str, str | list[str]] = field(default_factory=dict)
     block: bytes = b""
 
+    def first(self, name: str, default: str | None = "") -> str | None:
+        """The header's value, or the first of its values."""
+        return _listed(self.headers[name])[0] if name in self.headers else default
+
     @property
     def kind(self) -> str:
-        return self.headers.get("WARC-Type", "")
+        return self.first("WARC-Type")
 
     @property
     def id(self) -> str:
-        return self.headers.get("WARC-Record-ID", "")
+        return self.first("WARC-Record-ID")
+
+
+def _listed(value: str | list[str]) -> list[str]:
+    return value if isinstance(value, list) else [value]
 
 
 def digest(data: bytes) -> str:
@@ -71,7 +90,7 @@ def _clean(value: str) -> str:
 
 
 def write(record: Record, gzipped: bool = True) -> bytes:
-    lines = ["WARC/1.1", *(f"{k}: {_clean(v)}" for k, v in record.headers.items()), f"Content-Length: {len(record.block)}"]
+    lines = ["WARC/1.1", *(f"{k}: {_clean(v)}" for k, x in record.headers.items() for v in _listed(x)), f"Content-Length: {len(record.block)}"]
     data = "\r\n".join(lines).encode() + CRLF * 2 + record.block + CRLF * 2
     if not gzipped:
         return data
@@ -90,18 +109,20 @@ def _plain(data: bytes) -> bytes:
     return b"".join(parts)
 
 
-def _fields(lines: list[bytes]) -> dict[str, str]:
-    found: dict[str, str] = {}
+def _fields(lines: list[bytes]) -> dict[str, str | list[str]]:
+    """Values by name as it is first written; a list where a name, in whatever case, comes more than once."""
+    names: dict[str, str] = {}
+    found: dict[str, list[str]] = {}
     last = None
     for line in lines:
         text = line.decode("utf-8", "replace")
         if text[:1] in (" ", "\t") and last:
-            found[last] += " " + text.strip()
+            found[last][-1] += " " + text.strip()
         elif ":" in text:
-            last, _, value = text.partition(":")
-            last = last.strip()
-            found[last] = value.strip()
-    return found
+            name, _, value = text.partition(":")
+            last = names.setdefault(name.strip().lower(), name.strip())
+            found.setdefault(last, []).append(value.strip())
+    return {k: v if len(v) > 1 else v[0] for k, v in found.items()}
 
 
 def read(data: bytes) -> Iterator[Record]:
@@ -115,15 +136,15 @@ def read(data: bytes) -> Iterator[Record]:
         head = data[at : end if end >= 0 else len(data)].split(CRLF)
         if not head[0].startswith(b"WARC/") or end < 0:
             raise ValueError("no WARC record head")
-        headers = {k if k.startswith("WARC") else k.title(): v for k, v in _fields(head[1:]).items()}
-        size = headers.pop("Content-Length", "")
+        headers = {NAMES.get(k.lower(), k if k.startswith("WARC") else k.title()): v for k, v in _fields(head[1:]).items()}
+        size = _listed(headers.pop("Content-Length", ""))[0]
         if not size.isdigit() or end + 4 + int(size) > len(data):
             raise ValueError("bad Content-Length")
         at = end + 4 + int(size)
         yield Record(headers, data[end + 4 : at])
 
 
-def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
+def split_http(block: bytes) -> tuple[str, dict[str, str | list[str]], bytes]:
     """(status line, headers, body) of an HTTP response."""
     head, gap, body = block.partition(CRLF * 2)
     lines = head.split(CRLF)
@@ -213,11 +234,11 @@ def _linked(source: Record, kind: str, content_type: str, block: bytes) -> Recor
     headers = {
         "WARC-Type": kind,
         "WARC-Record-ID": record_id(kind, source.id),
-        "WARC-Date": source.headers.get("WARC-Date", DATE),
-        "WARC-Target-URI": source.headers.get("WARC-Target-URI", ""),
+        "WARC-Date": source.first("WARC-Date", DATE),
+        "WARC-Target-URI": source.first("WARC-Target-URI", ""),
         "WARC-Refers-To": source.id,
-        "WARC-Refers-To-Target-URI": source.headers.get("WARC-Target-URI", ""),
-        "WARC-Refers-To-Date": source.headers.get("WARC-Date", DATE),
+        "WARC-Refers-To-Target-URI": source.first("WARC-Target-URI", ""),
+        "WARC-Refers-To-Date": source.first("WARC-Date", DATE),
         "WARC-Block-Digest": digest(block),
         "Content-Type": content_type,
     }
@@ -227,12 +248,12 @@ def _linked(source: Record, kind: str, content_type: str, block: bytes) -> Recor
 def derivatives(source: Record) -> tuple[Record, Record, dict]:
     """(metadata, conversion, facts) of a response record."""
     status, headers, body = split_http(source.block)
-    found = re.search(r"charset=\"?([-\w]+)", next((v for k, v in headers.items() if k.lower() == "content-type"), ""))
+    found = re.search(r"charset=\"?([-\w]+)", next((_listed(v)[0] for k, v in headers.items() if k.lower() == "content-type"), ""))
     try:
         page = body.decode(found[1] if found else "utf-8", "replace")
     except LookupError:
         page = body.decode("utf-8", "replace")
-    facts = page_facts(page, source.headers.get("WARC-Target-URI", ""))
+    facts = page_facts(page, source.first("WARC-Target-URI", ""))
     envelope = {
         "Envelope": {
             "WARC-Header-Metadata": source.headers,
@@ -243,7 +264,7 @@ def derivatives(source: Record) -> tuple[Record, Record, dict]:
     }
     metadata = _linked(source, "metadata", "application/json", json.dumps(envelope, ensure_ascii=False).encode())
     conversion = _linked(source, "conversion", "text/plain", plain_text(page).encode())
-    conversion.headers["WARC-Source-Payload-Digest"] = source.headers.get("WARC-Payload-Digest", digest(body))
+    conversion.headers["WARC-Source-Payload-Digest"] = source.first("WARC-Payload-Digest", digest(body))
     return metadata, conversion, facts
 
 
@@ -268,7 +289,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
             for record in read(data or b""):
                 if record.kind == "response":
                     metadata, conversion, facts = derivatives(record)
-                    yield i, record.id, record.headers.get("WARC-Target-URI", ""), record.headers.get("WARC-Payload-Digest"), write(metadata), write(conversion), len(facts["Links"]), None
+                    yield i, record.id, record.first("WARC-Target-URI"), record.first("WARC-Payload-Digest", None), write(metadata), write(conversion), len(facts["Links"]), None
         except (ValueError, zlib.error) as e:
             yield i, None, None, None, None, None, None, str(e)
 

@@ -33,6 +33,19 @@ def test_warc_round_trip():
     assert warc.derivatives(back[0])[0].id == meta.id
 
 
+def test_warc_repeated_headers_and_case():
+    http = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nContent-Type: text/html\r\nset-cookie: b=2\r\n\r\n<p>x"
+    head = "WARC/1.1\r\nwarc-type: response\r\nWarc-Record-Id: <urn:r>\r\nWARC-Concurrent-To: <urn:a>\r\nwarc-concurrent-to: <urn:b>\r\n"
+    (record,) = warc.read(f"{head}content-length: {len(http)}\r\n\r\n".encode() + http + b"\r\n\r\n")
+    assert record.kind == "response" and record.id == "<urn:r>" and record.headers["WARC-Concurrent-To"] == ["<urn:a>", "<urn:b>"]
+    assert list(warc.read(warc.write(record)))[0] == record
+    meta, conversion, _ = warc.derivatives(record)
+    envelope = json.loads(meta.block)["Envelope"]
+    assert envelope["WARC-Header-Metadata"]["WARC-Concurrent-To"] == ["<urn:a>", "<urn:b>"]
+    assert envelope["Payload-Metadata"]["HTTP-Response-Metadata"]["Headers"]["Set-Cookie"] == ["a=1", "b=2"]
+    assert conversion.block == b"x"
+
+
 def test_warc_columns(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("warc", F.lit(0))
     built = warc.build_responses(pages)

@@ -366,7 +366,7 @@ def _(spark, sf):
 
 @query("enrich_conditional")
 def _(spark, sf):
-    return enriched(motif_enrichment(graph(spark, sf), 3, 8, SEED, "conditional", cond_steps=2000).table)
+    return enriched(motif_enrichment(graph(spark, sf), 3, 8, SEED, "conditional").table)
 
 
 @query("enrich_jitter")

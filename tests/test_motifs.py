@@ -312,3 +312,22 @@ def test_relabelling_and_partitions_do_not_matter(spark):
         assert catalog(M.find_motifs(build_spatial_graph(spark.createDataFrame(other).repartition(7), "knn", k=3), 4)) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_conditional_query_grows_with_the_cells(monkeypatch):
+    from cellweave import queries
+
+    asked = {}
+
+    class Stop(Exception):
+        pass
+
+    def enrich(*args, **named):
+        asked.update(named)
+        raise Stop
+
+    monkeypatch.setattr(queries, "graph", lambda *a: None)
+    monkeypatch.setattr(queries, "motif_enrichment", enrich)
+    with pytest.raises(Stop):
+        queries.QUERIES["enrich_conditional"](None, "")
+    assert asked.get("cond_steps") is None

@@ -2,23 +2,26 @@
 
 1. A document is a weighted set of word 5-grams: weight = tf * idf. Document frequencies are taken over all
    documents in a hashed table of fixed size, so the table that is broadcast is bounded whatever the corpus
-   holds. idf = 1 + gain * ln(N / df) / ln(N), between 1 and 1 + gain:
-   copying a passage lowers its idf, and an unbounded idf would let copies hide each other.
+   holds. Shingles that share a counter add up, so a document frequency is seen as at least (shingles of a document)
+   / 2**df_bits of the corpus, at any size of the corpus. idf = 1 + gain * ln(N / df) / ln(N), between 1 and
+   1 + gain: copying a passage lowers its idf, and an unbounded idf would let copies hide each other.
 2. Improved consistent weighted sampling (r, c ~ Gamma(2, 1), beta ~ U(0, 1); t = floor(ln w / r + beta),
    y = exp(r (t - beta)), a = c / (y exp(r)); the sample is (shingle, t) of the smallest a). Weights are rounded
    to a fixed ladder, so ln a and t come from a table over (rung of the ladder, slot); a shingle's slot differs
-   for each of the samples. For weights above the ladder (44) they are computed from the weight itself.
+   for each of the samples, and of shingles in one slot the one of the smallest hash counts. For weights above the
+   ladder (44) they are computed from the weight itself.
 3. Samples are banded, without shuffling texts. Rows of equal texts are collapsed by the text's md5, so groups
    of thousands of copies count once from here on.
-4. In a bucket every member is compared with the bucket's leader: the member that shares most places in all its
-   buckets, so that the original of many variants leads them wherever they meet. Members left open choose a
-   leader among themselves in a second round. Then all members of a bucket, taken by a leader or not, are paired
-   where the links found so far leave them in different components, the share of equal samples, kept as four bits
-   each, comes within `slack` of the threshold and the overlaps with the first leader allow a link (two texts share
-   at most the smaller of their overlaps with it, and the smaller of what they have beyond); those tests are part
-   of the join, so a bucket never emits all its pairs. A pair within one component can't change the classes.
-5. Candidate pairs are verified by the exact weighted Jaccard similarity of the two texts; verified links are
-   joined into classes by alternating smallest-neighbour steps with a checkpointed table between them.
+4. A bucket's leader is the member that shares most places in all its buckets, so that the original of many variants
+   leads them wherever they meet. Every member is compared with its leaders: as many pairs as places in buckets.
+5. Then the followers of a leader that the links so far leave in different components are compared among themselves,
+   all of them, exactly. That is done where their texts are: the followers are dealt into blocks of bounded size, a
+   task holds two blocks and gives the links that join components, at most one less than there are. A follower that
+   is linked leaves its component's others out, and two followers are passed over only if their overlaps with the
+   leader rule a link out (they share at most the smaller of these overlaps, and the smaller of what they have
+   beyond). Blocks of followers that are in their leader's component already don't meet each other.
+6. Similarity is always the exact weighted Jaccard similarity of the two texts; links are joined into classes by
+   alternating smallest-neighbour steps with a written table between them.
 
 Defined results: a null or empty text belongs to the class of the empty texts; texts under five words are one
 shingle of all their words; rows with a null id take part, and a class's id is its smallest id that isn't null
@@ -36,9 +39,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.llm.bpe import gathered
 from cellweave.llm.common import staged, table, text_or_empty
 
 SLOT_BITS = 17
@@ -56,10 +60,8 @@ class Params:
     rows: int = 6
     df_bits: int = 20
     idf_gain: float = 0.1
-    #: samples in all, of which bands * rows are banded; the share of equal ones has a deviation of 0.027 at 0.8,
-    #: and slack is four of them
-    samples: int = 240
-    slack: float = 0.11
+    #: characters of a block of followers
+    block: int = 4 << 20
     seed: int = 20240229
 
 
@@ -79,8 +81,7 @@ def _draws(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @cache
 def _sampling_tables(seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ranks of ln a by rung and slot, sample identity by rank)."""
-    slots = 1 << SLOT_BITS
+    """(ranks of ln a by rung and slot, in the upper half of 64 bits; t by rank)."""
     r, log_c, beta = _draws(seed)
     log_a, t = [], []
     for rung in range(RUNGS):
@@ -89,35 +90,54 @@ def _sampling_tables(seed: int) -> tuple[np.ndarray, np.ndarray]:
         t.append(step)
     flat = np.concatenate(log_a)
     order = np.argsort(flat, kind="stable")
-    ranks = np.empty(len(flat), np.uint32)
-    ranks[order] = np.arange(len(flat), dtype=np.uint32)
-    identity = (np.tile(np.arange(slots, dtype=np.uint64), RUNGS) << np.uint64(16)) | np.concatenate(t).astype(np.uint64)
-    return ranks, identity[order]
+    ranks = np.empty(len(flat), np.uint64)
+    ranks[order] = np.arange(len(flat), dtype=np.uint64) << np.uint64(32)
+    return ranks, np.concatenate(t)[order]
 
 
-class Heavy:
-    """The shingles of a chunk whose weights are above the ladder: their samples come from the weights themselves."""
+class Sampler:
+    """The samples of the texts of a chunk, given their shingles' hashes and weights and each text's offset."""
 
-    def __init__(self, seed: int, log_w: np.ndarray, hashes: np.ndarray, offsets: np.ndarray):
+    def __init__(self, seed: int, hashes: np.ndarray, weights: np.ndarray, offsets: np.ndarray):
         self.r, self.log_c, self.beta = _draws(seed)
-        at = np.flatnonzero(log_w * RUNGS_PER_E + 0.5 >= RUNGS)
-        self.log_w, self.hashes = log_w[at], hashes[at]
-        self.owners, self.starts, self.group = np.unique(np.searchsorted(offsets, at, "right") - 1, return_index=True, return_inverse=True)
-
-    def log_a(self, slot: np.ndarray, t: np.ndarray) -> np.ndarray:
+        self.ranks, self.steps = _sampling_tables(seed)
+        self.hashes, self.begin = hashes, offsets[:-1]
+        self.place = np.arange(len(hashes), dtype=np.uint64)
+        # the lowest rung is weight 1, the least that a shingle can have
+        log_w = np.log(weights)
+        rung = np.floor(log_w * RUNGS_PER_E + 0.5).astype(np.int64)
+        self.rung = np.minimum(rung, RUNGS - 1) << SLOT_BITS
+        # heavy ones are above the ladder: their samples come from the weights themselves
+        self.heavy = np.flatnonzero(rung >= RUNGS)
+        self.log_w = log_w[self.heavy]
+        self.owners, self.starts, self.group = np.unique(np.searchsorted(offsets, self.heavy, "right") - 1, return_index=True, return_inverse=True)
+        self.slot, self.found = np.empty(len(hashes), np.uint64), np.empty(len(hashes), np.uint64)
+
+    def _log_a(self, slot: np.ndarray, t: np.ndarray) -> np.ndarray:
         return self.log_c[slot] - self.r[slot] * (t - self.beta[slot]) - self.r[slot]
 
-    def improve(self, identity: np.ndarray, salt: np.uint64) -> None:
-        """Sets the sample of each text where a heavy shingle has a smaller a than the table's. A shingle's a falls
-        with its weight, so that it may also stand in the table with the top rung."""
-        slot = ((self.hashes * salt) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        t = np.floor(self.log_w / self.r[slot] + self.beta[slot])
-        log_a = self.log_a(slot, t)
-        known = identity[self.owners]
-        light = self.log_a((known >> np.uint64(16)).astype(np.int64), (known & np.uint64(0xFFFF)).astype(float))
-        least = np.minimum(np.minimum.reduceat(log_a, self.starts), light)
-        better = np.flatnonzero((log_a <= least[self.group]) & (log_a < light[self.group]))
-        identity[self.owners[self.group[better]]] = (slot[better].astype(np.uint64) << np.uint64(16)) | t[better].astype(np.uint64)
+    def __call__(self, salt: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of the sampled shingle, t) by text."""
+        np.multiply(self.hashes, salt, out=self.slot)
+        np.right_shift(self.slot, np.uint64(64 - SLOT_BITS), out=self.slot)
+        slot = self.slot.view(np.int64)
+        slot += self.rung
+        np.take(self.ranks, slot, out=self.found, mode="clip")
+        np.add(self.found, self.place, out=self.found)
+        least = np.minimum.reduceat(self.found, self.begin)
+        at, t = (least & np.uint64(0xFFFFFFFF)).astype(np.int64), self.steps[(least >> np.uint64(32)).astype(np.int64)]
+        if len(self.heavy):
+            # a falls with the weight; a heavy shingle may also stand in the table, with the top rung
+            low = (1 << SLOT_BITS) - 1
+            own = slot[self.heavy] & low
+            own_t = np.floor(self.log_w / self.r[own] + self.beta[own])
+            log_a = self._log_a(own, own_t)
+            light = self._log_a(slot[at[self.owners]] & low, t[self.owners])
+            smallest = np.minimum(np.minimum.reduceat(log_a, self.starts), light)
+            better = np.flatnonzero((log_a <= smallest[self.group]) & (log_a < light[self.group]))
+            texts = self.owners[self.group[better]]
+            at[texts], t[texts] = self.heavy[better], own_t[better]
+        return self.hashes[at], t
 
 
 class Shingler:
@@ -236,147 +256,154 @@ def idf_table(frequencies: np.ndarray, n: int, gain: float) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, idf, params: Params) -> DataFrame:
-    """rows(doc_id, rep, text) -> (doc_id, rep, keys, sketch): one key per band, four bits per sample."""
+    """rows(doc_id, rep, text) -> (doc_id, rep, keys): one key per band."""
     bands, per_band, shift = params.bands, params.rows, np.uint64(64 - params.df_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, weights = Shingler(params.words, params.seed), idf.value
-        ranks, identity = _sampling_tables(params.seed)
-        salts = _salts(params.seed + 1, params.samples)
+        salts = _salts(params.seed + 1, bands * per_band)
         mixers = _salts(params.seed + 2, per_band)
-        down = np.uint64(64 - SLOT_BITS)
         for batch in batches:
             for a, b, texts in _chunks(batch, 2):
                 hashes, tf, offsets = weighted(texts, shingler)
-                w = tf * weights[(hashes >> shift).astype(np.int64)]
-                # the lowest rung is weight 1, the least that a shingle can have
-                log_w = np.log(w.astype(float))
-                rung = np.minimum(np.floor(log_w * RUNGS_PER_E + 0.5).astype(np.int64), RUNGS - 1) << SLOT_BITS
-                heavy = Heavy(params.seed, log_w, hashes, offsets)
+                sampler = Sampler(params.seed, hashes, tf * weights[(hashes >> shift).astype(np.int64)].astype(float), offsets)
                 keys = np.zeros((bands, len(texts)), np.uint64)
-                sketch = np.zeros((-(-params.samples // 16), len(texts)), np.uint64)
                 with np.errstate(over="ignore"):
-                    for j in range(params.samples):
-                        slot = ((hashes * salts[j]) >> down).view(np.int64)
-                        slot += rung
-                        least = np.minimum.reduceat(ranks[slot], offsets[:-1])
-                        chosen = identity[least]
-                        if len(heavy.owners):
-                            heavy.improve(chosen, salts[j])
-                        sample = (chosen + np.uint64(j)) * mixers[j % per_band]
-                        if j < bands * per_band:
-                            keys[j // per_band] += sample
-                        sketch[j // 16] |= (sample >> np.uint64(60)) << np.uint64(4 * (j % 16))
+                    for j, salt in enumerate(salts):
+                        shingle, t = sampler(salt)
+                        keys[j // per_band] += (shingle + t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * mixers[j % per_band]
                     keys ^= keys >> np.uint64(31)
                     keys *= np.uint64(0x94D049BB133111EB)
                     keys ^= keys >> np.uint64(29)
-                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)]
-                for numbers in (keys, sketch):
-                    ends = np.arange(0, numbers.size + 1, len(numbers), dtype=np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(numbers.T).view(np.int64).ravel())))
-                yield pa.record_batch(columns, names=["doc_id", "rep", "keys", "sketch"])
+                ends = np.arange(0, keys.size + 1, bands, dtype=np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(keys.T).view(np.int64).ravel()))
+                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), listed], names=["doc_id", "rep", "keys"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "rep", "text").mapInArrow(run, f"doc_id {kind}, rep binary, keys array<long>, sketch array<long>")
+    return rows.select("doc_id", "rep", "text").mapInArrow(run, f"doc_id {kind}, rep binary, keys array<long>")
+
+
+class Vectors:
+    """Weighted shingles of some texts, and the exact overlaps of one of them with others."""
 
+    def __init__(self, texts: list[str], shingler: Shingler, idf: np.ndarray, shift: np.uint64):
+        hashes, tf, offsets = weighted(texts, shingler)
+        self.weights = tf * idf[(hashes >> shift).astype(np.int64)].astype(float)
+        kinds, self.ids = np.unique(hashes, return_inverse=True)
+        self.begin, self.count = offsets[:-1], np.diff(offsets)
+        self.total = np.add.reduceat(self.weights, self.begin)
+        self.own = np.zeros(len(kinds))
 
-def agreement(x: str, y: str, samples: int) -> Column:
-    """Estimated similarity of two sketches: the share of equal samples, less what four bits agree by chance."""
-    unequal = []
-    for i in range(-(-samples // 16)):
-        d = f"({x}[{i}] ^ {y}[{i}])"
-        d = f"({d} | shiftrightunsigned({d}, 1))"
-        unequal.append(f"bit_count(({d} | shiftrightunsigned({d}, 2)) & {0x1111111111111111}L)")
-    return F.expr(f"(({samples} - ({' + '.join(unequal)})) / {samples}D - 0.0625D) / 0.9375D")
+    def overlaps(self, x: int, others: np.ndarray) -> np.ndarray:
+        """The sum of the smaller weights of what text x shares with each of the others."""
+        span = slice(self.begin[x], self.begin[x] + self.count[x])
+        self.own[self.ids[span]] = self.weights[span]
+        count = self.count[others]
+        ids, weights = (gathered(v, self.begin[others], count) for v in (self.ids, self.weights))
+        low = np.add.reduceat(np.minimum(self.own[ids], weights), np.cumsum(count) - count)
+        self.own[self.ids[span]] = 0
+        return low
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, idf, params: Params) -> DataFrame:
-    """pairs(a, b) with the weights wa, wb and `low` of the two texts of texts(rep, text) and of what they share, and
-    `sim`, their weighted Jaccard similarity."""
+    """pairs(leader, rep) with `sim`, the weighted Jaccard similarity of their texts of texts(rep, text), `o`, the weight
+    of what they share, and `w`, the weight of rep's text."""
     shift = np.uint64(64 - params.df_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, weights = Shingler(params.words, params.seed), idf.value
-
-        def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
-            hashes, tf, _ = weighted([text], shingler)
-            return hashes, tf * weights[(hashes >> shift).astype(np.int64)]
-
+        shingler = Shingler(params.words, params.seed)
         for batch in batches:
-            rows, last, left = [], None, None
-            for a, x, y in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(2), batch.column(3)))):
-                if a != last:
-                    last, left = a, vector(x)
-                right = vector(y)
-                _, i, j = np.intersect1d(left[0], right[0], assume_unique=True, return_indices=True)
-                low, wa, wb = float(np.minimum(left[1][i], right[1][j]).sum()), float(left[1].sum()), float(right[1].sum())
-                rows.append((low / (wa + wb - low), low, wa, wb))
-            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, pa.float64()) for c in np.array(rows).reshape(-1, 4).T)], names=["a", "b", "sim", "low", "wa", "wb"])
-
-    joined = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a binary, b binary, sim double, low double, wa double, wb double")
-
-
-def allowed(x: tuple[str, str], y: tuple[str, str], threshold: float) -> Column:
-    """Whether two texts can be as similar as threshold, given each one's (overlap with a third text, weight)."""
-    (ox, wx), (oy, wy) = ((F.col(o), F.col(w)) for o, w in (x, y))
-    most = F.least(ox, oy) + F.least(wx - ox, wy - oy)
-    return most >= (threshold - 1e-6) * (wx + wy - most)
-
-
-def links(reps: DataFrame, rows: DataFrame, idf, params: Params, rounds: int = 2) -> DataFrame:
-    """Verified links (a, b) of reps(rep, keys, sketch, first) that join each class; rows(doc_id, rep, text) has each one's text."""
+            leaders = batch.column(0).to_pylist()
+            first = [i for i, x in enumerate(leaders) if not i or x != leaders[i - 1]]
+            start = 0
+            for i, j in zip(first, [*first[1:], len(leaders)]):
+                lead = batch.column(2)[i].as_py()
+                for a, b, own in _chunks(batch.slice(i, j - i), 3):
+                    vectors = Vectors([lead, *own], shingler, idf.value, shift)
+                    low, w = vectors.overlaps(0, np.arange(1, len(own) + 1)), vectors.total[1:]
+                    numbers = [pa.array(x, pa.float64()) for x in (low / (vectors.total[0] + w - low), low, w)]
+                    yield pa.record_batch([batch.column(0).slice(i + a, b - a), batch.column(1).slice(i + a, b - a), *numbers], names=["leader", "rep", "sim", "o", "w"])
+
+    joined = pairs.join(texts, "rep").join(texts.toDF("leader", "lead"), "leader").select("leader", "rep", "lead", "text")
+    return joined.mapInArrow(run, "leader binary, rep binary, sim double, o double, w double")
+
+
+def block_links(group: pa.Table, vectors: Vectors, i: int, j: int, threshold: float) -> list[tuple[int, int]]:
+    """Rows (x, y) of group(block, root, o, w) that are linked, x in block i and y in block j: enough of them to join all
+    components that links between the two blocks join."""
+    block, o, w = (group.column(c).to_numpy() for c in ("block", "o", "w"))
+    label = np.unique(np.array(group.column("root").to_pylist(), object).astype("S16"), return_inverse=True)[1]
+    found = []
+    order = np.argsort(-o, kind="stable")  # the leader's closest followers first
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    right = block == j
+    for x in order[block[order] == i].tolist():
+        most = np.minimum(o, o[x]) + np.minimum(w - o, w[x] - o[x])
+        able = right & (label != label[x]) & (most >= (threshold - 1e-6) * (w + w[x] - most))
+        if i == j:
+            able &= rank > rank[x]
+        others = np.flatnonzero(able)
+        if not len(others):
+            continue
+        low = vectors.overlaps(x, others)
+        linked = others[low / (vectors.total[x] + vectors.total[others] - low) >= threshold]
+        kinds, first = np.unique(label[linked], return_index=True)
+        found += [(x, y) for y in linked[first].tolist()]
+        label[np.isin(label, kinds)] = label[x]
+    return found
+
+
+def apart(sims: DataFrame, known: DataFrame, texts: DataFrame, idf, params: Params) -> DataFrame:
+    """Links (a, b) between followers of one leader that `known` leaves in different components."""
+    shift = np.uint64(64 - params.df_bits)
+    roots = known.select(F.col("node").alias("rep"), "root")
+    # who equals the leader was compared with whom the leader was compared with
+    placed = sims.where("sim < 1").join(roots, "rep", "left").select("leader", "rep", "o", "w", F.coalesce("root", "rep").alias("root"))
+    led = roots.toDF("leader", "home")
+    placed = placed.join(texts.select("rep", (F.length("text") + 256).alias("size")), "rep").join(led, "leader", "left")
+    placed = staged(placed.select("leader", "rep", "o", "w", "root", "size", F.col("root").eqNullSafe(F.col("home")).alias("at_home")), "placed")
+    size = lambda c: F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0))
+    leaders = placed.groupBy("leader").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), size(F.col("at_home")).alias("inside"), size(~F.col("at_home")).alias("outside")).where("r0 <> r1")
+    blocks = lambda c: F.ceil(F.col(c) / params.block).cast("int")
+    small = F.col("inside") + F.col("outside") <= params.block
+    leaders = leaders.select("leader", small.alias("small"), F.when(small, 1).otherwise(blocks("outside")).alias("m"), F.when(small, 0).otherwise(blocks("inside")).alias("n"))
+    # block pairs (i, j), i <= j, of m blocks of outside followers and n of inside ones, which come last as j only
+    dealt = placed.join(leaders, "leader").withColumn("h", F.xxhash64("rep"))
+    dealt = dealt.withColumn("block", F.when(F.col("small"), F.lit(0)).when(F.col("at_home"), F.expr("m + pmod(h, n)")).otherwise(F.expr("pmod(h, m)")).cast("int"))
+    left = F.expr("CASE WHEN block < m THEN transform(sequence(block, m + n - 1), k -> struct(block AS i, k AS j)) ELSE array() END")
+    right = F.expr("CASE WHEN least(block, m) > 0 THEN transform(sequence(0, least(block, m) - 1), k -> struct(k AS i, block AS j)) ELSE array() END")
+    dealt = dealt.select("leader", "rep", "root", "o", "w", "block", F.explode(F.concat(left, right)).alias("at"))
+    dealt = dealt.join(texts, "rep").select("leader", "at.i", "at.j", "rep", "root", "o", "w", "block", "text")
+    kept: list[Shingler] = []
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        kept[:] = kept or [Shingler(params.words, params.seed)]
+        vectors = Vectors(group.column("text").to_pylist(), kept[0], idf.value, shift)
+        pairs = block_links(group, vectors, key[1].as_py(), key[2].as_py(), params.threshold)
+        reps = group.column("rep")
+        return pa.table({c: reps.take(pa.array([p[k] for p in pairs], pa.int64())) for k, c in enumerate("ab")})
+
+    return dealt.groupBy("leader", "i", "j").applyInArrow(run, "a binary, b binary")
+
+
+def links(reps: DataFrame, rows: DataFrame, idf, params: Params) -> DataFrame:
+    """Verified links (a, b) of reps(rep, keys, first) that join each class; rows(doc_id, rep, text) has each one's text."""
     bucket = ["band", "key"]
-    number = F.lit(None).cast("double")
     members = reps.select("rep", F.posexplode("keys").alias("band", "key"))
     shared = members.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = staged(members.join(shared, bucket), "shared")
     fame = shared.groupBy("rep").agg(F.sum("n").alias("fame"))
-    # o, w: overlap with the bucket's first leader, and weight
-    state = staged(shared.join(fame, "rep").select(*bucket, "rep", "fame", number.alias("o"), number.alias("w"), F.lit(True).alias("open")), "members")
     # a text is taken from its first row: copies are dealt by their ids, not all to one task
     wanted = fame.select(F.col("rep").alias("r")).join(reps.select("rep", "first"), F.col("r") == F.col("rep")).select("r", "first")
     texts = rows.join(wanted, (F.col("rep") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     texts = staged(texts.select("rep", "text").dropDuplicates(["rep"]), "candidates")
-    found = None
-    for k in range(rounds):
-        first = F.struct(-F.col("fame"), F.xxhash64("rep"), "rep", "o", "w")
-        lead = state.where("open").groupBy(*bucket).agg(F.min(first).alias("l")).select(*bucket, F.col("l.rep").alias("leader"), F.col("l.o").alias("lo"), F.col("l.w").alias("lw"))
-        led = state.join(lead, bucket)
-        ends = {"a": F.least("rep", "leader"), "b": F.greatest("rep", "leader")}
-        near = led.where("rep <> leader")
-        near = near if k == 0 else near.where(allowed(("o", "w"), ("lo", "lw"), params.threshold))
-        sims = staged(similarities(near.withColumns(ends).select("a", "b").distinct(), texts, idf, params), f"sims{k}")
-        good = sims.where(F.col("sim") >= params.threshold).select("a", "b")
-        found = good if found is None else found.unionByName(good)
-        scored = led.withColumns(ends).join(sims, ["a", "b"], "left")
-        leads = F.col("rep") == F.col("leader")
-        still = F.col("open") & ~leads & (F.coalesce(F.col("sim"), F.lit(0.0)) < params.threshold)
-        if k == 0:
-            # a first leader was compared with its whole bucket and is done with, as is who equals it
-            scored = scored.where(~leads & (F.col("sim") < 1)).withColumns({"o": F.col("low"), "w": F.when(F.col("rep") == F.col("a"), F.col("wa")).otherwise(F.col("wb"))})
-        scored = staged(scored.select(*bucket, "rep", "fame", "o", "w", still.alias("open")), f"round{k}")
-        if k == 0:
-            everyone = scored
-        # buckets without open members are done
-        state = scored.join(scored.where("open").select(*bucket).distinct(), bucket, "left_semi")
-        if k + 1 < rounds:
-            state = staged(state, f"state{k}")
-    # links are asked for between components only: `known` stands for all found so far
-    known = staged(components(found), "known")
-    placed = everyone.join(known, F.col("rep") == F.col("node"), "left").select(*bucket, "rep", "o", "w", F.coalesce("root", "rep").alias("root"))
-    mixed = placed.groupBy(*bucket).agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(*bucket)
-    sketched = staged(placed.join(mixed, bucket, "left_semi").join(reps.select("rep", "keys", "sketch"), "rep"), "apart")
-    x, y = (sketched.select(*bucket, *[F.col(c).alias(f"{c}_{v}") for c in ("rep", "o", "w", "root", "keys", "sketch")]) for v in "xy")
-    # a pair that shares several buckets comes in the first of them: a text missing there led it or equals who did
-    once = F.expr("rep_x < rep_y AND root_x <> root_y")
-    alike = agreement("sketch_x", "sketch_y", params.samples) >= params.threshold - params.slack
-    first = F.expr("array_position(zip_with(keys_x, keys_y, (p, q) -> p = q), true) = x.band + 1")
-    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
-    rest = x.alias("x").join(y.alias("y"), same & once & allowed(("o_x", "w_x"), ("o_y", "w_y"), params.threshold) & alike & first)
-    pairs = rest.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
-    sims = similarities(pairs, texts, idf, params)
-    return known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(sims.where(F.col("sim") >= params.threshold).select("a", "b"))
+    state = shared.join(fame, "rep").select(*bucket, "rep", F.struct(-F.col("fame"), F.xxhash64("rep"), "rep").alias("rank"))
+    lead = state.groupBy(*bucket).agg(F.min("rank").alias("rank")).select(*bucket, F.col("rank.rep").alias("leader"))
+    led = state.join(lead, bucket).where("rep <> leader").select("leader", "rep").distinct()
+    sims = staged(similarities(led, texts, idf, params), "sims")
+    known = staged(components(sims.where(F.col("sim") >= params.threshold).select(F.col("leader").alias("a"), F.col("rep").alias("b"))), "known")
+    return known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(apart(sims, known, texts, idf, params))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -407,7 +434,7 @@ def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
     frequencies, n = document_frequencies(rows, params)
     idf = docs.sparkSession.sparkContext.broadcast(idf_table(frequencies, n, params.idf_gain))
     signed = staged(signatures(rows, idf, params), "signatures")
-    reps = signed.groupBy("rep").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    reps = signed.groupBy("rep").agg(F.first("keys").alias("keys"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     reps = staged(reps, "reps")
     roots = components(links(reps.drop("copies"), rows, idf, params))
     groups = reps.select("rep", "first", "copies")

@@ -153,46 +153,87 @@ def test_links_between_led_members(docs):
     assert {r.doc_id: r.class_id for r in rows} == dict(enumerate(root))
 
 
-def test_samples_agree_as_often_as_weighted_similarity(spark, docs):
-    rng = random.Random(1)
-    a = words(rng, 400)
-    b = a[:300] + words(rng, 100)
-    ranks, identity = near_dedup._sampling_tables(1)
-    shingler = near_dedup.Shingler(5, 1)
+def sampled_agreement(texts, rounds):
+    """(share of equal samples of two texts, their weighted Jaccard similarity), without idf."""
+    hashes, tf, offsets = near_dedup.weighted(texts, near_dedup.Shingler(5, 1))
+    sampler = near_dedup.Sampler(1, hashes, tf.astype(float), offsets)
     hits = 0
-    salts = near_dedup._salts(77, 2000)
-    hashes, tf, offsets = near_dedup.weighted([" ".join(a), " ".join(b)], shingler)
     with np.errstate(over="ignore"):
-        for s in salts:
-            slot = ((hashes * s) >> np.uint64(64 - near_dedup.SLOT_BITS)).astype(np.int64)
-            x, y = identity[np.minimum.reduceat(ranks[slot], offsets[:-1])]
-            hits += x == y
-    sets = [set(hashes[p:q].tolist()) for p, q in zip(offsets, offsets[1:])]
-    want = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-    assert abs(hits / 2000 - want) < 0.04
+        for salt in near_dedup._salts(77, rounds):
+            (x, y), (t, u) = sampler(salt)
+            hits += x == y and t == u
+    one, two = (dict(zip(hashes[p:q].tolist(), tf[p:q].tolist())) for p, q in zip(offsets, offsets[1:]))
+    low = sum(min(n, two.get(k, 0)) for k, n in one.items())
+    return hits / rounds, low / (tf.sum() - low)
+
+
+def test_samples_agree_as_often_as_weighted_similarity():
+    rng = random.Random(1)
+    a = words(rng, 400)
+    got, want = sampled_agreement([" ".join(a), " ".join(a[:300] + words(rng, 100))], 2000)
+    assert abs(got - want) < 0.04
+    # unrelated texts of more shingles than there are slots share no samples
+    texts = [" ".join(map(str, rng.sample(range(10**9), 400_000))) for _ in range(2)]
+    assert sampled_agreement(texts, 120) == (0, 0)
 
 
-def test_samples_of_heavy_shingles(spark, docs):
+def test_samples_of_heavy_shingles(docs):
     rng = random.Random(3)
     texts = []
     for a, b in ((304, 304), (304, 285), (470, 470), (470, 430), (900, 1000)) * 2:
         phrase = words(rng, 8)
-        texts += [" ".join(phrase * n + words(rng, n // 2)) for n in (a, b)]
-    d, params = docs(texts), near_dedup.Params()
-    rows = d.select("doc_id", F.col("text"), F.unhex(F.md5("text")).alias("rep"))
-    idf = spark.sparkContext.broadcast(near_dedup.idf_table(*near_dedup.document_frequencies(rows, params), params.idf_gain))
-    signed = near_dedup.signatures(rows, idf, params)
-    x, y = (signed.select((F.col("doc_id") / 2).cast("long").alias("pair"), F.col("sketch").alias(f"s{v}"), F.col("rep").alias(v), "doc_id").where(F.col("doc_id") % 2 == i).drop("doc_id") for i, v in enumerate("ab"))
-    pairs = x.join(y, "pair").withColumn("guess", near_dedup.agreement("sa", "sb", params.samples))
-    both = near_dedup.similarities(pairs.select("a", "b"), rows.select("rep", "text"), idf, params).join(pairs.select("a", "b", "guess"), ["a", "b"]).collect()
-    assert len(both) == 10 and all(r.sim >= 0.8 and abs(r.guess - r.sim) < 0.11 for r in both)
-    assert {r.doc_id: r.class_id for r in near_dedup.classes(d).collect()} == {i: i - i % 2 for i in range(20)}
-
-
-def test_slack_is_four_deviations():
-    p = near_dedup.Params()
-    equal = p.threshold + (1 - p.threshold) / 16  # four bits agree by chance
-    assert p.slack >= 4 * (equal * (1 - equal) / p.samples) ** 0.5 / 0.9375
+        pair = [" ".join(phrase * n + words(rng, n // 2)) for n in (a, b)]
+        got, want = sampled_agreement(pair, 600)
+        assert want >= 0.8 and abs(got - want) < 0.07
+        texts += pair
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(docs(texts)).collect()} == {i: i - i % 2 for i in range(20)}
+
+
+def plain_classes(texts, gain):
+    """(class by text, the linked pairs) of brute force over distinct word texts."""
+    sets = [Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4)) for x in (t.lower().split() for t in texts)]
+    frequency = Counter(s for x in sets for s in x)
+    idf = {s: 1 + gain * np.log(len(texts) / n) / np.log(len(texts)) for s, n in frequency.items()}
+    owners, size = defaultdict(list), [sum(n * idf[s] for s, n in x.items()) for x in sets]
+    root, pairs = list(range(len(texts))), []
+    for b, x in enumerate(sets):
+        low = Counter()
+        for s, n in x.items():
+            for a, m in owners[s]:
+                low[a] += min(n, m) * idf[s]
+            owners[s].append((b, n))
+        pairs += [(a, b) for a, v in low.items() if v >= 0.8 * (size[a] + size[b] - v)]
+    for a, b in pairs:
+        x, y = sorted((root[a], root[b]))
+        if x != y:
+            root = [x if r == y else r for r in root]
+    return root, pairs
+
+
+@pytest.mark.parametrize("block", [4 << 20, 30_000])
+def test_drifting_group_and_triples_at_production_parameters(docs, block):
+    """Recall against brute force; in small blocks the group's followers meet in block pairs."""
+    rng = random.Random(21)
+    texts, base = [], words(rng, 150)
+    for _ in range(260):  # variants at all distances from the original, and variants of variants
+        own = list(base) if rng.random() < 0.7 or not texts else texts[-1].split()
+        for _ in range(rng.choice((0, 1, 2, 3, 4, 5, 7))):
+            own[rng.randrange(150)] = words(rng, 1)[0]
+        texts.append(" ".join(own))
+    for _ in range(100):
+        own = words(rng, 120)
+        texts.append(" ".join(own))
+        for n in (1, 3):
+            for _ in range(n):
+                own[rng.randrange(120)] = words(rng, 1)[0]
+            texts.append(" ".join(own))
+    texts = list(dict.fromkeys(texts))
+    params = near_dedup.Params(block=block)
+    cls = {r.doc_id: r.class_id for r in near_dedup.classes(docs(texts), params).collect()}
+    root, pairs = plain_classes(texts, params.idf_gain)
+    assert sum(cls[a] == cls[b] for a, b in pairs) >= 0.999 * len(pairs)
+    assert all(root[c] == root[i] for i, c in cls.items())  # nothing is joined that brute force leaves apart
+    assert sum(cls[i] == r for i, r in enumerate(root)) >= len(texts) - 2
 
 
 def test_components(spark):

@@ -27,6 +27,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ class Params:
 
 
 #: characters whose normal form, lower case and class the fast path shares with the tokenizer
-UNSURE = r"[^\x00-\x1b\x20-\x84\x86-įı-ɏ]"
+UNSURE = r"[^\x00-\x1b\x20-\x7e\x80-\x84\x86-įı-ɏ]"
 MARKS = ".,;:!?"
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -64,30 +65,32 @@ class FastWords:
 
     The tokenizer merges listed pairs only. The two agree on a word if every token of the result arises from listed
     pairs alone when its own bytes are merged; the tokens for which that fails are found once, and a word that has
-    one of them is left to the tokenizer. Byte 255, which no text has, marks the end of a word.
+    one of them is left to the tokenizer. Byte 127, which no sure text has, marks the end of a word.
     """
 
+    END = b"\x7f"
+
     def __init__(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        chars, suffix, vocab = _byte_chars(), model["end_of_word_suffix"], model["vocab"]
+        chars, suffix, vocab, end = _byte_chars(), model["end_of_word_suffix"], model["vocab"], self.END
 
         def coded(token: str) -> bytes:
-            end = token.endswith(suffix)
-            return bytes(chars[c] for c in token.removesuffix(suffix)) + (b"\xff" if end else b"")
+            return bytes(chars[c] for c in token.removesuffix(suffix)) + (end if token.endswith(suffix) else b"")
 
-        ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 255]): 256 + b for b in range(255)}
+        inner = [b for b in range(256) if b != end[0]]
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b]) + end: 256 + b for b in inner}
         names = {i: c for c, i in chars.items()}
         self.ids = np.full(512 + len(model["merges"]), -1, np.int32)
-        for b in range(255):
+        for b in inner:
             self.ids[b], self.ids[256 + b] = vocab.get(names[b], -1), vocab.get(names[b] + suffix, -1)
         listed: dict[bytes, tuple[bytes, bytes]] = {}
         for i, merge in enumerate(model["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
             whole = coded(left) + coded(right)
-            if b"\xff" in whole[:-1] or whole in ranks:
+            if end in whole[:-1] or whole in ranks:
                 continue  # never met, or a second way to the same token, which isn't taken here
             ranks[whole] = 512 + i
             self.ids[512 + i] = vocab[left + right]
@@ -95,16 +98,15 @@ class FastWords:
         for token, (left, right) in listed.items():
             if not self._arises(token, left, right, ranks, listed):
                 self.ids[ranks[token]] = -1
-        self.names = [None if i < 0 else int(i).to_bytes(2, "little") for i in self.ids]
-        encode = self.encode = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-
-        self.marks = {m: [self.names[i] for i in encode(m.encode() + b"\xff")] for m in MARKS}
+        self.last = np.zeros(len(self.ids), bool)
+        self.last[[i for token, i in ranks.items() if token.endswith(end) and len(token) > 1]] = True
+        self.encode = tiktoken.Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
-    @staticmethod
-    def _arises(token: bytes, left: bytes, right: bytes, ranks: dict, listed: dict) -> bool:
+    @classmethod
+    def _arises(cls, token: bytes, left: bytes, right: bytes, ranks: dict, listed: dict) -> bool:
         parts = [token[i : i + 1] for i in range(len(token))]
-        if len(parts) > 1 and parts[-1] == b"\xff":
-            parts[-2:] = [parts[-2] + b"\xff"]
+        if len(parts) > 1 and parts[-1] == cls.END:
+            parts[-2:] = [parts[-2] + cls.END]
         while len(parts) > 1:
             best, at = min((ranks.get(x + y, 1 << 30), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
             if best == 1 << 30:
@@ -115,21 +117,30 @@ class FastWords:
             parts[at : at + 2] = [whole]
         return True
 
-    def __call__(self, words: list[str], slow) -> list[bytes]:
-        """Ids of each word as packed 16-bit numbers; slow(words) encodes those that can't be told here."""
-        names, encode, marks = self.names, self.encode, self.marks
-        out = [marks[w] if w in marks else [names[i] for i in encode(w.encode() + b"\xff")] for w in words]
-        left = [i for i, x in enumerate(out) if None in x]
-        for i, found in zip(left, slow([words[i] for i in left]) if left else ()):
-            out[i] = [int(x).to_bytes(2, "little") for x in found]
-        return list(map(b"".join, out))
+    def __call__(self, words: pa.Array, slow) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, count per word); slow(words) encodes those that can't be told here."""
+        if not len(words):
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        end = self.END.decode()
+        whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
+        tokens = self.encode(pc.binary_join(whole, f"{end} ")[0].as_py() + end).astype(np.int64)
+        ids, ends = self.ids[tokens], np.flatnonzero(self.last[tokens]) + 1
+        begin = np.append(0, ends[:-1])
+        count = ends - begin
+        left = np.flatnonzero(np.minimum.reduceat(ids, begin) < 0)
+        if len(left):
+            found = slow(words.take(pa.array(left)).to_pylist())
+            count[left] = np.fromiter(map(len, found), np.int64, len(found))
+            begin[left] = len(ids) + np.cumsum(count[left]) - count[left]
+            ids = gathered(np.append(ids, np.array([x for own in found for x in own], np.int32)), begin, count)
+        return ids.astype(np.uint16), count
 
 
 class WordTokenizer:
-    """The ids of whole texts as packed 16-bit numbers. No pre-token crosses white space, so a text is cut there and
-    each distinct piece is encoded once as long as it is remembered."""
+    """The ids of whole texts. No pre-token crosses white space, so texts are cut there by Arrow, whose white space is
+    Python's. A piece is a word and a mark at its end; each distinct word is encoded once for all texts of a call."""
 
-    def __init__(self, path: str, remembered: int = 3 << 17):
+    def __init__(self, path: str):
         import re
 
         import regex
@@ -141,38 +152,48 @@ class WordTokenizer:
         self.size = self.tokenizer.get_vocab_size()
         self.unsure, self.find = re.compile(UNSURE).search, regex.compile(PRE_TOKENS).findall
         self.words = FastWords(path)
-        self.remembered = remembered
-        self.known: dict[str, bytes] = {}
 
     def _slow(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _words(self, piece: str) -> list[str]:
-        """The pre-tokens of a piece; most pieces are letters, or letters and one mark, and need no pattern."""
-        if piece.isalpha():
-            return [piece.lower()]
-        if piece[-1] in MARKS and piece[:-1].isalpha():
-            return [piece[:-1].lower(), piece[-1]]
-        return self.find(piece.lower())
-
-    def _learn(self, pieces: set[str]) -> None:
-        found = [self._words(x) for x in pieces]
-        ids = iter(self.words([w for x in found for w in x], self._slow))
-        for piece, words in zip(pieces, found):
-            self.known[piece] = next(ids) if len(words) == 1 else b"".join([next(ids) for _ in words])
-
-    def __call__(self, text: str) -> bytes:
-        if self.unsure(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        pieces = text.split()
-        ids = list(map(self.known.get, pieces))
-        if None in ids:
-            if len(self.known) > self.remembered:
-                self.known.clear()
-                ids = [None] * len(pieces)
-            self._learn({x for x, i in zip(pieces, ids) if i is None})
-            ids = map(self.known.__getitem__, pieces)
-        return b"".join(ids)
+    def _encoded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, count): the ids of piece i are ids[begin[i] : begin[i] + count[i]]. Most pieces are letters and
+        need no pattern."""
+        letters = pc.utf8_is_alpha(pieces)
+        other = [self.find(x) for x in pieces.filter(pc.invert(letters)).to_pylist()]
+        plain = pieces.filter(letters)
+        flat = pa.concat_arrays([plain, pa.array([w for x in other for w in x], plain.type)])
+        ids, lengths = self.words(flat, self._slow)
+        words = np.append(np.ones(len(plain), np.int64), np.fromiter(map(len, other), np.int64, len(other)))
+        ends = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(words))]
+        order = np.argsort(~letters.to_numpy(zero_copy_only=False), kind="stable")
+        begin, count = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        begin[order], count[order] = ends[:-1], np.diff(ends)
+        return ids, begin, count
+
+    def _sure(self, texts: list[str]) -> list[np.ndarray]:
+        cut = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        low = pc.utf8_lower(cut.values)
+        word = pc.utf8_rtrim(low, MARKS)
+        marked = pc.and_(pc.equal(pc.subtract(pc.utf8_length(low), pc.utf8_length(word)), 1), pc.utf8_is_alpha(pc.utf8_slice_codeunits(word, -1)))
+        words = pc.if_else(marked, word, low).dictionary_encode()
+        marks = pc.if_else(marked, pc.utf8_slice_codeunits(low, -1), "").dictionary_encode()
+        ids, begin, count = self._encoded(pa.concat_arrays([words.dictionary, marks.dictionary]))
+        at = np.empty(2 * len(low), np.int64)
+        at[::2], at[1::2] = words.indices.to_numpy(), marks.indices.to_numpy() + np.int64(len(words.dictionary))
+        count = count[at]
+        flat, ends = gathered(ids, begin[at], count), np.append(0, np.cumsum(count))[2 * cut.offsets.to_numpy()]
+        return [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        out: list = [None] * len(texts)
+        for i, text in enumerate(texts):
+            if self.unsure(text):
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
+        sure = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(sure, self._sure([texts[i] for i in sure]) if sure else ()):
+            out[i] = ids
+        return out
 
 
 @cache
@@ -180,22 +201,22 @@ def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def _pack_ids(ids: bytes) -> bytes:
-    return squeezed(np.frombuffer(ids, np.uint8).reshape(-1, 2).T.tobytes(), 1)
+def _pack_ids(ids: np.ndarray) -> bytes:
+    return squeezed(ids.view(np.uint8).reshape(-1, 2).T.tobytes(), 1)
 
 
 def _unpack_ids(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(unsqueezed(data), np.uint8).reshape(2, -1).T).view(np.uint16).ravel()
 
 
-def tokenized(docs: DataFrame, path: str, params: Params = Params(), chunk: int = 1 << 20) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, params: Params = Params(), chunk: int = 1 << 22) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, row, n, ids, lane, df): a row per document, and one with df per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         tokenizer, part, row, df, total = _tokenizer(path), TaskContext.get().partitionId(), 0, None, 0
-        end = params.end_id.to_bytes(2, "little")
+        end = np.array([params.end_id], np.uint16)
         names = ["doc_id", "row", "n", "ids", "lane", "df"]
         for batch in batches:
             df = np.zeros(max(tokenizer.size, params.end_id + 1), np.int64) if df is None else df
@@ -206,10 +227,10 @@ def tokenized(docs: DataFrame, path: str, params: Params = Params(), chunk: int
                 held += len(text)
                 if held < chunk and i + 1 < len(listed):
                     continue
-                ids = [tokenizer(x) + end for x in texts]
+                ids = [np.append(x, end) for x in tokenizer(texts)]
                 for x in ids:
-                    df[np.unique(np.frombuffer(x, "<u2"))] += 1
-                n = [len(x) // 2 for x in ids]
+                    df[np.unique(x)] += 1
+                n = [len(x) for x in ids]
                 total += sum(n)
                 rows = np.arange(row, row + len(ids), dtype=np.int64) + (part << 33)
                 row += len(ids)

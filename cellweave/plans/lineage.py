@@ -1,18 +1,39 @@
-"""Cutting the lineage of frames that a loop builds on."""
+"""Folders that driver and executors share, and cutting the lineage of frames that a loop builds on."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+CHECKPOINT_KEY = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Only a local session may go without: it gets a temporary one, which goes when
+    Python ends; on a cluster a folder that the executors don't share would lose what they write."""
+    found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="cellweave-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder, which all executors share, and read from there.
 
-    Only where the session names no folder (local runs) a temporary one is set.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellweave-"))
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder."""
+    return f"{shared_dir(spark)}/cellweave/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the session's checkpoint folder, which all executors share, and read from there."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

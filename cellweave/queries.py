@@ -6,7 +6,9 @@ Doubles are rounded before they are compared.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import warnings
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.stats import with_bh
@@ -15,9 +17,11 @@ from cellweave.operators import motifs as M
 from cellweave.operators import niche
 from cellweave.operators.build import build_spatial_graph, knn_edges
 from cellweave.operators.compare import compare_motifs
-from cellweave.operators.enrichment import motif_enrichment, motif_enrichment_stream, test_motif_enrichment
+from cellweave.operators.enrichment import motif_enrichment, motif_enrichment_store, motif_enrichment_stream, test_motif_enrichment
 from cellweave.operators.genes import associate_genes
-from cellweave.sources.graph_io import integer_graph, store_graph
+from cellweave.plans.lineage import scratch
+from cellweave.sources.graph_io import integer_graph, read_spatial_graph, store_graph, store_node_order, write_spatial_graph
+from cellweave.sources.reports import report_table, write_table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -104,7 +108,15 @@ def _(spark, sf):
     return graph(spark, sf, "knn", k=6, max_distance=0.02).edges.select("source", "target", F.round("distance", 9).alias("distance"))
 
 
-@query("edges_delaunay")
+# a pair is linked if a circle through both holds no other point: among those through the pair, others on its left bound
+# the circle's place on the bisector from above, others on its right from below
+D_SQL = f"""{P_SQL}, pr AS (SELECT a.cell_id source, b.cell_id target, a.x x0, a.y y0, b.x x1, b.y y1 FROM p a JOIN p b ON a.cell_id < b.cell_id),
+ tt AS (SELECT source, target, x0, y0, x1, y1, (x1 - x0) * (c.y - y0) - (y1 - y0) * (c.x - x0) s, (c.x - x0) * (c.x - x1) + (c.y - y0) * (c.y - y1) q FROM pr JOIN p c ON c.cell_id <> source AND c.cell_id <> target),
+ de AS (SELECT source, target, sqrt((x0 - x1) * (x0 - x1) + (y0 - y1) * (y0 - y1)) d FROM tt GROUP BY source, target, x0, y0, x1, y1
+  HAVING coalesce(max(q / (2 * s)) FILTER (WHERE s < 0), '-inf'::double) <= coalesce(min(q / (2 * s)) FILTER (WHERE s > 0), 'inf'::double))"""
+
+
+@query("edges_delaunay", f"WITH {D_SQL} SELECT source, target, round(d, 9) distance FROM de")
 def _(spark, sf):
     return graph(spark, sf, "delaunay").edges.select("source", "target", F.round("distance", 9).alias("distance"))
 
@@ -183,8 +195,9 @@ def _(spark, sf):
 
 
 # walking orders of paths and cycles, over ordered quadruples of linked cells
-X4_SQL = f"""{E_SQL}, {ADJ_SQL}, ek AS (SELECT source, target FROM e), w AS (SELECT a.b v1, a.x v2, b.x v3, c.x v4 FROM adj a JOIN adj b ON b.b = a.x AND b.x <> a.b JOIN adj c ON c.b = b.x AND c.x <> a.x AND c.x <> a.b),
- wf AS (SELECT w.*, o13.b IS NOT NULL e13, o24.b IS NOT NULL e24, o14.b IS NOT NULL e14 FROM w LEFT JOIN adj o13 ON o13.b = v1 AND o13.x = v3 LEFT JOIN adj o24 ON o24.b = v2 AND o24.x = v4 LEFT JOIN adj o14 ON o14.b = v1 AND o14.x = v4),
+W4_SQL = """w AS (SELECT a.b v1, a.x v2, b.x v3, c.x v4 FROM adj a JOIN adj b ON b.b = a.x AND b.x <> a.b JOIN adj c ON c.b = b.x AND c.x <> a.x AND c.x <> a.b),
+ wf AS (SELECT w.*, o13.b IS NOT NULL e13, o24.b IS NOT NULL e24, o14.b IS NOT NULL e14 FROM w LEFT JOIN adj o13 ON o13.b = v1 AND o13.x = v3 LEFT JOIN adj o24 ON o24.b = v2 AND o24.x = v4 LEFT JOIN adj o14 ON o14.b = v1 AND o14.x = v4)"""
+X4_SQL = f"""{E_SQL}, {ADJ_SQL}, ek AS (SELECT source, target FROM e), {W4_SQL},
  ws AS (SELECT list_sort([v1, v2, v3, v4]) q, CASE WHEN e14 THEN 'cycle' ELSE 'path' END topology, min(k1.cell_type || '-' || k2.cell_type || '-' || k3.cell_type || '-' || k4.cell_type) t FROM wf
   JOIN p k1 ON k1.cell_id = v1 JOIN p k2 ON k2.cell_id = v2 JOIN p k3 ON k3.cell_id = v3 JOIN p k4 ON k4.cell_id = v4 WHERE NOT e13 AND NOT e24 GROUP BY ALL)"""
 
@@ -244,6 +257,11 @@ def _(spark, sf):
     return M.find_motifs(graph(spark, sf), 3, max_instances=500).catalog.select("motif_id", "count")
 
 
+@query("plot_data", f"""WITH {I3_SQL}, c AS (SELECT {L3} m, count(*) n FROM i3 GROUP BY 1 ORDER BY n DESC, m LIMIT 15) SELECT CASE WHEN length(m) > 18 THEN left(m, 15) || '...' ELSE m END "label", n "count" FROM c""")
+def _(spark, sf):
+    return M.find_motifs(graph(spark, sf), 3).plot_data(15, 18)
+
+
 @query("motif_density", f"WITH {I3_SQL}, u AS (SELECT unnest(cells) c FROM i3) SELECT cell_id, count(c) n FROM p LEFT JOIN u ON c = cell_id GROUP BY cell_id")
 def _(spark, sf):
     sg = graph(spark, sf)
@@ -359,20 +377,69 @@ def _(spark, sf):
     return tested(test_motif_enrichment(M.find_motifs(sg, 4), sg, "label_permutation", PERMS, SEED).table)
 
 
-@query("enrich_s4")
+# permuted and observed labels of all walks of paths and cycles, the least of which names the class, and of other shapes
+S4_SQL = f"""wk AS (SELECT list_sort([v1, v2, v3, v4]) q, CASE WHEN e14 THEN 'cycle' ELSE 'path' END topology, v1, v2, v3, v4 FROM wf WHERE NOT e13 AND NOT e24),
+ oth AS (SELECT * FROM i4 WHERE topology NOT IN ('path', 'cycle')),
+ rw AS (SELECT l1.perm perm, q, topology, min(l1.label || '-' || l2.label || '-' || l3.label || '-' || l4.label) t FROM wk JOIN pl l1 ON l1.cell_id = v1 JOIN pl l2 ON l2.cell_id = v2 AND l2.perm = l1.perm JOIN pl l3 ON l3.cell_id = v3 AND l3.perm = l1.perm JOIN pl l4 ON l4.cell_id = v4 AND l4.perm = l1.perm GROUP BY ALL),
+ ro AS (SELECT l1.perm perm, topology, d1, d2, d3, d4, l1.label c1, l2.label c2, l3.label c3, l4.label c4 FROM oth JOIN pl l1 ON l1.cell_id = q[1] JOIN pl l2 ON l2.cell_id = q[2] AND l2.perm = l1.perm JOIN pl l3 ON l3.cell_id = q[3] AND l3.perm = l1.perm JOIN pl l4 ON l4.cell_id = q[4] AND l4.perm = l1.perm),
+ nc AS (SELECT perm, motif_id, count(*) n FROM (SELECT perm, 'size4_' || topology || '_' || t motif_id FROM rw UNION ALL SELECT perm, 'size4_' || topology || '_' || {T4} FROM ro) GROUP BY ALL),
+ ow AS (SELECT q, topology, min(k1.cell_type || '-' || k2.cell_type || '-' || k3.cell_type || '-' || k4.cell_type) t FROM wk JOIN p k1 ON k1.cell_id = v1 JOIN p k2 ON k2.cell_id = v2 JOIN p k3 ON k3.cell_id = v3 JOIN p k4 ON k4.cell_id = v4 GROUP BY ALL),
+ ob AS (SELECT motif_id, count(*) o FROM (SELECT 'size4_' || topology || '_' || t motif_id FROM ow UNION ALL SELECT 'size4_' || topology || '_' || {T4} FROM oth) GROUP BY ALL)"""
+
+
+@query("enrich_s4", f"WITH {I4_SQL}, {W4_SQL}, {perm_sql(repr(''))}, {S4_SQL}, {moments('FULL')} {ENR}")
 def _(spark, sf):
     return enriched(motif_enrichment(graph(spark, sf), 4, PERMS, SEED).table)
 
 
 @query("enrich_conditional")
 def _(spark, sf):
-    return enriched(motif_enrichment(graph(spark, sf), 3, 8, SEED, "conditional").table)
+    return enriched(motif_enrichment(graph(spark, sf), 3, PERMS, SEED, "conditional").table)
 
 
-@query("enrich_jitter")
+def uniform_sql(tag: str) -> str:
+    return f"((('0x' || substr(md5('{SEED}:' || perm || ':' || cell_id || ':{tag}'), 1, 13))::bigint + 1) / 4503599627370496.0::double)"
+
+
+@query(
+    "enrich_jitter",
+    f"""WITH {E_SQL}, pj AS (SELECT perm, cell_id, cell_type, x + sqrt(-2 * ln({uniform_sql('r')})) * 0.01 * cos(2 * pi() * {uniform_sql('a')}) x, y + sqrt(-2 * ln({uniform_sql('r')})) * 0.01 * sin(2 * pi() * {uniform_sql('a')}) y
+  FROM p, (SELECT unnest(range({PERMS})) perm)), ej AS (SELECT a.perm perm, a.cell_type sc, b.cell_type tc FROM pj a JOIN pj b ON a.perm = b.perm AND a.cell_id < b.cell_id, r WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= r * r),
+ nc AS (SELECT perm, 'size2_edge_' || least(sc, tc) || '-' || greatest(sc, tc) motif_id, count(*) n FROM ej GROUP BY ALL), ob AS (SELECT 'size2_edge_' || least(sc, tc) || '-' || greatest(sc, tc) motif_id, count(*) o FROM e GROUP BY ALL), {moments('LEFT')} {TST}""",
+)
 def _(spark, sf):
     sg = graph(spark, sf)
-    return tested(test_motif_enrichment(M.find_motifs(sg, 2), sg, "geometric_jitter", 8, SEED, null_args={"sd": 0.01}).table)
+    return tested(test_motif_enrichment(M.find_motifs(sg, 2), sg, "geometric_jitter", PERMS, SEED, null_args={"sd": 0.01}).table)
+
+
+# a seventh of the cells has no region: such cells keep their labels, or are a stratum of their own
+def bare(spark, sf) -> SpatialGraph:
+    sg = graph(spark, sf)
+    return SpatialGraph(sg.nodes.withColumn("region_id", F.when(F.col("cell_id").cast("long") % 7 != 0, F.col("region_id"))), sg.edges, sg.meta)
+
+
+BARE = ("embedding[2] >= 0 THEN 'N' ELSE 'S' END) region_id", "embedding[2] >= 0 THEN 'N' ELSE 'S' END) || CASE WHEN vec_id % 7 = 0 THEN NULL ELSE '' END region_id")
+
+
+@query("enrich_null_stratum", f"WITH {E_SQL}, {perm_sql('region_id', 'region_id IS NULL')}, {NULL2}, {moments('FULL')} {ENR}".replace(*BARE))
+def _(spark, sf):
+    return enriched(motif_enrichment(bare(spark, sf), 2, PERMS, SEED, "stratified").table)
+
+
+@query("enrich_test_null_region", f"WITH {E_SQL}, {perm_sql(repr('<NA>')).replace(repr('<NA>'), 'coalesce(region_id, ' + repr('<NA>') + ')')}, {NULL2}, {moments('LEFT')} {TST}".replace(*BARE))
+def _(spark, sf):
+    sg = bare(spark, sf)
+    return tested(test_motif_enrichment(M.find_motifs(sg, 2), sg, "region_stratified", PERMS, SEED).table)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with the place of each row in its order."""
+    return df.withColumn("__at", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("__at"))).drop("__at")
+
+
+@query("enrich_order", f"WITH {E_SQL}, {perm_sql(repr(''))}, {NULL2}, {moments('FULL')}, o AS ({ENR}) SELECT row_number() OVER (ORDER BY p_adj, z DESC, motif_id) place, motif_id, p_adj FROM o")
+def _(spark, sf):
+    return numbered(enriched(motif_enrichment(graph(spark, sf), 2, PERMS, SEED).table)).select("place", "motif_id", "p_adj")
 
 
 # parts bought in one order, as an edge store with integer ids
@@ -401,6 +468,65 @@ def _(spark, sf):
     return enriched(motif_enrichment_stream(purchases(spark, sf), brands(spark, sf), 2, PERMS, SEED).table)
 
 
+def stored(spark, sf) -> tuple[str, str]:
+    """The parquet tables of the edge store, written to the shared folder."""
+    base = scratch(spark, "store")
+    read(spark, sf, "part").select(F.col("p_name").alias("node_id"), F.col("p_partkey").alias("int_id")).write.parquet(f"{base}/nodes")
+    purchases(spark, sf).write.parquet(f"{base}/edges")
+    return f"{base}/nodes", f"{base}/edges"
+
+
+@query("edge_store_parquet_enrich", f"WITH {S_SQL}, {perm_sql(repr(''))}, {NULL2}, {moments('FULL')} {ENR}")
+def _(spark, sf):
+    return enriched(motif_enrichment_store(spark, *stored(spark, sf), brands(spark, sf), 2, PERMS, SEED).table)
+
+
+@query("edge_store_node_order", "SELECT p_name node_id, p_partkey int_id, row_number() OVER (ORDER BY p_partkey) place FROM part")
+def _(spark, sf):
+    return numbered(store_node_order(spark, stored(spark, sf)[0]))
+
+
+@query("graph_round_trip", f"WITH {E_SQL} SELECT source, target, round(sqrt(d2), 9) distance, e.sample_id sample_id, a.cell_type source_type, b.region_id target_region FROM e JOIN p a ON a.cell_id = source JOIN p b ON b.cell_id = target")
+def _(spark, sf):
+    base = scratch(spark, "graph")
+    write_spatial_graph(graph(spark, sf), f"{base}/nodes", f"{base}/edges")
+    sg = read_spatial_graph(spark, f"{base}/nodes", f"{base}/edges")
+    types, regions = sg.nodes.select(F.col("cell_id").alias("source"), F.col("cell_type").alias("source_type")), sg.nodes.select(F.col("cell_id").alias("target"), F.col("region_id").alias("target_region"))
+    return sg.edges.join(types, "source").join(regions, "target").select("source", "target", F.round("distance", 9).alias("distance"), "sample_id", "source_type", "target_region")
+
+
+@query("csv_round_trip", f"WITH {P_SQL} SELECT cell_id, x, y, cell_type, sample_id, CASE WHEN cast(cell_id AS bigint) % 7 = 0 THEN NULL ELSE region_id END region_id FROM p")
+def _(spark, sf):
+    path = f"{scratch(spark, 'csv')}/nodes"
+    write_table(bare(spark, sf).nodes.drop("z"), path, "csv")
+    return spark.read.csv(path, header=True, schema="cell_id string, x double, y double, cell_type string, sample_id string, region_id string", nullValue="", emptyValue='""')
+
+
+@query(
+    "graph_report",
+    f"""WITH {E_SQL}, s AS (SELECT 'cells' item, '' "group", count(*)::double "value" FROM p UNION ALL SELECT 'edges', '', count(*)::double FROM e UNION ALL SELECT 'cells by type', cell_type, count(*)::double FROM p GROUP BY cell_type
+ UNION ALL SELECT 'cells by sample', sample_id, count(*)::double FROM p GROUP BY sample_id UNION ALL SELECT 'cells by region', region_id, count(*)::double FROM p GROUP BY region_id
+ UNION ALL SELECT 'edge length', q, v FROM (SELECT unnest(['0.0', '0.5', '0.95', '1.0']) q, unnest([min(sqrt(d2)), quantile_cont(sqrt(d2), 0.5), quantile_cont(sqrt(d2), 0.95), max(sqrt(d2))]) v FROM e)) SELECT item, "group", round("value", 9) "value" FROM s""",
+)
+def _(spark, sf):
+    return report_table(graph(spark, sf)).withColumn("value", F.round("value", 9))
+
+
+@query(
+    "graph_create",
+    """WITH raw AS (SELECT cast(o_custkey AS varchar) a, cast(o_orderkey % 1000 AS varchar) b, o_totalprice d, o_orderpriority s FROM orders), o AS (SELECT least(a, b) source, greatest(a, b) target, d, s FROM raw WHERE a <> b)
+ SELECT source, target, distance, sample_id FROM (SELECT source, target, d distance, s sample_id, row_number() OVER (PARTITION BY source, target ORDER BY d, s) rn FROM o) WHERE rn = 1""",
+)
+def _(spark, sf):
+    o = read(spark, sf, "orders")
+    raw = o.select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 1000).alias("target"), F.col("o_totalprice").alias("distance"), F.col("o_orderpriority").alias("sample_id"))
+    ids = raw.select(F.col("source").alias("cell_id")).unionByName(raw.select(F.col("target").alias("cell_id"))).distinct()
+    nodes = ids.select("cell_id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit("t").alias("cell_type"), F.lit("s").alias("sample_id"))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # loops are dropped here on purpose
+        return SpatialGraph.create(nodes, raw).edges.select("source", "target", "distance", "sample_id")
+
+
 @query("edge_store_catalog3", f"""WITH {S_SQL}, {ADJ_SQL}, ek AS (SELECT source, target FROM e), tp AS (SELECT l.b b, l.x a, r.x c, k.source IS NOT NULL closed FROM adj l JOIN adj r ON l.b = r.b AND l.x < r.x LEFT JOIN ek k ON k.source = l.x AND k.target = r.x)
  SELECT CASE WHEN closed THEN 'size3_closed' ELSE 'size3_open' END motif_id, count(*) \"count\" FROM tp WHERE NOT closed OR b < a GROUP BY ALL""")
 def _(spark, sf):
@@ -421,6 +547,12 @@ def catalogs_sql() -> str:
     return f"""{I3_SQL}, rg AS (SELECT {L3.replace('topology', 'i3.topology')} motif_id, k1.sample_id g FROM i3 JOIN p k1 ON k1.cell_id = cells[1] JOIN p k2 ON k2.cell_id = cells[2] JOIN p k3 ON k3.cell_id = cells[3] WHERE {ins})"""
 
 
+def tail_sql(z: str) -> str:
+    """P(|Z| >= |z|) by the series of the normal distribution's centre, whose terms are all positive."""
+    series = f"list_sum(list_transform(range(0, 120), lambda i: exp((2 * i + 1) * ln(greatest(abs({z}), 1e-300)) + i * ln(2) + lgamma(i + 1) - lgamma(2 * i + 2))))"
+    return f"(CASE WHEN abs({z}) > 8 THEN 0.0 ELSE greatest(1 - 2 * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * {series}, 0.0) END)"
+
+
 def chi_sql(groups: dict[str, str], df: int) -> str:
     counts = ", ".join(f"count(*) FILTER (WHERE g IN {members}) AS count_{name}" for name, members in groups.items())
     total = " + ".join(f"count_{n}" for n in groups)
@@ -428,9 +560,8 @@ def chi_sql(groups: dict[str, str], df: int) -> str:
     exp = ", ".join(f"total * (SELECT count(*) FROM rg WHERE g IN {members}) / (SELECT count(*) FROM rg)::double ex_{n}" for n, members in groups.items())
     cols = ", ".join(f"count_{n}" for n in groups)
     body = f"cc AS (SELECT motif_id, {counts} FROM rg GROUP BY motif_id), ct AS (SELECT *, {total} total FROM cc), cx AS (SELECT *, {exp} FROM ct), ch AS (SELECT motif_id, {cols}, total, {terms} chi2 FROM cx)"
-    if df == 2:
-        return f"{body} SELECT motif_id, {cols}, total, round(chi2, 8) chi2, round(p, 8) p, round(p_adj_BH, 8) \"p_adj_BH\" FROM {bh('(SELECT *, exp(-chi2 / 2) p FROM ch)', 'p', 'p_adj_BH')}"
-    return f"{body} SELECT motif_id, {cols}, total, round(chi2, 8) chi2 FROM ch"
+    tail = {1: tail_sql("sqrt(chi2)"), 2: "exp(-chi2 / 2)"}[df]
+    return f"{body} SELECT motif_id, {cols}, total, round(chi2, 8) chi2, round(p, 8) p, round(p_adj_BH, 8) \"p_adj_BH\" FROM {bh(f'(SELECT *, {tail} p FROM ch)', 'p', 'p_adj_BH')}"
 
 
 @query("compare_samples", f"WITH {catalogs_sql()}, {chi_sql({s: f'({s!r})' for s in ('s0', 's1', 's2')}, 2)}")
@@ -442,7 +573,7 @@ def _(spark, sf):
 @query("compare_replicates", f"WITH {catalogs_sql()}, {chi_sql({'a': str(('s0', 's1')), 'b': '(' + repr('s2') + ')'}, 1)}")
 def _(spark, sf):
     out = compare_motifs(list(sample_motifs(spark, sf).values()), group=["a", "a", "b"])
-    return out.select("motif_id", "count_a", "count_b", "total", F.round("chi2", 8).alias("chi2"))
+    return out.select("motif_id", "count_a", "count_b", "total", F.round("chi2", 8).alias("chi2"), F.round("p", 8).alias("p"), F.round("p_adj_BH", 8).alias("p_adj_BH"))
 
 
 @query("sample_shares", f"WITH {catalogs_sql()}, gs AS (SELECT unnest(['s0', 's1', 's2']) \"group\"), ms AS (SELECT DISTINCT motif_id FROM rg) SELECT ms.motif_id, \"group\", round(count(rg.g)::double / any_value(t.n), 9) share FROM ms CROSS JOIN gs JOIN (SELECT motif_id, count(*) n FROM rg GROUP BY 1) t ON t.motif_id = ms.motif_id LEFT JOIN rg ON rg.motif_id = ms.motif_id AND rg.g = \"group\" GROUP BY ALL")
@@ -479,12 +610,12 @@ def member_sql(by: str, per_sample: bool) -> str:
  mem AS (SELECT * FROM mo SEMI JOIN (SELECT s a, motif_id b, orbit_id c FROM mo GROUP BY ALL HAVING count(*) >= 10) z ON s = a AND motif_id = b AND orbit_id IS NOT DISTINCT FROM c)"""
 
 
-GENES = "SELECT motif_id, orbit_id, gene, n_in, n_out, nx n_in_expressed, round(mi, 9) mean_in, round(mo, 9) mean_out, round(log2((mi + 1) / (mo + 1)), 7) \"log2FC\", u \"U\", round(z, 7) z FROM wz WHERE nx >= 3"
+GENES = "SELECT motif_id, orbit_id, gene, n_in, n_out, nx n_in_expressed, round(mi, 9) mean_in, round(mo, 9) mean_out, round(log2((mi + 1) / (mo + 1)), 7) \"log2FC\", u \"U\", round(z, 7) z, round(p, 7) p, round(p_adj, 7) \"p_adj_BH\" FROM " + bh(f"(SELECT *, {tail_sql('z')} p FROM wz WHERE nx >= 3)", "p", "p_adj", "motif_id")
 
 
 def associated(df: DataFrame) -> DataFrame:
     r = lambda c, d: F.round(c, d).alias(c)
-    return df.select("motif_id", F.col("orbit_id").cast("long").alias("orbit_id"), "gene", "n_in", "n_out", "n_in_expressed", r("mean_in", 9), r("mean_out", 9), r("log2FC", 7), "U", r("z", 7))
+    return df.select("motif_id", F.col("orbit_id").cast("long").alias("orbit_id"), "gene", "n_in", "n_out", "n_in_expressed", r("mean_in", 9), r("mean_out", 9), r("log2FC", 7), "U", r("z", 7), r("p", 7), r("p_adj_BH", 7))
 
 
 @query("genes_wilcoxon", f"WITH {I3_SQL}, {member_sql('motif', False)}, {X_SQL}, xs AS (SELECT '' s, * FROM x), {W_SQL} {GENES.replace('orbit_id, ', '')}")
@@ -503,24 +634,30 @@ def _(spark, sf):
     "genes_module",
     f"""WITH {I3_SQL}, {member_sql('motif', False)}, {X_SQL}, gs AS (SELECT gene, avg(v) mu, sqrt(greatest(avg(v * v) - avg(v) * avg(v), 0)) sd FROM x GROUP BY gene),
  ms AS (SELECT CASE WHEN gene IN ('g0', 'g1', 'g2', 'g3') THEN 'm1' ELSE 'm2' END gene, cell_id, round(avg((v - mu) / greatest(sd, 1.4901161193847656e-08)), 12) v FROM x JOIN gs USING (gene) WHERE gene IN ('g0', 'g1', 'g2', 'g3', 'g7', 'g8') GROUP BY ALL),
- xs AS (SELECT '' s, * FROM ms), {W_SQL} SELECT motif_id, gene, n_in, n_out, round(mi, 6) mean_in, round(mi - mo, 6) \"log2FC\", round(z, 4) z FROM wz""",
+ xs AS (SELECT '' s, * FROM ms), {W_SQL} SELECT motif_id, gene, n_in, n_out, round(mi, 6) mean_in, round(mi - mo, 6) \"log2FC\", round(z, 4) z, round(p, 5) p, round(p_adj, 5) \"p_adj_BH\" FROM {bh(f"(SELECT *, {tail_sql('z')} p FROM wz)", 'p', 'p_adj', 'motif_id')}""",
 )
 def _(spark, sf):
     sg = graph(spark, sf)
     out = associate_genes(M.find_motifs(sg, 3), expression(spark, sf), sg, method="module_score", modules={"m1": ["g0", "g1", "g2", "g3"], "m2": ["g7", "g8", "none"]})
-    return out.select("motif_id", "gene", "n_in", "n_out", F.round("mean_in", 6).alias("mean_in"), F.round("log2FC", 6).alias("log2FC"), F.round("z", 4).alias("z"))
+    return out.select("motif_id", "gene", "n_in", "n_out", F.round("mean_in", 6).alias("mean_in"), F.round("log2FC", 6).alias("log2FC"), F.round("z", 4).alias("z"), F.round("p", 5).alias("p"), F.round("p_adj_BH", 5).alias("p_adj_BH"))
 
 
 @query(
     "genes_per_sample",
-    f"""WITH {I3_SQL}, {member_sql('motif', True)}, {X_SQL}, xs AS (SELECT sample_id s, x.* FROM x JOIN p USING (cell_id)), {W_SQL}, k AS (SELECT *, log2((mi + 1) / (mo + 1)) fc FROM wz WHERE nx >= 3)
- SELECT motif_id, gene, count(*) n_samples_tested, sum(n_in)::bigint n_in_total, sum(n_out)::bigint n_out_total, round(avg(fc), 7) \"mean_log2FC\", round(stddev_samp(fc), 7) \"sd_log2FC\", round(sum(sqrt(n_in) * z) / sqrt(sum(n_in)), 7) z_combined FROM k GROUP BY motif_id, gene""",
+    f"""WITH {I3_SQL}, {member_sql('motif', True)}, {X_SQL}, xs AS (SELECT sample_id s, x.* FROM x JOIN p USING (cell_id)), {W_SQL}, k AS (SELECT *, log2((mi + 1) / (mo + 1)) fc FROM wz WHERE nx >= 3), g AS (SELECT motif_id, gene, count(*) n_samples_tested, sum(n_in)::bigint n_in_total, sum(n_out)::bigint n_out_total, round(avg(fc), 7) \"mean_log2FC\", round(stddev_samp(fc), 7) \"sd_log2FC\", sum(sqrt(n_in) * z) / sqrt(sum(n_in)) zc FROM k GROUP BY motif_id, gene)
+ SELECT * EXCLUDE (zc, p, p_adj), round(zc, 7) z_combined, round(p, 7) p_combined, round(p_adj, 7) \"p_adj_BH\" FROM {bh(f"(SELECT *, {tail_sql('zc')} p FROM g)", 'p', 'p_adj', 'motif_id')}""",
 )
 def _(spark, sf):
     sg = graph(spark, sf)
     out = associate_genes(M.find_motifs(sg, 3), expression(spark, sf), sg, pooling="per_sample")
     r = lambda c: F.round(c, 7).alias(c)
-    return out.select("motif_id", "gene", "n_samples_tested", "n_in_total", "n_out_total", r("mean_log2FC"), r("sd_log2FC"), r("z_combined"))
+    return out.select("motif_id", "gene", "n_samples_tested", "n_in_total", "n_out_total", r("mean_log2FC"), r("sd_log2FC"), r("z_combined"), r("p_combined"), r("p_adj_BH"))
+
+
+@query("genes_none", "SELECT '' motif_id, '' gene, 0::bigint n_in, 0.0::double z FROM embeddings WHERE false")
+def _(spark, sf):
+    sg = graph(spark, sf)
+    return associate_genes(M.find_motifs(sg, 3), expression(spark, sf), sg, min_cells=1 << 30).select("motif_id", "gene", "n_in", "z")
 
 
 @query("bh_adjust", f"SELECT o_orderkey, round(p_adj, 12) p_adj FROM {bh('(SELECT o_orderkey, o_totalprice / 1000000.0 p FROM orders)', 'p', 'p_adj')}")

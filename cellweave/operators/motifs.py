@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cellweave.graph import SpatialGraph
 from cellweave.operators import shapes
-from cellweave.plans.lineage import checkpointed
+from cellweave.plans.lineage import cached, checkpointed
 
 PREFIX = {2: "e_", 3: None, 4: "q_"}
 CATALOG = ("motif_id", "size", "canonical_iso_class", "color_tuple", "count")
@@ -35,7 +35,7 @@ class Motifs:
         for name, df, needed in (("catalog", self.catalog, CATALOG), ("incidence", self.incidence, INCIDENCE)):
             missing = [c for c in needed if c not in df.columns]
             if missing:
-                raise ValueError(f"{name} missing columns: {', '.join(missing)}")
+                raise ValueError(f"{name} lacks {', '.join(missing)}")
 
     def instance_table(self, topology: str) -> DataFrame:
         """(instance_id, one column per position[, degrees]) of a class: edge v1 v2, triangle v1-v3, wedge end1 end2
@@ -49,7 +49,7 @@ class Motifs:
     def plot_data(self, top: int = 20, max_label_chars: int = 60) -> DataFrame:
         """(label, count) of the most frequent motifs, labels shortened with an ellipsis."""
         if self.catalog.isEmpty():
-            raise ValueError("Motifs catalog is empty; nothing to plot")
+            raise ValueError("there is nothing to draw: no motif class was found")
         short = F.when(F.length("motif_id") > max_label_chars, F.concat(F.substring("motif_id", 1, max_label_chars - 3), F.lit("..."))).otherwise(F.col("motif_id"))
         return self.catalog.orderBy(F.desc("count"), "motif_id").limit(top).select(short.alias("label"), "count")
 
@@ -65,13 +65,10 @@ class Motifs:
 
     def summary(self) -> str:
         total = self.catalog.agg(F.count(F.lit(1)), F.sum("count")).first()
-        lines = [
-            "<Motifs>",
-            f"  size: {self.meta.get('size')}  |  colored: {'yes' if self.meta.get('colored') else 'no'}  |  backend: {self.meta.get('backend', '?')}",
-            f"  motif types: {total[0]}  |  total instances: {total[1] or 0}",
-        ]
+        kind = "colored" if self.meta.get("colored") else "uncolored"
+        lines = [f"Motifs of {self.meta.get('size')} cells, {kind}: {total[1] or 0} instances of {total[0]} classes"]
         top = self.catalog.orderBy(F.desc("count"), "motif_id").limit(5).collect()
-        return "\n".join(lines + (["  top motifs:"] + [f"    {r.motif_id}  (count = {r['count']})" for r in top] if top else []))
+        return "\n".join(lines + [f"{r['count']:>12}  {r.motif_id}" for r in top])
 
 
 # ---- enumeration -----------------------------------------------------------------------------------------------
@@ -167,7 +164,7 @@ def enumerate_instances(sg: SpatialGraph, size: int, anchors: DataFrame | None =
     """(topology, cells, colors, degrees, mask) of all connected induced subgraphs, each once."""
     edges = _colored_edges(sg, anchors, size)
     if size > 2:
-        edges = edges.persist()  # read four times or more below
+        edges = cached(edges)  # read four times or more below
     none = F.lit(0).cast("int").alias("mask")
     if size == 2:
         out = edges.select(F.lit("edge").alias("topology"), F.array("source", "target").alias("cells"), F.array("sc", "tc").alias("colors"), _ints(1, 1).alias("degrees"), none, (F.col("sa") | F.col("ta")).alias("anchor"))
@@ -252,7 +249,7 @@ def anchor_frame(sg: SpatialGraph, anchored_on) -> DataFrame | None:
         anchored_on = sg.nodes.sparkSession.createDataFrame([(str(a),) for a in anchored_on], "cell_id string")
     missing = anchored_on.join(sg.nodes.select("cell_id"), "cell_id", "left_anti").select("cell_id").distinct().count()
     if missing:
-        raise ValueError(f"{missing} cell_id(s) in anchored_on are not in the graph's nodes")
+        raise ValueError(f"{missing} of the anchors are no cells of the graph")
     return anchored_on.select("cell_id")
 
 
@@ -261,7 +258,7 @@ def capped(instances: DataFrame, max_instances: int, seed: int = 1) -> DataFrame
     total = instances.count()
     if total <= max_instances:
         return instances
-    warnings.warn(f"max_instances = {max_instances} is below total enumerated count ({total}); subsampling", stacklevel=3)
+    warnings.warn(f"{total} instances were found; the {max_instances} of the smallest digests are kept", stacklevel=3)
     return instances.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("instance_id"))), "instance_id").limit(max_instances)
 
 
@@ -279,7 +276,7 @@ def find_motifs(
         raise ValueError("max_instances must be a positive integer")
     found = labelled(enumerate_instances(sg, size, anchor_frame(sg, anchored_on)), size, colored, labeling)
     if max_instances is not None:
-        found = capped(found.persist(), max_instances)
+        found = capped(cached(found), max_instances)
     if compat_ids:
         found = with_ordinal_ids(found)
     meta = {"size": size, "backend": "spark", "colored": colored, "labeling": labeling, "anchored": anchored_on is not None, "generated_at": datetime.datetime.now(datetime.timezone.utc).isoformat()}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellweave.graph import SpatialGraph
 from cellweave.plans.grid import nearest
+from cellweave.plans.lineage import cached
 
 
 def neighborhood_composition(points: DataFrame, k: int = 10) -> DataFrame:
@@ -28,7 +29,8 @@ def niches(composition: DataFrame, types: list[str], k: int = 3, starts: int = 2
     from pyspark.ml.functions import array_to_vector
 
     matrix = composition_matrix(composition, types)
-    data = matrix.select("cell_id", array_to_vector(F.array(*[F.col(f"`{t}`") for t in types])).alias("features")).persist()
+    data = matrix.select("cell_id", array_to_vector(F.array(*[F.col(f"`{t}`") for t in types])).alias("features"))
+    data = cached(data)
     fits = [KMeans(k=k, seed=seed + i, maxIter=iterations).fit(data) for i in range(starts)]
     best = min(fits, key=lambda f: f.summary.trainingCost)
     return best.transform(data).select("cell_id", F.col("prediction").alias("niche"))

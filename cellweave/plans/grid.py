@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.plans.lineage import checkpointed
+from cellweave.plans.lineage import cached, checkpointed
 
 
 def bucketed(points: DataFrame, size: float) -> DataFrame:
@@ -37,34 +37,42 @@ def radius_pairs(points: DataFrame, radius: float, keys: tuple[str, ...] = ()) -
     return joined.where(F.col("l.cell_id") < F.col("r.cell_id")).where(d2 <= radius * radius).select(*keys, F.col("l.cell_id").alias("a"), F.col("r.cell_id").alias("b"), d2.alias("d2"))
 
 
-def nearest(points: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFrame:
+def nearest(points: DataFrame, k: int, keys: tuple[str, ...] = (), crowd: int = 4) -> DataFrame:
     """(*keys, a, b, d2, rn): the k nearest other points b of each a; ties by id. Exact.
 
-    The side of a bucket is chosen for about k points each. A point is settled once its k-th distance lies within
-    the buckets that were searched; the rest searches twice as far, so only outliers see many buckets.
+    The first buckets are so fine that the densest has some `crowd * (k + 1)` points, however the points cluster. A
+    point is settled once its k-th distance lies within a bucket's side of it; the rest searches buckets of twice the
+    side, so points in thin regions take more rounds and no round searches more than nine buckets a point.
     """
-    stats = points.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.min, F.max)], F.count_distinct(*keys).alias("groups") if keys else F.lit(1).alias("groups")).first()
+    groups = F.count_distinct(*keys) if keys else F.lit(1)
+    stats = points.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.min, F.max)], groups.alias("groups")).first()
     n = stats["n"] / max(stats["groups"], 1)
     width, height = ((stats[f"max_{c}"] or 0.0) - (stats[f"min_{c}"] or 0.0) for c in "xy")
     extent = max(width, height)
-    size = max(math.sqrt(max(width, extent * 1e-3) * max(height, extent * 1e-3) * (k + 1) / max(n, 1.0)), extent * 1e-6) or 1.0
-    base = bucketed(points.select("cell_id", "x", "y", *keys), size)
+    least = extent * 1e-6
+    size = max(math.sqrt(max(width, extent * 1e-3) * max(height, extent * 1e-3) * (k + 1) / max(n, 1.0)), least) or 1.0
+    plain = points.select("cell_id", "x", "y", *keys)
     on = [*keys, "gx", "gy"]
+    while size > least:
+        densest = bucketed(plain, size).groupBy(*on).count().agg(F.max("count")).first()[0] or 0
+        if densest <= crowd * (k + 1):
+            break
+        size = max(size / 4 if densest > 8 * crowd * (k + 1) else size / 2, least)
     order = Window.partitionBy(*keys, "a").orderBy("d2", "b")
-    todo, reach, found = base, 1, None
+    todo, found = plain, None
     while True:
         d2 = _distance2("l", "r")
-        pairs = _spread(todo, reach).alias("l").join(base.alias("r"), on).where(F.col("l.cell_id") != F.col("r.cell_id"))
+        pairs = _spread(bucketed(todo, size), 1).alias("l").join(bucketed(plain, size).alias("r"), on).where(F.col("l.cell_id") != F.col("r.cell_id"))
         top = pairs.select(*keys, F.col("l.cell_id").alias("a"), F.col("r.cell_id").alias("b"), d2.alias("d2")).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
-        last = reach * size > 2 * extent
+        last = size > 2 * extent
         if last:
             return top if found is None else found.unionByName(top)
-        top = top.persist()
-        settled = top.where((F.col("rn") == k) & (F.col("d2") <= (reach * size) ** 2)).select(*keys, "a")
+        top = cached(top)
+        settled = top.where((F.col("rn") == k) & (F.col("d2") <= size**2)).select(*keys, "a")
         done = top.join(settled, [*keys, "a"], "left_semi")
         found = done if found is None else found.unionByName(done)
         # the rest is cut off from its lineage: a plan doesn't grow with the number of rounds
         todo = checkpointed(todo.join(settled.withColumnRenamed("a", "cell_id"), [*keys, "cell_id"], "left_anti"))
         if todo.isEmpty():
             return found
-        reach *= 2
+        size *= 2

@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 
+from collections import deque
+
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -31,6 +33,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cellweave/{name}-{uuid.uuid4().hex}"
 
 
+#: frames that were cached last; older ones are let go, and would be computed again
+CACHED: deque[DataFrame] = deque()
+MOST_CACHED = 8
+
+
+def cached(df: DataFrame) -> DataFrame:
+    """df, cached until MOST_CACHED others have been: a long session doesn't fill the executors."""
+    CACHED.append(df.persist())
+    while len(CACHED) > MOST_CACHED:
+        release(CACHED.popleft())
+    return df
+
+
+def release(*frames: DataFrame) -> None:
+    """Lets go of some cached frames, or of all that this library has cached."""
+    for df in frames or [CACHED.popleft() for _ in range(len(CACHED))]:
+        if df.sparkSession.sparkContext._jsc is not None:  # the session may have ended
+            df.unpersist()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the session's checkpoint folder, which all executors share, and read from there."""
     context = df.sparkSession.sparkContext

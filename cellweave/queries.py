@@ -16,7 +16,7 @@ from cellweave.graph import SpatialGraph, canonical_edges
 from cellweave.operators import motifs as M
 from cellweave.operators import niche
 from cellweave.operators.build import build_spatial_graph, knn_edges
-from cellweave.operators.compare import compare_motifs
+from cellweave.operators.compare import compare_motifs, motifs_by_sample
 from cellweave.operators.enrichment import motif_enrichment, motif_enrichment_store, motif_enrichment_stream, test_motif_enrichment
 from cellweave.operators.genes import associate_genes
 from cellweave.plans.lineage import scratch
@@ -538,8 +538,7 @@ def _(spark, sf):
 
 
 def sample_motifs(spark, sf) -> dict[str, M.Motifs]:
-    sg = graph(spark, sf)
-    return {s: M.find_motifs(sg.subset_sample(F.col("sample_id") == s), 3) for s in ("s0", "s1", "s2")}
+    return motifs_by_sample(graph(spark, sf), 3)
 
 
 def catalogs_sql() -> str:

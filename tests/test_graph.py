@@ -2,7 +2,6 @@
 
 import itertools
 import math
-import random
 import warnings
 
 import pytest
@@ -23,9 +22,9 @@ def edges(sg):
 
 def test_missing_columns(spark):
     nodes = spark.createDataFrame([("a", 0.0, 0.0, "T", "s")], "cell_id string, x double, y double, cell_type string, sample_id string")
-    with pytest.raises(ValueError, match="edges is missing required columns: target"):
+    with pytest.raises(ValueError, match="edges lacks target"):
         SpatialGraph.create(nodes, spark.createDataFrame([("a", "s")], "source string, sample_id string"))
-    with pytest.raises(ValueError, match="nodes is missing"):
+    with pytest.raises(ValueError, match="nodes lacks x"):
         SpatialGraph.create(nodes.drop("x"), spark.createDataFrame([], "source string, target string, sample_id string"))
     with pytest.raises(TypeError):
         SpatialGraph.create(nodes, spark.createDataFrame([], "source string, target string, sample_id string"), meta=["no"])
@@ -36,16 +35,16 @@ def test_normalisation(spark):
     with warnings.catch_warnings(record=True) as seen:
         warnings.simplefilter("always")
         sg = small_graph(spark, extra=[("b", "a", None, "s1"), ("a", "a", None, "s1")])
-    assert any("1 self-loop" in str(w.message) for w in seen)
+    assert any("1 edges from a cell to itself" in str(w.message) for w in seen)
     assert sg.edges.count() == 13 and all(s < t for s, t in edges(sg))
     assert "z" in sg.nodes.columns and sg.meta["build_method"] == "unknown"
 
 
 def test_duplicates_and_dangling(spark):
-    with pytest.raises(ValueError, match="endpoint"):
+    with pytest.raises(ValueError, match="end in a cell"):
         small_graph(spark, extra=[("a", "nowhere", None, "s1")])
     sg = small_graph(spark)
-    with pytest.raises(ValueError, match="duplicates"):
+    with pytest.raises(ValueError, match="several rows"):
         SpatialGraph.create(sg.nodes.unionByName(sg.nodes.limit(1)), sg.edges)
 
 
@@ -64,7 +63,7 @@ def test_round_trip(spark, tmp_path):
     assert back.fingerprint() == sg.fingerprint()
     with pytest.raises(FileNotFoundError):
         read_spatial_graph(spark, f"{tmp_path}/none", f"{tmp_path}/e")
-    assert "nodes: 8  |  edges: 13" in sg.summary()
+    assert "8 cells and 13 edges" in sg.summary()
 
 
 def test_radius_against_brute_force(spark):
@@ -89,41 +88,57 @@ def test_knn_against_brute_force(spark, scale):
     assert edges(sg) == want and 70 * 4 / 2 <= len(want) <= 70 * 4
     capped = build_spatial_graph(spark.createDataFrame(points), "knn", k=4, max_distance=0.1 * scale)
     assert capped.edges.where(F.col("distance") > 0.1 * scale).count() == 0
-    with pytest.raises(ValueError, match="greater than k"):
+    with pytest.raises(ValueError, match="more than 70 points"):
         build_spatial_graph(spark.createDataFrame(points), "knn", k=70)
 
 
+def test_knn_of_clusters(spark):
+    points = random_points(160, 4)
+    points.loc[:119, ["x", "y"]] = points.loc[:119, ["x", "y"]] * 1e-4 + 0.5  # most points in one spot
+    sg = build_spatial_graph(spark.createDataFrame(points), "knn", k=3)
+    want = set()
+    for a in points.itertuples():
+        near = sorted(((a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.cell_id) for b in points.itertuples() if b.cell_id != a.cell_id)[:3]
+        want |= {tuple(sorted((a.cell_id, b))) for _, b in near}
+    assert edges(sg) == want
+
+
 def test_knn_coincident_and_few_distinct(spark):
     points = random_points(12, 1).assign(x=0.5, y=0.5)
     assert build_spatial_graph(spark.createDataFrame(points), "knn", k=2).edges.count() > 0
 
 
-def test_delaunay(spark):
+def circle_edges(points):
+    """Pairs through which a circle passes that holds no other point."""
+    found = set()
+    for a, b in itertools.combinations(points.itertuples(), 2):
+        low, high = -math.inf, math.inf
+        for c in points.itertuples():
+            if c.cell_id not in (a.cell_id, b.cell_id):
+                side = (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)
+                at = ((c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y)) / (2 * side)
+                low, high = (low, min(high, at)) if side > 0 else (max(low, at), high)
+        if low <= high:
+            found.add(tuple(sorted((a.cell_id, b.cell_id))))
+    return found
+
+
+@pytest.mark.parametrize("height", [1.0, 1e-3, 1e-5])
+def test_delaunay(spark, height):
+    points = random_points(90, 2)
+    points["y"] *= height
+    assert edges(build_spatial_graph(spark.createDataFrame(points), "delaunay")) == circle_edges(points)
+
+
+def test_delaunay_of_degenerate_points(spark):
     points = random_points(60, 2)
-    sg = build_spatial_graph(spark.createDataFrame(points), "delaunay")
-    found = edges(sg)
-    assert len(found) <= 3 * 60 - 6
-    at = {p.cell_id: (p.x, p.y) for p in points.itertuples()}
-    # an edge of the triangulation has a circle through its ends that holds no other point
-    for a, b in random.Random(0).sample(sorted(found), 25):
-        (ax, ay), (bx, by) = at[a], at[b]
-        mx, my, nx, ny = (ax + bx) / 2, (ay + by) / 2, ay - by, bx - ax
-        free = False
-        lows, highs = -1e9, 1e9
-        for c, (cx, cy) in at.items():
-            if c in (a, b):
-                continue
-            # |p - c|^2 >= |p - a|^2 for p = m + t n is linear in t
-            k = 2 * (nx * (cx - ax) + ny * (cy - ay))
-            r = (cx**2 + cy**2 - ax**2 - ay**2) - 2 * (mx * (cx - ax) + my * (cy - ay))
-            if k > 0:
-                highs = min(highs, r / k)
-            elif k < 0:
-                lows = max(lows, r / k)
-        free = lows <= highs + 1e-9
-        assert free
-    line = points.assign(y=0.0)
-    assert build_spatial_graph(spark.createDataFrame(line), "delaunay").edges.count() == 59
+    assert build_spatial_graph(spark.createDataFrame(points.assign(y=0.0)), "delaunay").edges.count() == 59
+    grid = points.assign(x=[i // 6 for i in range(60)], y=[i % 6 for i in range(60)]).astype({"x": float, "y": float})
+    # ten by six points, 28 of them on the border: every face is a triangle
+    assert build_spatial_graph(spark.createDataFrame(grid), "delaunay").edges.count() == 3 * 60 - 3 - 28
+    twice = points.assign(x=[i // 2 for i in range(60)], y=[(i // 2) ** 2 % 7 for i in range(60)]).astype({"x": float, "y": float})
+    found = build_spatial_graph(spark.createDataFrame(twice), "delaunay").edges
+    assert found.where("distance = 0").count() == 30
 
 
 def test_coordinates_and_ids(spark):

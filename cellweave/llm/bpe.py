@@ -5,9 +5,8 @@ dealt by hash into buckets (a row per block and bucket), and the positions as a
 numbers (one body row). The bucket rows of all blocks are shuffled by bucket, where each distinct word is
 encoded once, and its ids go back to the blocks that hold it. Bodies and ids then meet by block and documents
 are reassembled by position. A word that makes up a third of all tokens is one entry per block. A block's size
-is bounded (a single longer text is a block of its own), and a bucket takes the blocks of `GROUP_PARTS` input
-partitions at most, so no task collects an unbounded group; beyond that many partitions a word is encoded once
-for each group of partitions.
+is bounded (a single longer text is a block of its own), and a bucket takes the blocks of some `GROUP_BYTES` of input,
+as Spark estimates its size, so no task collects an unbounded group; a word is encoded once for each such group.
 
 Decoding joins ids with the token-byte table. That table has one entry per vocabulary id (its size is fixed by
 the vocabulary file, not by the corpus); every task holds it as two arrays and gathers from them.
@@ -37,7 +36,7 @@ from cellweave.llm.common import staged, table, text_or_empty
 
 BLOCK_CHARS = 16 << 20
 BUCKETS = 64
-GROUP_PARTS = 256
+GROUP_BYTES = 4 << 30
 
 
 @cache
@@ -146,7 +145,8 @@ def explode_blocks(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS
 
     The body holds the ids, the token counts, the stream of word numbers and the bucket of each word.
     """
-    groups = max(1, -(-docs.rdd.getNumPartitions() // GROUP_PARTS))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    groups = max(1, min(docs.rdd.getNumPartitions(), -(-size // GROUP_BYTES)))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -220,11 +220,14 @@ def encoded_blocks(docs: DataFrame, path: str, pattern: str, block_chars: int =
 def reassembled(blocks: DataFrame, each, schema: str) -> DataFrame:
     """each(ids) -> columns after doc_id, for every document of every block whose words' ids have come back."""
     names = [x.split()[0] for x in schema.split(",")]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("bucket")
-        ids, counts, short, rest, buckets = unframed(frame["data"].iloc[0])
-        coded = [unframed(x) for x in frame["data"].iloc[1:]]
+    whole = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}
+    kind = whole.get(schema.split(",")[0].split()[1], pa.string())
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("bucket")
+        data = group.column("data").to_pylist()
+        ids, counts, short, rest, buckets = unframed(data[0])
+        coded = [unframed(x) for x in data[1:]]
         none = [np.zeros(0, np.uint32)]
         sizes = np.concatenate([unpacked(x) for x, _ in coded] or none).astype(np.int64)
         pool = np.concatenate([unpacked(x) for _, x in coded] or none)
@@ -232,19 +235,18 @@ def reassembled(blocks: DataFrame, each, schema: str) -> DataFrame:
         lengths, starts = np.empty_like(sizes), np.empty_like(sizes)
         lengths[order], starts[order] = sizes, np.cumsum(sizes) - sizes
         stream, at, done = unpack_stream(short, rest), 0, []
-        for doc_id, n in zip(json.loads(ids), unpacked(counts).tolist()):
+        for n in unpacked(counts).tolist():
             own = stream[at : at + n]
             at += n
-            done.append((doc_id, *each(gathered(pool, starts[own], lengths[own]))))
-        ids, *columns = zip(*done)
-        return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64")} | dict(zip(names[1:], columns)))
+            done.append(each(gathered(pool, starts[own], lengths[own])))
+        return pa.table([pa.array(json.loads(ids), kind), *map(pa.array, zip(*done))], names=names)
 
-    return blocks.groupBy("block").applyInPandas(run, schema)
+    return blocks.groupBy("block").applyInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs(doc_id, text) as (doc_id, ids)."""
-    return reassembled(encoded_blocks(docs, path, pattern, block_chars), lambda ids: (ids.astype(np.int32),), "doc_id long, ids array<int>")
+    return reassembled(encoded_blocks(docs, path, pattern, block_chars), lambda ids: (ids.astype(np.int32),), f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,5 +257,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(ids: np.ndarray) -> tuple:
         return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decode(ids, path)).hexdigest()
 
-    blocks = encoded_blocks(table(spark, sf_dir, "documents"), path, pattern)
-    return reassembled(blocks, digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    docs = table(spark, sf_dir, "documents")
+    blocks = encoded_blocks(docs, path, pattern)
+    return reassembled(blocks, digest, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,36 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
+from cellweave.plans.lineage import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder.
-
-    Only where the session names none (local tests) is a temporary one set.
-    """
-    found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="cellweave-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df below the shared folder and read it back: lineage ends here, lost executors don't matter."""
-    path = f"{shared_dir(df.sparkSession)}/cellweave/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of staged frames. What was made of them must have been staged itself."""
+    for df in frames:
+        delete(df.sparkSession, df.staged_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def guarded(docs: DataFrame, prefix: str) -> tuple[DataFrame, dict[str, str]]:
+    """(docs whose columns don't begin with prefix, in whatever case; their new names and the old ones)."""
+    names, hidden = {c.lower() for c in docs.columns}, {}
+    for c in docs.columns:
+        if c.lower().startswith(prefix):
+            new = f"user_{c}"
+            while new.lower() in names:
+                new = f"user_{new}"
+            names.add(new.lower())
+            hidden[new] = c
+    return docs.withColumnsRenamed({old: new for new, old in hidden.items()}), hidden
 
 
 def text_or_empty(column: str = "text"):

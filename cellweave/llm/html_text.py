@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,6 +54,13 @@ ASIDES = frozenset("ad ads advert advertisement sponsored promo promotion commen
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 NAME = re.compile(r"[a-z]+|[0-9]+")
 SPACE = re.compile(r"\s+")
+RAW_ENDS = {name: re.compile(rf"</{name}[^>]*(?:>|\Z)", re.I) for name in RAW}
+IN_SCOPE = "*"  # the group of the elements of SCOPE
+
+
+def groups(name: str) -> tuple[str, ...]:
+    return (name, IN_SCOPE) if name in SCOPE else (name,)
+
 
 
 @dataclass(frozen=True)
@@ -82,8 +89,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     buffer: list[str] = []
     linked = 0
     open_: list[tuple[str, bool, bool]] = []  # name, left out, marks an article
+    places: dict[str, list[int]] = {}  # of the open elements, by name and by group
     out = links = marked = 0
-    at, lower = 0, None
+    at = 0
+
+    def innermost(names: Iterable[str]) -> int:
+        """The place of the innermost open element of these names, or -1."""
+        return max((places[x][-1] for x in names if places.get(x)), default=-1)
 
     def end_line() -> None:
         nonlocal linked
@@ -97,6 +109,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         nonlocal out, links, marked
         while len(open_) > k:
             name, left_out, marks = open_.pop()
+            for group in groups(name):
+                places[group].pop()
             if name in BLOCK and not out:
                 end_line()
             out -= left_out
@@ -119,19 +133,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if not name:
             continue
         if m[2] or m[5]:
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
-                    close(k)
-                    break
-                if open_[k][0] in ("article", "main", "body") and name not in BLOCK:
-                    break
+            k = innermost([name])
+            # an inline element isn't ended from within an article that it holds
+            if k >= 0 and (name in BLOCK or k >= innermost(("article", "main", "body"))):
+                close(k)
             continue
-        for k in range(len(open_) - 1, -1, -1):
-            if open_[k][0] in ENDS.get(name, ()) or (name in BLOCK and name != "br" and open_[k][0] == "p"):
+        if name in BLOCK and name != "br":
+            k = innermost({"p", *ENDS.get(name, ())})
+            # an element that is in scope itself ends its like
+            if k >= 0 and k >= innermost([IN_SCOPE]):
                 close(k)
-                break
-            if open_[k][0] in SCOPE:
-                break
         if name in BLOCK and not out:
             end_line()
         if name in VOID:
@@ -141,12 +152,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         left_out = (name in SKIP and not in_article_header) or (name not in ("html", "body") and _is_part(found, ASIDES if name in ("article", "main") else PARTS))
         marks = not left_out and (name in ("article", "main") or found.get("role", "").lower() == "main" or "articlebody" in found.get("itemprop", "").lower())
         if name in RAW:
-            lower = lower or page.lower()
-            end = lower.find(f"</{name}", at)
-            at = len(page) if end < 0 else (lower.find(">", end) + 1 or len(page))
+            end = RAW_ENDS[name].search(page, at)
+            at = end.end() if end else len(page)
             continue
         if (m[4] or m[7] or "").rstrip().endswith("/") and name in ("svg", "path"):
             continue
+        for group in groups(name):
+            places.setdefault(group, []).append(len(open_))
         open_.append((name, left_out, marks))
         out += left_out
         links += name == "a"

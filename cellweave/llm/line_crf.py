@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cellweave.llm.common import table, text_or_empty
+from cellweave.llm.common import guarded, table, text_or_empty
 
 CLASSES = 8  # other, lower, upper, digit, space, sentence mark, symbol, bar
 N_FEATURES = 12
@@ -36,7 +36,8 @@ N_FEATURES = 12
 @dataclass(frozen=True)
 class Params:
     per_class: int = 3000
-    max_lines: int = 2000
+    #: of a training document; with 52 bytes a line, the driver gets per_class * max_lines * 104 bytes at most
+    max_lines: int = 500
     steps: int = 250
     rate: float = 0.08
     l2: float = 1e-3
@@ -265,7 +266,9 @@ def with_scores(docs: DataFrame, model: Model, name: str = "score", keep: list[s
 def filter_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.5, params: Params = Params()) -> DataFrame:
     """The rows of docs that score at least threshold, by a model of the labelled documents of sf_dir."""
     model = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), params)
-    return with_scores(docs, model, "__crf_score", params=params).where(F.col("__crf_score") >= threshold).select(*docs.columns)
+    columns = docs.columns
+    docs, hidden = guarded(docs, "__crf_")
+    return with_scores(docs, model, "__crf_score", params=params).where(F.col("__crf_score") >= threshold).select(*docs.columns).withColumnsRenamed(hidden).select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm.bpe import gathered
-from cellweave.llm.common import staged, table, text_or_empty
+from cellweave.llm.common import discard, guarded, staged, table, text_or_empty
 
 SLOT_BITS = 17
 RUNGS, RUNGS_PER_E = 24, 6  # the ladder of weights: rungs, and how many make a factor e
@@ -384,7 +384,9 @@ def apart(sims: DataFrame, known: DataFrame, texts: DataFrame, idf, params: Para
         reps = group.column("rep")
         return pa.table({c: reps.take(pa.array([p[k] for p in pairs], pa.int64())) for k, c in enumerate("ab")})
 
-    return dealt.groupBy("leader", "i", "j").applyInArrow(run, "a binary, b binary")
+    found = staged(dealt.groupBy("leader", "i", "j").applyInArrow(run, "a binary, b binary"), "more")
+    discard(placed)
+    return found
 
 
 def links(reps: DataFrame, rows: DataFrame, idf, params: Params) -> DataFrame:
@@ -403,7 +405,10 @@ def links(reps: DataFrame, rows: DataFrame, idf, params: Params) -> DataFrame:
     led = state.join(lead, bucket).where("rep <> leader").select("leader", "rep").distinct()
     sims = staged(similarities(led, texts, idf, params), "sims")
     known = staged(components(sims.where(F.col("sim") >= params.threshold).select(F.col("leader").alias("a"), F.col("rep").alias("b"))), "known")
-    return known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(apart(sims, known, texts, idf, params))
+    more = apart(sims, known, texts, idf, params)
+    found = staged(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "links")
+    discard(shared, texts, sims, known, more)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -414,12 +419,14 @@ def components(edges: DataFrame) -> DataFrame:
     now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     mark = None
     while True:
+        before = now
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = staged(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        discard(before, large)
         last, mark = mark, now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == last:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -436,11 +443,13 @@ def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
     signed = staged(signatures(rows, idf, params), "signatures")
     reps = signed.groupBy("rep").agg(F.first("keys").alias("keys"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     reps = staged(reps, "reps")
-    roots = components(links(reps.drop("copies"), rows, idf, params))
+    found = links(reps.drop("copies"), rows, idf, params)
+    roots = components(found)
     groups = reps.select("rep", "first", "copies")
     rooted = staged(groups.join(roots, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("root"), "first", "copies"), "roots")
     sizes = rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
     named = staged(rooted.select("rep", "root", "copies").join(sizes, "root"), "named")
+    discard(found, reps, rooted)
     # texts of which there are more than a HOT-th of all rows number less than HOT: their rows join without a shuffle
     frequent = (F.col("copies") * HOT > n) & (F.col("copies") > 1)
     hot = F.broadcast(named.where(frequent).select("rep", *OUT))
@@ -450,12 +459,14 @@ def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
 def deduplicated(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """One row of docs for each class: the row of its smallest id (of equal ids the one of the smallest text hash)."""
+    columns = docs.columns
+    docs, hidden = guarded(docs, "__nd_")
     key = F.unhex(F.md5(text_or_empty().cast("binary")))
     found = classes(docs, params).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     kept = found.groupBy("root").agg(F.min("rep").alias("__nd_rep"), F.first("class_id").alias("__nd_id")).drop("root")
     marked = docs.withColumn("__nd_key", key)
     joined = marked.join(kept, (F.col("__nd_key") == F.col("__nd_rep")) & F.col("doc_id").eqNullSafe(F.col("__nd_id")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "__nd_key"]).select(*docs.columns)
+    return joined.dropDuplicates(["doc_id", "__nd_key"]).select(*docs.columns).withColumnsRenamed(hidden).select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

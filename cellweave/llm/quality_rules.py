@@ -10,11 +10,13 @@ no correction inside it); across strata the level is divided (Bonferroni). Of th
 best separates bad from good is used; a stratum in which none can be certified rejects nothing.
 
 Everything here is DataFrame functions: per-row array functions for the counts, no shuffle of texts; only
-measures of labelled rows and a histogram per stratum are shuffled.
+measures are shuffled to their labels, and a histogram per stratum. A filter stages documents with their measures
+once, certifies from the measures and reads the documents again.
 
 Defined results: a null text counts as empty (all counts 0, base_failed). Rows are judged one by one, so repeated
 rows, ties and repeated ids give equal verdicts. Without labels only the base rule rejects. Columns of the input
-are kept as they are; the internal columns carry the prefix `__qr_`, and an input that has such names loses them.
+are kept as they are, whatever their names; the internal columns carry the prefix `__qr_`, and with_measures() alone
+replaces columns of such names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import staged, table
+from cellweave.llm.common import guarded, staged, table
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -58,7 +60,8 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the columns `__qr_<count>`; the repeated windows are found by sorting 64-bit keys per document.
 
     A key holds a window's hash above and its position below, so one primitive sort brings equal windows
-    together; a text of n windows leaves 64 - bit_length(n) bits to the hash.
+    together. Whether windows of equal hash are equal is told by their words: of a neighbour in the order of keys, and
+    if that differs of all keys of the hash.
     """
     col = lambda name: f"{P}{name}"
     df = docs.drop(*[c for c in docs.columns if c.startswith(P)])
@@ -68,6 +71,9 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn(col("n_words"), F.size(col("words")).cast("long"))
     df = df.withColumn(col("m"), F.coalesce(F.col(col("n_words")) - 2, F.lit(0)).cast("int"))
     df = df.withColumn(col("bits"), F.coalesce(F.length(F.bin(F.greatest(F.col(col("m")), F.lit(1)).cast("long"))), F.lit(1)))
+    place = lambda x: f"cast({x} & (shiftleft(1L, {P}bits) - 1) as int)"
+    alike = lambda y: f"shiftright({y}, {P}bits) = shiftright(x, {P}bits)"
+    same = lambda y: f"{alike(y)} AND " + " AND ".join(f"{P}words[{place('x')} + {k}] = {P}words[{place(y)} + {k}]" for k in range(3))
     df = df.withColumn(
         col("keys"),
         F.expr(
@@ -78,10 +84,12 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn(
         col("spots"),
         F.expr(
-            f"""sort_array(transform(filter({P}keys, (x, i) ->
-                (i > 0 AND shiftright({P}keys[i - 1], {P}bits) = shiftright(x, {P}bits))
-                OR (i < {P}m - 1 AND shiftright(get({P}keys, i + 1), {P}bits) = shiftright(x, {P}bits))),
-                x -> x & (shiftleft(1L, {P}bits) - 1)))"""
+            f"""sort_array(transform(filter({P}keys, (x, i) -> CASE
+                WHEN i > 0 AND {same(f'{P}keys[i - 1]')} THEN true
+                WHEN i < {P}m - 1 AND {same(f'{P}keys[i + 1]')} THEN true
+                WHEN (i > 0 AND {alike(f'{P}keys[i - 1]')}) OR (i < {P}m - 1 AND {alike(f'{P}keys[i + 1]')})
+                    THEN exists({P}keys, y -> y <> x AND {same('y')})
+                ELSE false END), x -> cast({place('x')} as bigint)))"""
         ),
     )
     df = df.withColumn(col("lines"), F.filter(F.split(body, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
@@ -167,9 +175,11 @@ def with_labels(scored: DataFrame, labels: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
-    known = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    rungs = staged(certified_rungs(with_labels(with_scores(with_measures(known), rules), labels), rules), "rungs")
-    return judged(with_scores(with_measures(docs), rules), rungs).where(F.col(P + "kept") & (F.col(P + "part") >= 0)).select(*docs.columns)
+    columns = docs.columns
+    docs, hidden = guarded(docs, P)
+    scored = with_scores(staged(with_measures(docs), "measured"), rules)
+    rungs = staged(certified_rungs(with_labels(scored, labels), rules), "rungs")
+    return judged(scored, rungs).where(F.col(P + "kept")).select(*docs.columns).withColumnsRenamed(hidden).select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,12 @@ WARC-Refers-To (the response's record id), WARC-Refers-To-Target-URI and -Date,
 source, and SHA-1 block digests in base 32; the metadata record repeats the source's digests. Record ids are UUIDs
 made from the source id and the kind, so building again gives the same records.
 
-Defined results: a null url or page is empty; pages of equal ids give equal record ids; records that aren't
-responses pass by; header names are looked up without regard to case, and a repeated header is a list of its values
+Bodies are read as a browser would: chunks are joined, and the codings gzip, deflate and zstd undone in reverse order;
+of a body in another coding, or one that doesn't decode, there is no text. The entity digest is of the body as it is
+sent.
+
+Defined results: a null url, page or id is empty; a response's id follows from page id, url and page, so equal rows
+give equal record ids; records that aren't responses pass by; header names are looked up without regard to case, and a repeated header is a list of its values
 in the metadata record (of a repeated name that should be single the first counts); a malformed record gives a row with an error and no derivatives; repeated rows repeat. Texts are
 never cut. An empty table gives an empty result.
 """
@@ -29,6 +33,7 @@ from dataclasses import dataclass, field
 from urllib.parse import urljoin
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,13 +156,57 @@ def split_http(block: bytes) -> tuple[str, dict[str, str | list[str]], bytes]:
     return lines[0].decode("utf-8", "replace"), _fields(lines[1:]), body if gap else b""
 
 
+def joined_chunks(body: bytes) -> bytes:
+    """The body of a chunked transfer; what isn't chunked, and what follows a malformed chunk, stays as it is."""
+    parts, at = [], 0
+    while at < len(body):
+        end = body.find(CRLF, at)
+        size = re.fullmatch(rb"\s*([0-9a-fA-F]+)\s*(?:;.*)?", body[at:end] if end >= 0 else b"", re.S)
+        if not size:
+            parts.append(body[at:])
+            break
+        n = int(size[1], 16)
+        if not n:
+            break
+        parts.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(parts)
+
+
+def _inflated(data: bytes, coding: str) -> bytes:
+    if coding == "zstd":
+        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    if coding in ("gzip", "x-gzip"):
+        kind = 31
+    else:  # with or without the zlib frame
+        kind = 15 if data[:1] and data[0] & 15 == 8 and len(data) > 1 and (data[0] << 8 | data[1]) % 31 == 0 else -15
+    unpacker = zlib.decompressobj(kind)
+    return unpacker.decompress(data) + unpacker.flush()
+
+
+def entity(body: bytes, headers: dict[str, str | list[str]]) -> bytes | None:
+    """The body without its transfer and content codings; None if one can't be undone."""
+    coded = lambda name: [c.strip().lower() for k, v in headers.items() if k.lower() == name for x in _listed(v) for c in x.split(",")]
+    if "chunked" in coded("transfer-encoding"):
+        body = joined_chunks(body)
+    codings = [c for c in coded("content-encoding") + coded("transfer-encoding") if c not in ("", "identity", "chunked")]
+    for coding in reversed(codings):
+        if coding not in ("gzip", "x-gzip", "deflate", "zstd"):
+            return None
+        try:
+            body = _inflated(body, coding)
+        except (zlib.error, zstandard.ZstdError):
+            return None
+    return body
+
+
 def response(key: str, url: str, page: str, date: str = DATE) -> Record:
     body = page.encode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
     return Record(
         {
             "WARC-Type": "response",
-            "WARC-Record-ID": record_id("response", key, url),
+            "WARC-Record-ID": record_id("response", key, url, digest(body)),
             "WARC-Date": date,
             "WARC-Target-URI": url,
             "WARC-Payload-Digest": digest(body),
@@ -249,10 +298,11 @@ def derivatives(source: Record) -> tuple[Record, Record, dict]:
     """(metadata, conversion, facts) of a response record."""
     status, headers, body = split_http(source.block)
     found = re.search(r"charset=\"?([-\w]+)", next((_listed(v)[0] for k, v in headers.items() if k.lower() == "content-type"), ""))
+    plain = entity(body, headers) or b""
     try:
-        page = body.decode(found[1] if found else "utf-8", "replace")
+        page = plain.decode(found[1] if found else "utf-8", "replace")
     except LookupError:
-        page = body.decode("utf-8", "replace")
+        page = plain.decode("utf-8", "replace")
     facts = page_facts(page, source.first("WARC-Target-URI", ""))
     envelope = {
         "Envelope": {
@@ -277,7 +327,7 @@ def build_responses(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, urls, pages_ = (c.to_pylist() for c in batch.columns)
-            yield pa.record_batch([batch.column(0), pa.array([write(response(str(k), u, p)) for k, u, p in zip(keys, urls, pages_)], pa.binary())], names=["page_id", "warc"])
+            yield pa.record_batch([batch.column(0), pa.array([write(response("" if k is None else str(k), u, p)) for k, u, p in zip(keys, urls, pages_)], pa.binary())], names=["page_id", "warc"])
 
     rows = pages.select("page_id", text_or_empty("url").alias("url"), text_or_empty("html").alias("html"))
     return rows.mapInArrow(run, f"page_id {dict(rows.dtypes)['page_id']}, warc binary")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cellweave.llm import line_crf, near_dedup, packing, quality_rules
-from cellweave.llm.common import shared_dir, table
+from cellweave.llm.common import delete, table
+from cellweave.plans.lineage import scratch
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +42,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again before the next."""
-    docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/cellweave/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents, each written and read again before the next; what a stage read goes when the next one
+    is written."""
+    docs, base, last = table(spark, sf_dir, "documents"), scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{base}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{base}/{name}")
+        if last:
+            delete(spark, f"{base}/{last}")
+        last = name
     return STAGES[-1][1](spark, docs, sf_dir)

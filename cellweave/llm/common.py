@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +50,16 @@ def guarded(docs: DataFrame, prefix: str) -> tuple[DataFrame, dict[str, str]]:
     return docs.withColumnsRenamed({old: new for new, old in hidden.items()}), hidden
 
 
+def chunks(texts: pa.Array, size: int) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, stop, texts) of runs of rows with some `size` bytes; only one run at a time is held as Python strings."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    start, n = 0, len(texts)
+    while start < n:
+        stop = min(int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size)) + 1, n)
+        yield start, stop, texts.slice(start, stop - start).to_pylist()
+        start = stop
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cellweave.llm.common import guarded, table, text_or_empty
+from cellweave.llm.common import chunks, guarded, table, text_or_empty
 
 CLASSES = 8  # other, lower, upper, digit, space, sentence mark, symbol, bar
 N_FEATURES = 12
@@ -249,15 +249,9 @@ def with_scores(docs: DataFrame, model: Model, name: str = "score", keep: list[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, chunk, held = [np.zeros(0)], [], 0
-            for text in batch.column("text").to_pylist():
-                chunk.append(text or "")
-                held += len(chunk[-1])
-                if held >= params.chunk:
-                    scores.append(qualities(model, chunk))
-                    chunk, held = [], 0
-            if chunk:
-                scores.append(qualities(model, chunk))
+            scores = [np.zeros(0)]
+            for _, _, texts in chunks(batch.column("text"), params.chunk):
+                scores.append(qualities(model, [x or "" for x in texts]))
             yield pa.record_batch([*(batch.column(n) for n in names), pa.array(np.concatenate(scores))], names=[*names, name])
 
     return docs.mapInArrow(run, StructType([*kept, StructField(name, DoubleType())]))

@@ -43,12 +43,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm.bpe import gathered
-from cellweave.llm.common import discard, guarded, staged, table, text_or_empty
+from cellweave.llm.common import chunks, discard, guarded, staged, table, text_or_empty
 
 SLOT_BITS = 17
 RUNGS, RUNGS_PER_E = 24, 6  # the ladder of weights: rungs, and how many make a factor e
 PIECES, LANES = 64, 512
 HOT = 1000
+CHUNK = 1 << 20  # bytes of text that one step holds
 OUT = ("root", "class_id", "class_size")
 
 
@@ -83,16 +84,14 @@ def _draws(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _sampling_tables(seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(ranks of ln a by rung and slot, in the upper half of 64 bits; t by rank)."""
     r, log_c, beta = _draws(seed)
-    log_a, t = [], []
+    log_a, t = np.empty((RUNGS, len(r)), np.float32), np.empty((RUNGS, len(r)), np.uint32)
     for rung in range(RUNGS):
         step = np.floor((rung / RUNGS_PER_E) / r + beta)
-        log_a.append(log_c - r * (step - beta) - r)
-        t.append(step)
-    flat = np.concatenate(log_a)
-    order = np.argsort(flat, kind="stable")
-    ranks = np.empty(len(flat), np.uint64)
-    ranks[order] = np.arange(len(flat), dtype=np.uint64) << np.uint64(32)
-    return ranks, np.concatenate(t)[order]
+        log_a[rung], t[rung] = log_c - r * (step - beta) - r, step
+    order = np.argsort(log_a.ravel(), kind="stable")
+    ranks = np.empty(len(order), np.uint64)
+    ranks[order] = np.arange(len(order), dtype=np.uint64) << np.uint64(32)
+    return ranks, t.ravel()[order]
 
 
 class Sampler:
@@ -125,7 +124,7 @@ class Sampler:
         np.take(self.ranks, slot, out=self.found, mode="clip")
         np.add(self.found, self.place, out=self.found)
         least = np.minimum.reduceat(self.found, self.begin)
-        at, t = (least & np.uint64(0xFFFFFFFF)).astype(np.int64), self.steps[(least >> np.uint64(32)).astype(np.int64)]
+        at, t = (least & np.uint64(0xFFFFFFFF)).astype(np.int64), self.steps[(least >> np.uint64(32)).astype(np.int64)].astype(float)
         if len(self.heavy):
             # a falls with the weight; a heavy shingle may also stand in the table, with the top rung
             low = (1 << SLOT_BITS) - 1
@@ -194,19 +193,6 @@ def weighted(texts: list[str], shingler: Shingler) -> tuple[np.ndarray, np.ndarr
     return flat[at], np.diff(np.append(at, len(flat))), np.append(np.searchsorted(at, starts), len(at))
 
 
-def _chunks(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[tuple[int, int, list[str]]]:
-    """Runs of rows with about `size` characters: bounds what one step holds in memory."""
-    texts, start, held = [], 0, 0
-    for i, text in enumerate(batch.column(column).to_pylist()):
-        texts.append(text)
-        held += len(text)
-        if held >= size:
-            yield start, i + 1, texts
-            texts, start, held = [], i + 1, 0
-    if texts:
-        yield start, batch.num_rows, texts
-
-
 def document_frequencies(rows: DataFrame, params: Params) -> tuple[np.ndarray, int]:
     """(hashed document frequencies, number of documents) of rows(text); 2**df_bits numbers reach the driver."""
     bits, shift = params.df_bits, np.uint64(64 - params.df_bits)
@@ -217,7 +203,7 @@ def document_frequencies(rows: DataFrame, params: Params) -> tuple[np.ndarray, i
         shingler, total, n = Shingler(params.words, params.seed), np.zeros(1 << bits, np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            for _, _, texts in _chunks(batch, 0):
+            for _, _, texts in chunks(batch.column(0), CHUNK):
                 hashes, _, offsets = weighted(texts, shingler)
                 slot = (hashes >> shift).astype(np.int64)
                 first = np.ones(len(slot), bool)
@@ -264,7 +250,7 @@ def signatures(rows: DataFrame, idf, params: Params) -> DataFrame:
         salts = _salts(params.seed + 1, bands * per_band)
         mixers = _salts(params.seed + 2, per_band)
         for batch in batches:
-            for a, b, texts in _chunks(batch, 2):
+            for a, b, texts in chunks(batch.column(2), CHUNK):
                 hashes, tf, offsets = weighted(texts, shingler)
                 sampler = Sampler(params.seed, hashes, tf * weights[(hashes >> shift).astype(np.int64)].astype(float), offsets)
                 keys = np.zeros((bands, len(texts)), np.uint64)
@@ -318,7 +304,7 @@ def similarities(pairs: DataFrame, texts: DataFrame, idf, params: Params) -> Dat
             start = 0
             for i, j in zip(first, [*first[1:], len(leaders)]):
                 lead = batch.column(2)[i].as_py()
-                for a, b, own in _chunks(batch.slice(i, j - i), 3):
+                for a, b, own in chunks(batch.column(3).slice(i, j - i), CHUNK):
                     vectors = Vectors([lead, *own], shingler, idf.value, shift)
                     low, w = vectors.overlaps(0, np.arange(1, len(own) + 1)), vectors.total[1:]
                     numbers = [pa.array(x, pa.float64()) for x in (low / (vectors.total[0] + w - low), low, w)]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm.bpe import gathered, squeezed, unsqueezed
-from cellweave.llm.common import staged, table, text_or_empty
+from cellweave.llm.common import chunks, staged, table, text_or_empty
 
 LANES = 512
 
@@ -220,13 +220,8 @@ def tokenized(docs: DataFrame, path: str, params: Params = Params(), chunk: int
         names = ["doc_id", "row", "n", "ids", "lane", "df"]
         for batch in batches:
             df = np.zeros(max(tokenizer.size, params.end_id + 1), np.int64) if df is None else df
-            kind, texts, start, held = batch.schema.field(0).type, [], 0, 0
-            listed = batch.column(1).to_pylist()
-            for i, text in enumerate(listed):
-                texts.append(text)
-                held += len(text)
-                if held < chunk and i + 1 < len(listed):
-                    continue
+            kind = batch.schema.field(0).type
+            for start, stop, texts in chunks(batch.column(1), chunk):
                 ids = [np.append(x, end) for x in tokenizer(texts)]
                 for x in ids:
                     df[np.unique(x)] += 1
@@ -235,8 +230,7 @@ def tokenized(docs: DataFrame, path: str, params: Params = Params(), chunk: int
                 rows = np.arange(row, row + len(ids), dtype=np.int64) + (part << 33)
                 row += len(ids)
                 none = pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())
-                yield pa.record_batch([batch.column(0).slice(start, i + 1 - start), pa.array(rows), pa.array(n, pa.int64()), pa.array(map(_pack_ids, ids), pa.binary()), *none], names=names)
-                texts, start, held = [], i + 1, 0
+                yield pa.record_batch([batch.column(0).slice(start, stop - start), pa.array(rows), pa.array(n, pa.int64()), pa.array(map(_pack_ids, ids), pa.binary()), *none], names=names)
         if df is not None:
             counts = squeezed(np.append(df, [row, total]).astype("<i8").tobytes())
             yield pa.record_batch([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([part % LANES], pa.int32()), pa.array([counts], pa.binary())], names=names)

@@ -2,9 +2,11 @@
 
 1. Documents are tokenized once and staged as compressed ids (plus an end id each), together with the document
    frequencies of all vocabulary ids. That vector's length is the vocabulary's size, whatever the corpus holds.
-2. Documents are dealt into shards of about `shard_tokens` tokens by a hash of their row; each shard is one group
-   with an inverted index of its own: postings by vocabulary id with BM25 weights, idf and mean length taken over
-   the whole corpus.
+   A document's topic is its term of the largest tf * idf, by the documents that its task has seen so far.
+2. Documents are dealt into shards of at most some `shard_tokens` tokens by their topics, so that neighbours tend to meet:
+   small topics share a shard, large ones are dealt to several by a hash of the row. The sizes of topics, one number per
+   vocabulary id, reach the driver. Each shard is one group with an inverted index of its own: postings by vocabulary id
+   with BM25 weights, idf and mean length taken over the whole corpus.
 3. In a shard, documents of a window or more give full windows of their own. The rest, longest first, are seeds:
    a seed asks the index with all its terms, and the unused neighbours it returns fill its window greedily, best
    first, where they fit. Once `fan` of them were tried and one did not fit, what is left of the window takes the
@@ -42,6 +44,8 @@ class Params:
     window: int = 2048
     end_id: int = 1
     shard_tokens: int = 2_000_000
+    #: what a document counts as in a shard besides its tokens: bounds a shard's documents too
+    doc_tokens: int = 100
     fan: int = 24  # neighbours that are tried before the best of them is cut
     k1: float = 1.2
     b: float = 0.75
@@ -210,33 +214,36 @@ def _unpack_ids(data: bytes) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, path: str, params: Params = Params(), chunk: int = 1 << 22) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, row, n, ids, lane, df): a row per document, and one with df per task."""
+    """docs(doc_id, text) -> (doc_id, row, n, topic, ids, lane, df): a row per document, and one with df per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         tokenizer, part, row, df, total = _tokenizer(path), TaskContext.get().partitionId(), 0, None, 0
         end = np.array([params.end_id], np.uint16)
-        names = ["doc_id", "row", "n", "ids", "lane", "df"]
+        names = ["doc_id", "row", "n", "topic", "ids", "lane", "df"]
         for batch in batches:
             df = np.zeros(max(tokenizer.size, params.end_id + 1), np.int64) if df is None else df
             kind = batch.schema.field(0).type
             for start, stop, texts in chunks(batch.column(1), chunk):
                 ids = [np.append(x, end) for x in tokenizer(texts)]
-                for x in ids:
-                    df[np.unique(x)] += 1
+                found = [np.unique(x, return_counts=True) for x in ids]
+                for terms, _ in found:
+                    df[terms] += 1
+                idf = np.log(1 + (row + len(ids) - df + 0.5) / (df + 0.5))
+                topic = [int(terms[(tf * idf[terms]).argmax()]) for terms, tf in found]
                 n = [len(x) for x in ids]
                 total += sum(n)
                 rows = np.arange(row, row + len(ids), dtype=np.int64) + (part << 33)
                 row += len(ids)
                 none = pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())
-                yield pa.record_batch([batch.column(0).slice(start, stop - start), pa.array(rows), pa.array(n, pa.int64()), pa.array(map(_pack_ids, ids), pa.binary()), *none], names=names)
+                yield pa.record_batch([batch.column(0).slice(start, stop - start), pa.array(rows), pa.array(n, pa.int64()), pa.array(topic, pa.int32()), pa.array(map(_pack_ids, ids), pa.binary()), *none], names=names)
         if df is not None:
             counts = squeezed(np.append(df, [row, total]).astype("<i8").tobytes())
-            yield pa.record_batch([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([part % LANES], pa.int32()), pa.array([counts], pa.binary())], names=names)
+            yield pa.record_batch([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([part % LANES], pa.int32()), pa.array([counts], pa.binary())], names=names)
 
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, row long, n long, ids binary, lane int, df binary")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, row long, n long, topic int, ids binary, lane int, df binary")
 
 
 def corpus_counts(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -251,6 +258,21 @@ def corpus_counts(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
     return (found[0][:-2], int(found[0][-2]), int(found[0][-1])) if found else (np.zeros(0, np.int64), 0, 0)
 
 
+def shards_by_topic(sizes: list[tuple[int, int]], most: int) -> list[tuple[int, int, int]]:
+    """(topic, first shard, number of shards) of (topic, size): shards of at most some `most`. A topic above that is dealt
+    to shards of its own; of the others, in the order of topics, each goes to the last shard as long as there is room."""
+    out, shard, held = [], -1, most + 1
+    for topic, size in sorted(sizes):
+        pieces = max(1, -(-size // most))
+        if pieces > 1 or held + size > most:
+            shard, held = shard + 1, 0
+        out.append((topic, shard, pieces))
+        held += size
+        if pieces > 1:
+            shard, held = shard + pieces - 1, most + 1
+    return out
+
+
 class Index:
     """BM25 postings of a shard by vocabulary id."""
 
@@ -340,7 +362,9 @@ def packed(docs: DataFrame, path: str, params: Params = Params(), with_ids: bool
     """docs(doc_id, text) -> a row per piece: doc_id, where it starts in the document, where it stands in its sequence."""
     tokens = staged(tokenized(docs, path, params), "tokens")
     df, n, total = corpus_counts(tokens)
-    shards = max(1, -(-total // params.shard_tokens))
+    documents = tokens.where("df IS NULL")
+    size = F.sum(F.col("n") + params.doc_tokens)
+    topics = shards_by_topic([tuple(r) for r in documents.groupBy("topic").agg(size).collect()], params.shard_tokens)
     idf = docs.sparkSession.sparkContext.broadcast(np.log(1 + (n - df + 0.5) / (df + 0.5)))
     mean_length = total / max(n, 1)
     kind = dict(tokens.dtypes)["doc_id"]
@@ -359,7 +383,10 @@ def packed(docs: DataFrame, path: str, params: Params = Params(), with_ids: bool
         columns = {"doc_id": group.column("doc_id").take(pa.array(doc)), **{k: pa.array(v, pa.int64()) for k, v in zip(NUMBERS, numbers)}}
         return pa.table(columns | ({"ids": pa.array(own, pa.binary())} if with_ids else {}))
 
-    dealt = tokens.where("df IS NULL").select("doc_id", "row", "ids", F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"))
+    places = docs.sparkSession.createDataFrame(topics, "topic int, first int, pieces int")
+    # a row per vocabulary id at most
+    placed = documents.join(F.broadcast(places), "topic")
+    dealt = placed.select("doc_id", "row", "ids", (F.col("first") + F.pmod(F.xxhash64("row"), F.col("pieces").cast("long"))).alias("shard"))
     return dealt.groupBy("shard").applyInArrow(run, f"doc_id {kind}, " + ", ".join(f"`{k}` long" for k in NUMBERS) + (", ids binary" if with_ids else ""))
 
 

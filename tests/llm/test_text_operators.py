@@ -229,6 +229,35 @@ def test_neighbours_come_by_score():
     assert [d for d, *_ in first][:2] == [0, 2]
 
 
+def test_shards_of_topics():
+    rng = random.Random(3)
+    for most in (10, 100, 1000):
+        sizes = [(t, rng.choice((1, 3, 9, 40, 300))) for t in rng.sample(range(500), 60)]
+        load, owners = collections.Counter(), collections.defaultdict(set)
+        for topic, first, pieces in packing.shards_by_topic(sizes, most):
+            for k in range(pieces):
+                load[first + k] += dict(sizes)[topic] / pieces
+                owners[first + k].add(topic)
+            assert pieces == 1 or all(owners[first + k] == {topic} for k in range(pieces))
+        assert max(load.values()) <= most and sorted(load) == list(range(len(load)))
+        assert sum(load.values()) == pytest.approx(sum(n for _, n in sizes))
+        assert all(load[k] + load[k + 1] > most for k in range(len(load) - 1) if len(owners[k]) > 1 and len(owners[k + 1]) > 1) or most == 10
+    assert packing.shards_by_topic([], 5) == []
+
+
+def test_documents_of_one_topic_meet(docs):
+    rng = random.Random(8)
+    own = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(12)]
+    texts = [" ".join([w] * 12 + ["red", "green", "blue", "house", "tree"] * 3) for w in own for _ in range(6)]
+    rng.shuffle(texts)
+    rows = packing.packed(docs(texts), WORD_BPE, packing.Params(window=256, shard_tokens=1200)).collect()
+    sequences = collections.defaultdict(set)
+    for r in rows:
+        sequences[r.sequence_id].add(texts[r.doc_id])
+    # windows hold few kinds of text, where documents at random would mix most of them
+    assert np.mean([len(x) for x in sequences.values()]) < 2.6
+
+
 def test_all_terms_ask_and_windows_fill_by_score():
     rng = np.random.default_rng(4)
     # every document has more than 64 distinct terms, shared ones among them

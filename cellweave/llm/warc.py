@@ -91,7 +91,7 @@ def record_id(*parts: str) -> str:
 
 def _clean(value: str) -> str:
     """A header value on one line."""
-    return re.sub(r"[\r\n]+", " ", value).strip()
+    return re.sub(r"[\r\n]+", " ", value).strip() if "\n" in value or "\r" in value else value.strip()
 
 
 def write(record: Record, gzipped: bool = True) -> bytes:
@@ -99,8 +99,7 @@ def write(record: Record, gzipped: bool = True) -> bytes:
     data = "\r\n".join(lines).encode() + CRLF * 2 + record.block + CRLF * 2
     if not gzipped:
         return data
-    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-    return packer.compress(data) + packer.flush()
+    return zlib.compress(data, LEVEL, 31)
 
 
 def _plain(data: bytes) -> bytes:
@@ -119,14 +118,18 @@ def _fields(lines: list[bytes]) -> dict[str, str | list[str]]:
     names: dict[str, str] = {}
     found: dict[str, list[str]] = {}
     last = None
-    for line in lines:
-        text = line.decode("utf-8", "replace")
+    for text in CRLF.join(lines).decode("utf-8", "replace").split("\r\n"):
         if text[:1] in (" ", "\t") and last:
             found[last][-1] += " " + text.strip()
-        elif ":" in text:
-            name, _, value = text.partition(":")
-            last = names.setdefault(name.strip().lower(), name.strip())
-            found.setdefault(last, []).append(value.strip())
+            continue
+        name, colon, value = text.partition(":")
+        if colon:
+            name = name.strip()
+            last = names.setdefault(name.lower(), name)
+            if last in found:
+                found[last].append(value.strip())
+            else:
+                found[last] = [value.strip()]
     return {k: v if len(v) > 1 else v[0] for k, v in found.items()}
 
 
@@ -186,6 +189,8 @@ def _inflated(data: bytes, coding: str) -> bytes:
 
 def entity(body: bytes, headers: dict[str, str | list[str]]) -> bytes | None:
     """The body without its transfer and content codings; None if one can't be undone."""
+    if not any(k.lower() in ("transfer-encoding", "content-encoding") for k in headers):
+        return body
     coded = lambda name: [c.strip().lower() for k, v in headers.items() if k.lower() == name for x in _listed(v) for c in x.split(",")]
     if "chunked" in coded("transfer-encoding"):
         body = joined_chunks(body)
@@ -202,14 +207,15 @@ def entity(body: bytes, headers: dict[str, str | list[str]]) -> bytes | None:
 
 def response(key: str, url: str, page: str, date: str = DATE) -> Record:
     body = page.encode()
+    own = digest(body)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
     return Record(
         {
             "WARC-Type": "response",
-            "WARC-Record-ID": record_id("response", key, url, digest(body)),
+            "WARC-Record-ID": record_id("response", key, url, own),
             "WARC-Date": date,
             "WARC-Target-URI": url,
-            "WARC-Payload-Digest": digest(body),
+            "WARC-Payload-Digest": own,
             "WARC-Block-Digest": digest(http),
             "Content-Type": "application/http; msgtype=response",
         },

@@ -331,3 +331,35 @@ def test_conditional_query_grows_with_the_cells(monkeypatch):
     with pytest.raises(Stop):
         queries.QUERIES["enrich_conditional"](None, "")
     assert asked.get("cond_steps") is None
+
+
+def test_swap_chain_keeps_its_books():
+    import numpy as np
+
+    from cellweave.operators.enrichment import Chain
+
+    rng = np.random.default_rng(5)
+    n = 80
+    pairs = sorted({tuple(sorted(p)) for p in rng.integers(0, n, (240, 2)).tolist() if p[0] != p[1]})
+    a, b = np.array(pairs).T
+    codes = (np.arange(n) >= 40).astype(int) + (np.arange(n) % 5 == 0)
+    chain = Chain(codes, a, b, 3)
+    observed = chain.counts(codes)
+    # the change of a batch is what counting anew gives, one proposal at a time
+    labels = rng.permutation(codes)
+    u, v = rng.integers(0, n, 30), rng.integers(0, n, 30)
+    at, types, change = chain._changes(u, v, labels)
+    for i in range(30):
+        swapped = labels.copy()
+        swapped[u[i]], swapped[v[i]] = labels[v[i]], labels[u[i]]
+        want = chain.counts(swapped) - chain.counts(labels)
+        got = np.zeros(9, int)
+        got[types[at == i]] = change[at == i]
+        assert (got == want).all()
+    for temperature in (0.5, 4.0):
+        labels, accepted, residual = chain.run(np.random.default_rng(1), 4000, temperature)
+        assert sorted(labels) == sorted(codes) and residual == np.abs(chain.counts(labels) - observed).sum() and 0 < accepted < 1
+        again = chain.run(np.random.default_rng(1), 4000, temperature)[0]
+        assert (labels == again).all() and (labels != codes).any()
+    free = np.mean([np.abs(chain.counts(rng.permutation(codes)) - observed).sum() for _ in range(20)])
+    assert np.mean([chain.run(np.random.default_rng(k), 4000, 0.5)[2] for k in range(5)]) < free / 3

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +62,19 @@ def chunks(texts: pa.Array, size: int) -> Iterator[tuple[int, int, list[str]]]:
         start = stop
 
 
+@cache
+def _libc():
+    return ctypes.CDLL(None)
+
+
+def free_memory() -> None:
+    """Gives unused memory back to the system at the end of a task: Spark keeps its Python workers, and they count against
+    the executor while others run."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -9,7 +9,7 @@
    y = exp(r (t - beta)), a = c / (y exp(r)); the sample is (shingle, t) of the smallest a). Weights are rounded
    to a fixed ladder, so ln a and t come from a table over (rung of the ladder, slot); a shingle's slot differs
    for each of the samples, and of shingles in one slot the one of the smallest hash counts. For weights above the
-   ladder (44) they are computed from the weight itself.
+   ladder (3) they are computed from the weight itself.
 3. Samples are banded, without shuffling texts. Rows of equal texts are collapsed by the text's md5, so groups
    of thousands of copies count once from here on.
 4. A bucket's leader is the member that shares most places in all its buckets, so that the original of many variants
@@ -43,10 +43,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm.bpe import gathered
-from cellweave.llm.common import chunks, discard, guarded, staged, table, text_or_empty
+from cellweave.llm.common import chunks, discard, free_memory, guarded, staged, table, text_or_empty
 
 SLOT_BITS = 17
-RUNGS, RUNGS_PER_E = 24, 6  # the ladder of weights: rungs, and how many make a factor e
+RUNGS, RUNGS_PER_E = 8, 6  # the ladder of weights: rungs, and how many make a factor e
 PIECES, LANES = 64, 512
 HOT = 1000
 CHUNK = 1 << 20  # bytes of text that one step holds
@@ -264,6 +264,7 @@ def signatures(rows: DataFrame, idf, params: Params) -> DataFrame:
                 ends = np.arange(0, keys.size + 1, bands, dtype=np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(keys.T).view(np.int64).ravel()))
                 yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), listed], names=["doc_id", "rep", "keys"])
+        free_memory()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "rep", "text").mapInArrow(run, f"doc_id {kind}, rep binary, keys array<long>")

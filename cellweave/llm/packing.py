@@ -24,7 +24,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm.bpe import gathered, squeezed, unsqueezed
-from cellweave.llm.common import chunks, staged, table, text_or_empty
+from cellweave.llm.common import chunks, free_memory, staged, table, text_or_empty
 
 LANES = 512
 
@@ -78,7 +78,9 @@ class FastWords:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            data = json.load(f)
+        model = data["model"]
+        self.size = 1 + max([*model["vocab"].values(), *(x["id"] for x in data.get("added_tokens", ()))])
         chars, suffix, vocab, end = _byte_chars(), model["end_of_word_suffix"], model["vocab"], self.END
 
         def coded(token: str) -> bytes:
@@ -148,14 +150,21 @@ class WordTokenizer:
         import re
 
         import regex
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.size = self.tokenizer.get_vocab_size()
+        self.path = path
         self.unsure, self.find = re.compile(UNSURE).search, regex.compile(PRE_TOKENS).findall
         self.words = FastWords(path)
+        self.size = self.words.size
+
+    @cached_property
+    def tokenizer(self):
+        """The library's tokenizer, which few texts need."""
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
 
     def _slow(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -240,6 +249,7 @@ def tokenized(docs: DataFrame, path: str, params: Params = Params(), chunk: int
                 yield pa.record_batch([batch.column(0).slice(start, stop - start), pa.array(rows), pa.array(n, pa.int64()), pa.array(topic, pa.int32()), pa.array(map(_pack_ids, ids), pa.binary()), *none], names=names)
         if df is not None:
             counts = squeezed(np.append(df, [row, total]).astype("<i8").tobytes())
+            free_memory()
             yield pa.record_batch([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([part % LANES], pa.int32()), pa.array([counts], pa.binary())], names=names)
 
     rows = docs.select("doc_id", text_or_empty().alias("text"))
@@ -381,7 +391,10 @@ def packed(docs: DataFrame, path: str, params: Params = Params(), with_ids: bool
                 at += length
         doc, *numbers, own = zip(*rows)
         columns = {"doc_id": group.column("doc_id").take(pa.array(doc)), **{k: pa.array(v, pa.int64()) for k, v in zip(NUMBERS, numbers)}}
-        return pa.table(columns | ({"ids": pa.array(own, pa.binary())} if with_ids else {}))
+        out = pa.table(columns | ({"ids": pa.array(own, pa.binary())} if with_ids else {}))
+        del ids, rows, own
+        free_memory()
+        return out
 
     places = docs.sparkSession.createDataFrame(topics, "topic int, first int, pieces int")
     # a row per vocabulary id at most

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cellweave.llm.common import chunks, guarded, table, text_or_empty
+from cellweave.llm.common import chunks, free_memory, guarded, table, text_or_empty
 
 CLASSES = 8  # other, lower, upper, digit, space, sentence mark, symbol, bar
 N_FEATURES = 12
@@ -253,6 +253,7 @@ def with_scores(docs: DataFrame, model: Model, name: str = "score", keep: list[s
             for _, _, texts in chunks(batch.column("text"), params.chunk):
                 scores.append(qualities(model, [x or "" for x in texts]))
             yield pa.record_batch([*(batch.column(n) for n in names), pa.array(np.concatenate(scores))], names=[*names, name])
+        free_memory()
 
     return docs.mapInArrow(run, StructType([*kept, StructField(name, DoubleType())]))
 

@@ -210,6 +210,7 @@ def document_frequencies(rows: DataFrame, params: Params) -> tuple[np.ndarray, i
                 first[1:] = slot[1:] != slot[:-1]
                 first[offsets[:-1]] = True
                 total += np.bincount(slot[first], minlength=1 << bits)
+        free_memory()
         if n:
             parts = [total[:0] + n, *np.split(total, PIECES)]
             parts[0] = np.array([n])
@@ -310,6 +311,7 @@ def similarities(pairs: DataFrame, texts: DataFrame, idf, params: Params) -> Dat
                     low, w = vectors.overlaps(0, np.arange(1, len(own) + 1)), vectors.total[1:]
                     numbers = [pa.array(x, pa.float64()) for x in (low / (vectors.total[0] + w - low), low, w)]
                     yield pa.record_batch([batch.column(0).slice(i + a, b - a), batch.column(1).slice(i + a, b - a), *numbers], names=["leader", "rep", "sim", "o", "w"])
+        free_memory()
 
     joined = pairs.join(texts, "rep").join(texts.toDF("leader", "lead"), "leader").select("leader", "rep", "lead", "text")
     return joined.mapInArrow(run, "leader binary, rep binary, sim double, o double, w double")

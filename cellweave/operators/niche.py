@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.graph import SpatialGraph
@@ -23,17 +25,54 @@ def composition_matrix(composition: DataFrame, types: list[str]) -> DataFrame:
     return composition.groupBy("cell_id").pivot("cell_type", types).agg(F.sum("fraction")).na.fill(0.0)
 
 
+#: compositions are taken in units of a billionth, whose sums are exact whatever their order
+UNIT = 1_000_000_000
+
+
+def _closest(centres: list[list[list[float]]]) -> Column:
+    """Per start the squared distance and the number of the centre closest to `x`; of equally close ones the first."""
+    literal = F.from_json(F.lit(json.dumps(centres)), "array<array<array<double>>>")
+    square = lambda a, b: (a - b) * (a - b)
+    distance = lambda c: F.aggregate(F.zip_with("x", c, square), F.lit(0.0), lambda s, v: s + v)
+    return F.transform(literal, lambda cs: F.array_min(F.transform(cs, lambda c, i: F.struct(distance(c).alias("d"), i.alias("c")))))
+
+
 def niches(composition: DataFrame, types: list[str], k: int = 3, starts: int = 25, iterations: int = 50, seed: int = 1) -> DataFrame:
-    """(cell_id, niche) by k-means over compositions; of several starts the one of the smallest cost."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    matrix = composition_matrix(composition, types)
-    data = matrix.select("cell_id", array_to_vector(F.array(*[F.col(f"`{t}`") for t in types])).alias("features"))
-    data = cached(data)
-    fits = [KMeans(k=k, seed=seed + i, maxIter=iterations).fit(data) for i in range(starts)]
-    best = min(fits, key=lambda f: f.summary.trainingCost)
-    return best.transform(data).select("cell_id", F.col("prediction").alias("niche"))
+    """(cell_id, niche) by k-means over compositions; of several starts the one of the smallest cost.
+
+    Cells of equal composition are one weighted point, and all starts share each pass over the points: an iteration is
+    one aggregation that gives starts x k rows to the driver. A start's centres are the k distinct compositions of the smallest
+    md5(seed:start:units), so any engine draws the same. A centre that loses all its points stays where it is.
+    Niches are numbered in the order of their centres; without cells the result is empty.
+    """
+    units = F.array(*[F.round(F.col(f"`{t}`") * UNIT).cast("long") for t in types])
+    cells = cached(composition_matrix(composition, types).select("cell_id", units.alias("units")))
+    shares = F.transform("units", lambda u: u / F.lit(float(UNIT)))
+    points = cached(cells.groupBy("units").agg(F.count(F.lit(1)).alias("w")).withColumn("x", shares))
+
+    drawn = points.select("units", "x", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("start"))
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("start").cast("string"), F.array_join("units", ",")))
+    first = drawn.withColumn("at", F.row_number().over(Window.partitionBy("start").orderBy(mark))).where(F.col("at") <= k)
+    centres: list[list[list[float]]] = [[] for _ in range(starts)]
+    for row in first.select("start", "at", "x").orderBy("start", "at").collect():
+        centres[row.start].append(list(row.x))
+
+    totals = [F.sum(F.col("units")[t].cast("decimal(20,0)") * F.col("w")).alias(f"t{t}") for t in range(len(types))]
+    moving = [s for s in range(starts) if centres[s]]
+    for _ in range(iterations):
+        if not moving:
+            break
+        found = points.select("units", "w", F.posexplode(_closest([centres[s] for s in moving])).alias("i", "to"))
+        before = {s: list(centres[s]) for s in moving}
+        for row in found.groupBy("i", F.col("to.c").alias("c")).agg(F.sum("w").alias("n"), *totals).collect():
+            centres[moving[row.i]][row.c] = [float(row[f"t{t}"]) / (float(row.n) * float(UNIT)) for t in range(len(types))]
+        moving = [s for s in moving if centres[s] != before[s]]
+
+    if not centres[0]:
+        return cells.select("cell_id", F.lit(0).alias("niche"))
+    costs = points.select("w", F.posexplode(_closest(centres)).alias("start", "to")).groupBy("start").agg(F.sum(F.col("w") * F.col("to.d")).alias("cost"))
+    best = centres[min((round(row.cost, 6), row.start) for row in costs.collect())[1]]
+    return cells.withColumn("x", shares).select("cell_id", _closest([sorted(best)])[0]["c"].alias("niche"))
 
 
 def edge_quantiles(sg: SpatialGraph, probabilities: tuple[float, ...] = (0.0, 0.5, 0.95, 1.0)) -> DataFrame:

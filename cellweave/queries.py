@@ -670,10 +670,24 @@ def _(spark, sf):
     return niche.neighborhood_composition(points(spark, sf), 10).withColumn("fraction", F.round("fraction", 9))
 
 
-@query("niche_kmeans")
+# closest centres of all starts by lists, and their means by unnested types, in a recursion of as many steps as the operator may take
+SQUARES = "list_reduce(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda m, n: m + n)"
+NICHES_SQL = f"""WITH RECURSIVE {K_SQL}, own AS (SELECT a, b FROM nn WHERE rn <= 9 UNION ALL SELECT cell_id, cell_id FROM p), co AS (SELECT a, cell_type, count(*) n FROM own JOIN p ON p.cell_id = b GROUP BY ALL), ty AS (SELECT DISTINCT cell_type t FROM p),
+ mx AS (SELECT cell_id, list(cast(round(coalesce(n, 0) / 10.0::double * 1e9::double) AS bigint) ORDER BY t) u FROM (SELECT cell_id, t FROM p, ty) LEFT JOIN co ON a = cell_id AND cell_type = t GROUP BY cell_id),
+ vs AS (SELECT u, list_transform(u, lambda v: v / 1e9::double) x, count(*) w FROM mx GROUP BY u),
+ fs AS (SELECT s, x, row_number() OVER (PARTITION BY s ORDER BY md5('1:' || s || ':' || array_to_string(u, ','))) c FROM vs, (SELECT unnest(range(25)) s)),
+ it AS (SELECT 0 i, s, list(x ORDER BY c) cs FROM fs WHERE c <= 3 GROUP BY s
+  UNION ALL SELECT i + 1, s, list(coalesce(y, cs[c]) ORDER BY c) FROM (SELECT i, s, cs, unnest(range(1, len(cs) + 1)) c FROM it WHERE i < 50) LEFT JOIN
+   (SELECT s, c, list(y ORDER BY t) y FROM (SELECT s, c, t, sum(u[t] * w)::double / (sum(w)::double * 1e9::double) y FROM (SELECT s, u, w, list_position(ds, list_min(ds)) c, unnest(range(1, len(u) + 1)) t FROM
+     (SELECT s, u, w, list_transform(cs, lambda y: {SQUARES}) ds FROM it, vs WHERE i < 50)) GROUP BY ALL) GROUP BY ALL) USING (s, c) GROUP BY ALL),
+ ct AS (SELECT s, cs, round(sum(w * list_min(list_transform(cs, lambda y: {SQUARES}))), 6) cost FROM it, vs WHERE i = 50 GROUP BY ALL), be AS (SELECT list_sort(cs) cs FROM ct ORDER BY cost, s LIMIT 1),
+ ni AS (SELECT u, list_transform(cs, lambda y: {SQUARES}) ds FROM vs, be) SELECT cell_id, (list_position(ds, list_min(ds)) - 1)::int niche FROM mx JOIN ni USING (u)"""
+
+
+@query("niche_kmeans", NICHES_SQL)
 def _(spark, sf):
     types = [r[0] for r in points(spark, sf).select("cell_type").distinct().orderBy("cell_type").collect()]
-    return niche.niches(niche.neighborhood_composition(points(spark, sf), 10), types, starts=5)
+    return niche.niches(niche.neighborhood_composition(points(spark, sf), 10), types)
 
 
 @query("pseudo_samples", f"WITH {P_SQL}, b AS (SELECT quantile_cont(x, 1 / 3.0::double) q1, quantile_cont(x, 2 / 3.0::double) q2 FROM p), t AS (SELECT 's' || (1 + (x > q1)::int + (x > q2)::int) sample_id FROM p, b) SELECT sample_id, count(*) n FROM t GROUP BY sample_id")

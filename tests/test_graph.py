@@ -1,5 +1,6 @@
 """Graph model, construction, storage."""
 
+import hashlib
 import itertools
 import math
 import warnings
@@ -193,6 +194,38 @@ def test_niches(spark):
     assert niche.pseudo_samples(points, 4).select("sample_id").distinct().count() == 4
 
 
+def squares(v, centres):
+    return [sum((a / 1e9 - b) * (a / 1e9 - b) for a, b in zip(v, c)) for c in centres]
+
+
+def plain_niches(vectors, k, starts, iterations, seed):
+    """Lloyd's steps, one start and one cell at a time; vectors in billionths."""
+    fits = []
+    for start in range(starts):
+        drawn = sorted(set(vectors.values()), key=lambda v: hashlib.md5(f"{seed}:{start}:{','.join(map(str, v))}".encode()).hexdigest())
+        centres = [[a / 1e9 for a in v] for v in drawn[:k]]
+        for _ in range(iterations):
+            members = [[] for _ in centres]
+            for v in vectors.values():
+                d = squares(v, centres)
+                members[d.index(min(d))].append(v)
+            centres = [[sum(col) / (len(own) * 1e9) for col in zip(*own)] if own else c for own, c in zip(members, centres)]
+        fits.append((round(sum(min(squares(v, centres)) for v in vectors.values()), 6), start, centres))
+    centres = sorted(min(fits)[2])
+    return {cell: (d := squares(v, centres)).index(min(d)) for cell, v in vectors.items()}
+
+
+@pytest.mark.parametrize("k", [1, 3, 200])
+def test_niches_against_plain_steps(spark, k):
+    points = spark.createDataFrame(random_points(60, 8))
+    c = niche.neighborhood_composition(points, 5)
+    types = ["B", "M", "T"]
+    vectors = {r.cell_id: tuple(round(r[t] * 10**9) for t in types) for r in niche.composition_matrix(c, types).collect()}
+    got = {r.cell_id: r.niche for r in niche.niches(c, types, k=k, starts=4, iterations=6, seed=2).collect()}
+    assert got == plain_niches(vectors, k, 4, 6, 2)
+    assert niche.niches(c.limit(0), types).count() == 0
+
+
 def test_expression_input(spark):
     import pandas as pd
 

@@ -11,9 +11,10 @@ the turns before the span are repeated. Each window marks the spans of text that
 texts of its new turns. Repeated turns are masked, so every assistant text is a target exactly once.
 A turn that alone exceeds the budget is a window of its own, uncut.
 
-Scale. Rows are dealt by conversation and sorted inside partitions; conversations are read as a stream of rows, so
-a conversation that holds a third of all rows needs no more memory than its system turn, the window that is open
-and the history. Its windows leave as they close.
+Scale. Tokens are counted row by row where rows are read, before any conversation is gathered. Then rows are dealt by
+conversation and sorted inside partitions; conversations are read as a stream of rows, so one that holds a third of
+all rows needs no more memory than its system turn, the window that is open and the history, and what its one task
+has left to do is to join strings. Its windows leave as they close.
 
 Defined results: null texts and roles are empty; a null id or turn is a value of its own (sorted first); repeated
 rows are repeated turns; an empty table gives an empty result; a conversation without assistant turns has windows
@@ -70,16 +71,16 @@ def turn_text(role: str, text: str) -> tuple[str, int]:
 class Windows:
     """The windows of one conversation, fed turn by turn."""
 
-    def __init__(self, conv_id, params: Params, count):
-        self.conv_id, self.params, self.count = conv_id, params, count
+    def __init__(self, conv_id, params: Params):
+        self.conv_id, self.params = conv_id, params
         self.system, self.system_size = "", 0
         self.past: list[tuple[str, int]] = []  # formatted turns that may be repeated, with tokens
         self.fresh: list[tuple[str, int, int, bool]] = []  # formatted, tokens, start of text, is target
         self.sum = self.n = self.turns = 0
 
-    def add(self, role: str, text: str) -> Iterator[dict]:
+    def add(self, role: str, text: str, size: int) -> Iterator[dict]:
+        """size: tokens of the formatted turn."""
         formatted, start = turn_text(role, text)
-        size = self.count(formatted)
         if self.turns == 0 and role == "system":
             self.system, self.system_size = formatted, size
         elif self.fresh and (self.system_size if self.n else 0) + sum(s for _, s in self.past) + self.sum + size > self.params.budget:
@@ -125,9 +126,19 @@ WINDOW_SCHEMA = "window long, text string, fresh_start long, loss array<struct<s
 _LOSS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
-def _windows(path: str, pattern: str, params: Params):
+def _sized(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(path, pattern)
+        for batch in batches:
+            turns = zip(*(batch.column(c).to_pylist() for c in ("role", "text")))
+            tokens = pa.array([count(turn_text(role, text)[0]) for role, text in turns], pa.int64())
+            yield pa.record_batch([*batch.columns, tokens], names=[*batch.schema.names, "tokens"])
+
+    return run
+
+
+def _windows(params: Params):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, out, held = None, [], 0
 
         def flush() -> pa.RecordBatch:
@@ -144,13 +155,13 @@ def _windows(path: str, pattern: str, params: Params):
 
         for batch in batches:
             kind = batch.schema.field("conv_id").type
-            for conv_id, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
+            for conv_id, role, text, tokens in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "tokens"))):
                 if now is None or now.conv_id != conv_id:
                     if now is not None:
                         out.append(now.close())
                         held += len(out[-1]["text"])
-                    now = Windows(conv_id, params, count)
-                for w in now.add(role, text):
+                    now = Windows(conv_id, params)
+                for w in now.add(role, text, tokens):
                     out.append(w)
                     held += len(w["text"])
                 if held >= params.batch_chars:
@@ -170,9 +181,10 @@ def windows(conversations: DataFrame, path: str, pattern: str, params: Params =
     Windows of a conversation stay together and in order inside their partition.
     """
     rows = conversations.select("conv_id", "turn", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
-    dealt = rows.repartition(partitions(conversations.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    kind = dict(rows.dtypes)["conv_id"]
-    return dealt.select("conv_id", "role", "text").mapInArrow(_windows(path, pattern, params), f"conv_id {kind}, {WINDOW_SCHEMA}")
+    kinds = dict(rows.dtypes)
+    sized = rows.mapInArrow(_sized(path, pattern), f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, tokens long")
+    dealt = sized.repartition(partitions(conversations.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.select("conv_id", "role", "text", "tokens").mapInArrow(_windows(params), f"conv_id {kinds['conv_id']}, {WINDOW_SCHEMA}")
 
 
 def turns_in(text: str) -> Iterator[tuple[str, str, int, int]]:

@@ -261,6 +261,27 @@ def test_escape(text):
     assert chat.unescaped(chat.escaped(text)) == text and "<|" not in chat.escaped(text)
 
 
+def plain_windows(turns, params, count):
+    """Texts of the windows by slices of the list of turns."""
+    texts = [chat.turn_text(*t)[0] for t in turns]
+    sizes = [count(t) for t in texts]
+    system = int(turns[0][0] == "system")
+    out, at, low = [], 0, system
+    while at < len(texts):
+        head = system and bool(out)
+        past = at
+        while past > low and sum(sizes[past - 1 : at]) <= params.history:
+            past -= 1
+        while past < at and sum(sizes[:system]) + sum(sizes[past : at + 1]) > params.budget:
+            past += 1
+        stop = at + 1
+        while stop < len(texts) and sum(sizes[:head]) + sum(sizes[past : stop + 1]) <= params.budget:
+            stop += 1
+        out.append("".join(texts[:head] + texts[past:stop]))
+        at, low = stop, past if out[1:] else system
+    return out
+
+
 def test_chat_windows(spark):
     import public_tokenizers as p
 
@@ -281,15 +302,16 @@ def test_chat_windows(spark):
     made = chat.windows(df, p.path(params.tokenizer), p.PATTERN, params)
     got = {r.conv_id: r for r in chat.read_back(made).collect()}
     assert set(got) == set(want)
+    count = chat._counter(p.path(params.tokenizer), p.PATTERN)
     for c, turns in want.items():
         loss = "".join(t for r, t in turns if r == "assistant")
-        assert got[c].n_turns == len(turns)
+        assert got[c].n_turns == len(turns) and got[c].formatted_chars == sum(map(len, plain_windows(turns, params, count)))
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert got[c].loss_chars == len(loss) and got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-    count = chat._counter(p.path(params.tokenizer), p.PATTERN)
     for w in made.collect():
         fresh = list(chat.turns_in(w.text[w.fresh_start :]))
         assert len(fresh) == 1 or sum(count(chat.turn_text(r, t)[0]) for r, t, *_ in chat.turns_in(w.text)) <= params.budget
+        assert w.text == plain_windows(want[w.conv_id], params, count)[w.window]
         if w.window and want[w.conv_id][0][0] == "system":
             assert next(chat.turns_in(w.text))[:2] == want[w.conv_id][0]
     assert chat.read_back(chat.windows(df.limit(0), p.path(params.tokenizer), p.PATTERN)).count() == 0

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cellweave.functions.stats import chi2_upper_tail, two_sided_normal, with_bh
 from cellweave.graph import SpatialGraph
 from cellweave.operators import niche
-from cellweave.operators.build import build_spatial_graph, coordinates
+from cellweave.operators.build import build_spatial_graph, coordinates, numbered
 from cellweave.sources.graph_io import expression_from_frame, read_spatial_graph, store_graph, store_node_order, write_spatial_graph
 from cellweave.streaming.edges import EdgeAccumulator
 from tests.fixtures import random_points, small_graph
@@ -226,6 +226,15 @@ def test_niches_against_plain_steps(spark, k):
     assert niche.niches(c.limit(0), types).count() == 0
 
 
+@pytest.mark.parametrize("xs", [[], [2.0] * 6, [None, 0.5, float("nan"), 7.25, -3.0, 0.5, 7.25, None, 1e300, -1e300]])
+def test_numbers_of_points(spark, xs):
+    points = spark.createDataFrame([(x, float(i % 3), "t") for i, x in enumerate(xs)], "x double, y double, cell_type string")
+    want = points.orderBy("x", "y", "cell_type").collect()
+    got = sorted(numbered(points).collect(), key=lambda r: int(r.cell_id[5:]))
+    assert [r.cell_id for r in got] == [f"cell_{i}" for i in range(1, len(xs) + 1)]
+    assert [str(r[:3]) for r in got] == [str(tuple(r)) for r in want]
+
+
 def test_expression_input(spark):
     import pandas as pd
 

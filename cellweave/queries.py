@@ -527,6 +527,52 @@ def _(spark, sf):
         return SpatialGraph.create(nodes, raw).edges.select("source", "target", "distance", "sample_id")
 
 
+def digest_sql(table: str, mark: str) -> str:
+    return f"(SELECT count(*) || ':' || " + " || ':' || ".join(f"coalesce(sum(('0x' || substr({mark}, {at}, 13))::bigint), 0)" for at in (1, 14)) + f" FROM {table})"
+
+
+@query("graph_fingerprint", f"WITH {E_SQL} SELECT md5({digest_sql('p', 'md5(cell_id)')} || ':' || {digest_sql('e', 'md5(md5(source) || md5(target))')}) fingerprint")
+def _(spark, sf):
+    return spark.createDataFrame([(graph(spark, sf).fingerprint(),)], "fingerprint string")
+
+
+@query("graph_without_ids", f"WITH {E_SQL.replace('cast(vec_id AS varchar) cell_id', repr('cell_') + ' || row_number() OVER (ORDER BY embedding[1], embedding[2], label) cell_id')} SELECT source, target, round(sqrt(d2), 9) distance FROM e")
+def _(spark, sf):
+    radius = 0.6 / read(spark, sf, "embeddings").count() ** 0.5
+    return build_spatial_graph(points(spark, sf).drop("cell_id"), "radius", radius=radius).edges.select("source", "target", F.round("distance", 9).alias("distance"))
+
+
+@query(
+    "summaries",
+    f"""WITH {I3_SQL}, m AS (SELECT {L3} motif_id, count(*) n FROM i3 GROUP BY ALL), t AS (SELECT cell_type v, count(*) n FROM p GROUP BY ALL ORDER BY n DESC, v LIMIT 5), g AS (SELECT region_id v, count(*) n FROM p GROUP BY ALL)
+ SELECT 1 place, 'Graph of ' || (SELECT count(*) FROM p) || ' cells and ' || (SELECT count(*) FROM e) || ' edges, made by radius' line
+ UNION ALL SELECT 2, count(DISTINCT sample_id) || ' samples, first ' || string_agg(DISTINCT sample_id, ', ' ORDER BY sample_id) FROM p
+ UNION ALL SELECT 3, count(*) || ' regions: ' || string_agg(v || ' ' || n, ', ' ORDER BY n DESC, v) FROM g
+ UNION ALL SELECT 4, (SELECT count(DISTINCT cell_type) FROM p) || ' types, most frequent ' || string_agg(v || ' ' || n, ', ' ORDER BY n DESC, v) FROM t
+ UNION ALL SELECT 5, 'Motifs of 3 cells, colored: ' || sum(n) || ' instances of ' || count(*) || ' classes' FROM m
+ UNION ALL SELECT 5 + row_number() OVER (ORDER BY n DESC, motif_id), lpad(n::varchar, 12, ' ') || '  ' || motif_id FROM (SELECT * FROM m ORDER BY n DESC, motif_id LIMIT 5)""",
+)
+def _(spark, sf):
+    sg = graph(spark, sf)
+    lines = f"{sg.summary()}\n{M.find_motifs(sg, 3).summary()}".split("\n")
+    return spark.createDataFrame(list(enumerate(lines, 1)), "place long, line string")
+
+
+@query("motif_plot_data", f"WITH {I3_SQL}, m AS (SELECT {L3} motif_id, count(*) n FROM i3 GROUP BY ALL) SELECT CASE WHEN length(motif_id) > 20 THEN substr(motif_id, 1, 17) || '...' ELSE motif_id END \"label\", n \"count\" FROM (SELECT * FROM m ORDER BY n DESC, motif_id LIMIT 15)")
+def _(spark, sf):
+    return M.find_motifs(graph(spark, sf), 3).plot_data(15, 20)
+
+
+@query("motifs_by_hand", f"WITH {P_SQL} SELECT cell_id, (cast(cell_id AS bigint) % 2 = 0)::bigint + (cast(cell_id AS bigint) % 5 = 0)::bigint n FROM p")
+def _(spark, sf):
+    sg = graph(spark, sf)
+    number = F.col("cell_id").cast("long")
+    rows = [sg.nodes.where(number % n == 0).select(F.lit(f"by{n}").alias("motif_id"), F.concat(F.lit(f"i{n}_"), "cell_id").alias("instance_id"), "cell_id", F.lit(1).alias("orbit_id")) for n in (2, 5)]
+    incidence = rows[0].unionByName(rows[1])
+    catalog = incidence.groupBy("motif_id", F.lit(1).alias("size"), F.lit("cell").alias("canonical_iso_class"), F.lit("").alias("color_tuple")).agg(F.count(F.lit(1)).alias("count"))
+    return M.motif_density(sg, M.Motifs(catalog, incidence))
+
+
 @query("edge_store_catalog3", f"""WITH {S_SQL}, {ADJ_SQL}, ek AS (SELECT source, target FROM e), tp AS (SELECT l.b b, l.x a, r.x c, k.source IS NOT NULL closed FROM adj l JOIN adj r ON l.b = r.b AND l.x < r.x LEFT JOIN ek k ON k.source = l.x AND k.target = r.x)
  SELECT CASE WHEN closed THEN 'size3_closed' ELSE 'size3_open' END motif_id, count(*) \"count\" FROM tp WHERE NOT closed OR b < a GROUP BY ALL""")
 def _(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-from cellweave.llm.oracles import certified_rules
+from cellweave.llm.oracles import block_negatives, certified_rules, merkle_manifest
 
 MODULES = {
     "op1_warc_derivatives": "warc",
@@ -17,6 +17,9 @@ MODULES = {
     "op8_line_blocks": "html_text",
     "op9_label_shards": "shards",
     "op10_byte_bpe": "bpe",
+    "op11_block_negatives": "hard_negatives",
+    "op12_merkle_manifest": "merkle",
+    "op13_sentence_toxicity": "toxicity",
 }
 
 
@@ -28,4 +31,4 @@ def _lazy(module: str):
 
 
 QUERIES = {name: _lazy(module) for name, module in MODULES.items()}
-ORACLES: dict[str, str] = {"op7_certified_rules": certified_rules()}
+ORACLES: dict[str, str] = {"op7_certified_rules": certified_rules(), "op11_block_negatives": block_negatives(), "op12_merkle_manifest": merkle_manifest()}

@@ -203,22 +203,23 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Mode
     words, pos, neg = vocabulary(bags, params)
     if not pos or not neg:
         return Model()
-    known = F.from_json(F.lit(_json({w: i for i, (w, *_) in enumerate(words)})), "map<string,int>")  # vocabulary entries
-    numbers = F.transform("bags", lambda b: F.filter(F.transform(b, lambda w: F.element_at(known, w)), lambda i: i.isNotNull()))
-    coded = bags.select("toxic", numbers.alias("n")).select("toxic", F.filter("n", lambda b: F.size(b) > 0).alias("n"), F.size(F.filter("n", lambda b: F.size(b) == 0)).alias("plain"))
+    at = {w: i for i, (w, *_) in enumerate(words)}
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = [[[at[w] for w in b if w in at] for b in bags] for bags in batch.column("bags").to_pylist()]
+            found = pa.array([[b for b in bags if b] for bags in coded], pa.list_(pa.list_(pa.int32())))
+            plain = pa.array([sum(not b for b in bags) for bags in coded], pa.int32())
+            yield pa.record_batch([batch.column("toxic"), found, plain], names=["toxic", "n", "plain"])
+
+    coded = bags.mapInArrow(numbers, "toxic int, n array<array<int>>, plain int")
     # at most positives + negatives rows of at most max_words numbers
     rows = sorted((r.toxic, [list(b) for b in r.n], r.plain) for r in coded.collect())
     if not words:
         return Model({}, np.zeros(0), -np.inf)
     ratio = np.array([np.log((a + 0.5) / (pos + 1)) - np.log((b + 0.5) / (neg + 1)) for _, a, b in words])
     weights, bias, noise = fit(rows, ratio, (1.0, 1.0), params)
-    return Model({w: i for i, (w, *_) in enumerate(words)}, weights, bias, noise)
-
-
-def _json(words: dict[str, int]) -> str:
-    import json
-
-    return json.dumps(words, ensure_ascii=False)
+    return Model(at, weights, bias, noise)
 
 
 def scored(model: Model, text: str, params: Params = Params(), known: dict[str, tuple[int, ...]] | None = None) -> tuple[float, int, list[tuple[int, int, float]]]:

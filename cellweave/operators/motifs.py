@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cellweave.graph import SpatialGraph
 from cellweave.operators import shapes
 from cellweave.plans.lineage import cached, checkpointed
+from cellweave.plans.ranks import ranked_in_ranges, smallest
 
 PREFIX = {2: "e_", 3: None, 4: "q_"}
 CATALOG = ("motif_id", "size", "canonical_iso_class", "color_tuple", "count")
@@ -259,13 +260,16 @@ def capped(instances: DataFrame, max_instances: int, seed: int = 1) -> DataFrame
     if total <= max_instances:
         return instances
     warnings.warn(f"{total} instances were found; the {max_instances} of the smallest digests are kept", stacklevel=3)
-    return instances.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("instance_id"))), "instance_id").limit(max_instances)
+    return smallest(instances, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("instance_id"))), max_instances, "instance_id")
 
 
 def find_motifs(
     sg: SpatialGraph, size: int = 3, backend: str = "spark", colored: bool = True, anchored_on=None, max_instances: int | None = None, labeling: str = "degree_color", compat_ids: bool = False, fingerprint: bool = False
 ) -> Motifs:
-    """All motifs of a size. backend is accepted for compatibility; there is one engine."""
+    """All motifs of a size. backend is accepted for compatibility; there is one engine.
+
+    Without a cap, the catalog of size 3 is counted without enumerating the instances.
+    """
     if not isinstance(sg, SpatialGraph):
         raise TypeError("sg must be a SpatialGraph")
     if size not in (2, 3, 4):
@@ -274,7 +278,8 @@ def find_motifs(
         raise ValueError("unknown backend")
     if max_instances is not None and (not isinstance(max_instances, int) or max_instances < 1):
         raise ValueError("max_instances must be a positive integer")
-    found = labelled(enumerate_instances(sg, size, anchor_frame(sg, anchored_on)), size, colored, labeling)
+    anchors = anchor_frame(sg, anchored_on)
+    found = labelled(enumerate_instances(sg, size, anchors), size, colored, labeling)
     if max_instances is not None:
         found = capped(cached(found), max_instances)
     if compat_ids:
@@ -282,7 +287,23 @@ def find_motifs(
     meta = {"size": size, "backend": "spark", "colored": colored, "labeling": labeling, "anchored": anchored_on is not None, "generated_at": datetime.datetime.now(datetime.timezone.utc).isoformat()}
     if fingerprint:
         meta["sg_hash"] = sg.fingerprint()
-    return Motifs(catalog_of(found, size), incidence_of(found, colored), found, meta)
+    if size == 3 and max_instances is None:
+        from cellweave.operators.counting import counted_catalog
+
+        catalog = counted_catalog(cached(_colored_edges(sg, anchors, size)), colored, anchors is not None)
+    else:
+        catalog = catalog_of(found, size)
+    return Motifs(catalog, incidence_of(found, colored), found, meta)
+
+
+def first_of_each(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
+    """The first n rows of each group. Of every lane of a group n rows at most go on, and these are numbered in ranges, so no
+    task holds a group."""
+    lanes = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lane = F.pmod(F.xxhash64(order), F.lit(lanes))
+    w = Window.partitionBy(group, lane).orderBy(order)
+    few = rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
+    return ranked_in_ranges(few, [group], [order], "__rn").where(F.col("__rn") <= n).drop("__rn")
 
 
 def motif_instances(sg: SpatialGraph, motif_ids, size: int = 3, max_per_class: float | None = 5000, grammar: str = "enrichment") -> DataFrame:
@@ -301,8 +322,7 @@ def motif_instances(sg: SpatialGraph, motif_ids, size: int = 3, max_per_class: f
         found = labelled(found, size)
     found = found.join(wanted.select("motif_id").distinct(), "motif_id", "left_semi").withColumn("instance", F.array_join("cells", "~"))
     if max_per_class is not None and max_per_class != float("inf"):
-        w = Window.partitionBy("motif_id").orderBy("cells")
-        found = found.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= int(max_per_class))
+        found = first_of_each(found, "motif_id", "cells", int(max_per_class))
     center_first = F.when(F.col("topology") == "wedge", F.array(F.col("cells")[2], F.col("cells")[0], F.col("cells")[1])).otherwise(F.col("cells")) if grammar == "enrichment" else F.col("cells")
     return found.select("motif_id", "instance", F.posexplode(center_first).alias("slot", "cell_id")).withColumn("slot", F.col("slot") + 1)
 

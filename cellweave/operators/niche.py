@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cellweave.graph import SpatialGraph
 from cellweave.plans.grid import nearest
 from cellweave.plans.lineage import cached
+from cellweave.plans.ranks import quantiles
 
 
 def neighborhood_composition(points: DataFrame, k: int = 10) -> DataFrame:
@@ -76,17 +77,15 @@ def niches(composition: DataFrame, types: list[str], k: int = 3, starts: int = 2
 
 
 def edge_quantiles(sg: SpatialGraph, probabilities: tuple[float, ...] = (0.0, 0.5, 0.95, 1.0)) -> DataFrame:
-    """(p, distance): exact quantiles with linear interpolation."""
-    q = sg.edges.agg(F.percentile("distance", F.array(*[F.lit(float(p)) for p in probabilities])).alias("q"))
-    return q.select(F.posexplode("q").alias("i", "distance")).select(F.element_at(F.array(*[F.lit(float(p)) for p in probabilities]), F.col("i") + 1).alias("p"), "distance")
+    """(p, distance): exact quantiles with linear interpolation; no row where no edge has a length."""
+    found = quantiles(sg.edges, "distance", [float(p) for p in probabilities])
+    return sg.edges.sparkSession.createDataFrame([] if found is None else list(zip(map(float, probabilities), map(float, found))), "p double, distance double")
 
 
 def pseudo_samples(nodes: DataFrame, n: int = 3) -> DataFrame:
     """nodes with sample_id s1.. by the quantiles of x."""
-    cuts = [i / n for i in range(1, n)]
-    bounds = nodes.agg(F.percentile("x", F.array(*[F.lit(c) for c in cuts])).alias("b")).first()["b"]
     rank = F.lit(1)
-    for b in bounds:
+    for b in quantiles(nodes, "x", [i / n for i in range(1, n)]) or []:
         rank = rank + (F.col("x") > F.lit(b)).cast("int")
     return nodes.withColumn("sample_id", F.concat(F.lit("s"), rank.cast("string")))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions.stats import with_bh
@@ -19,7 +19,8 @@ from cellweave.operators.build import build_spatial_graph, knn_edges
 from cellweave.operators.compare import compare_motifs, motifs_by_sample
 from cellweave.operators.enrichment import motif_enrichment, motif_enrichment_store, motif_enrichment_stream, test_motif_enrichment
 from cellweave.operators.genes import associate_genes
-from cellweave.plans.lineage import scratch
+from cellweave.plans.lineage import checkpointed, scratch
+from cellweave.plans.ranks import ranked_in_lanes
 from cellweave.sources.graph_io import integer_graph, read_spatial_graph, store_graph, store_node_order, write_spatial_graph
 from cellweave.sources.reports import report_table, write_table
 
@@ -197,15 +198,14 @@ def _(spark, sf):
 # walking orders of paths and cycles, over ordered quadruples of linked cells
 W4_SQL = """w AS (SELECT a.b v1, a.x v2, b.x v3, c.x v4 FROM adj a JOIN adj b ON b.b = a.x AND b.x <> a.b JOIN adj c ON c.b = b.x AND c.x <> a.x AND c.x <> a.b),
  wf AS (SELECT w.*, o13.b IS NOT NULL e13, o24.b IS NOT NULL e24, o14.b IS NOT NULL e14 FROM w LEFT JOIN adj o13 ON o13.b = v1 AND o13.x = v3 LEFT JOIN adj o24 ON o24.b = v2 AND o24.x = v4 LEFT JOIN adj o14 ON o14.b = v1 AND o14.x = v4)"""
-X4_SQL = f"""{E_SQL}, {ADJ_SQL}, ek AS (SELECT source, target FROM e), {W4_SQL},
- ws AS (SELECT list_sort([v1, v2, v3, v4]) q, CASE WHEN e14 THEN 'cycle' ELSE 'path' END topology, min(k1.cell_type || '-' || k2.cell_type || '-' || k3.cell_type || '-' || k4.cell_type) t FROM wf
-  JOIN p k1 ON k1.cell_id = v1 JOIN p k2 ON k2.cell_id = v2 JOIN p k3 ON k3.cell_id = v3 JOIN p k4 ON k4.cell_id = v4 WHERE NOT e13 AND NOT e24 GROUP BY ALL)"""
-
-
-@query("catalog4_exact", f"WITH {X4_SQL} SELECT 'size4_' || topology || '_' || t motif_id, topology canonical_iso_class, t color_tuple, count(*) \"count\" FROM ws GROUP BY ALL")
+@query(
+    "catalog4_exact",
+    f"""WITH {I4_SQL}, {W4_SQL}, ws AS (SELECT list_sort([v1, v2, v3, v4]) q, CASE WHEN e14 THEN 'cycle' ELSE 'path' END topology, min(k1.cell_type || '-' || k2.cell_type || '-' || k3.cell_type || '-' || k4.cell_type) t FROM wf
+  JOIN p k1 ON k1.cell_id = v1 JOIN p k2 ON k2.cell_id = v2 JOIN p k3 ON k3.cell_id = v3 JOIN p k4 ON k4.cell_id = v4 WHERE NOT e13 AND NOT e24 GROUP BY ALL),
+ al AS (SELECT topology, t FROM ws UNION ALL SELECT topology, {T4} FROM i4 WHERE topology NOT IN ('path', 'cycle')) SELECT 'size4_' || topology || '_' || t motif_id, topology canonical_iso_class, t color_tuple, count(*) "count" FROM al GROUP BY ALL""",
+)
 def _(spark, sf):
-    c = M.find_motifs(graph(spark, sf), 4, labeling="exact").catalog
-    return c.where("canonical_iso_class IN ('path', 'cycle')").drop("size")
+    return M.find_motifs(graph(spark, sf), 4, labeling="exact").catalog.drop("size")
 
 
 @query(
@@ -433,8 +433,9 @@ def _(spark, sf):
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """df with the place of each row in its order."""
-    return df.withColumn("__at", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("__at"))).drop("__at")
+    """df with the place of each row in its order, by partitions."""
+    at = checkpointed(df.withColumn("__row", F.monotonically_increasing_id()))
+    return ranked_in_lanes(at, [], F.shiftright("__row", 33), ["__row"], "place").drop("__row").withColumn("place", F.col("place").cast("int"))
 
 
 @query("enrich_order", f"WITH {E_SQL}, {perm_sql(repr(''))}, {NULL2}, {moments('FULL')}, o AS ({ENR}) SELECT row_number() OVER (ORDER BY p_adj, z DESC, motif_id) place, motif_id, p_adj FROM o")
@@ -558,11 +559,6 @@ def _(spark, sf):
     return spark.createDataFrame(list(enumerate(lines, 1)), "place long, line string")
 
 
-@query("motif_plot_data", f"WITH {I3_SQL}, m AS (SELECT {L3} motif_id, count(*) n FROM i3 GROUP BY ALL) SELECT CASE WHEN length(motif_id) > 20 THEN substr(motif_id, 1, 17) || '...' ELSE motif_id END \"label\", n \"count\" FROM (SELECT * FROM m ORDER BY n DESC, motif_id LIMIT 15)")
-def _(spark, sf):
-    return M.find_motifs(graph(spark, sf), 3).plot_data(15, 20)
-
-
 @query("motifs_by_hand", f"WITH {P_SQL} SELECT cell_id, (cast(cell_id AS bigint) % 2 = 0)::bigint + (cast(cell_id AS bigint) % 5 = 0)::bigint n FROM p")
 def _(spark, sf):
     sg = graph(spark, sf)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.graph import SpatialGraph
+from cellweave.plans.ranks import ranked_in_ranges
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -61,9 +62,9 @@ def store_graph(nodes: DataFrame, edges: DataFrame, labels: DataFrame | list) ->
     """nodes(node_id, int_id), edges(from_id, to_id), and labels: one per node in int_id order, or (int_id, cell_type)."""
     if not isinstance(labels, DataFrame):
         spark = nodes.sparkSession
-        values = spark.createDataFrame([(i, v) for i, v in enumerate(labels, 1)], "__at long, cell_type string")
-        ordered = nodes.select("int_id").withColumn("__at", F.row_number().over(Window.orderBy("int_id")).cast("long"))
-        labels = ordered.join(values, "__at").select("int_id", "cell_type")
+        values = spark.createDataFrame([(i, v) for i, v in enumerate(labels, 1)], "__nth long, cell_type string")
+        ordered = ranked_in_ranges(nodes.select("int_id"), [], ["int_id"], "__nth")
+        labels = ordered.join(values, "__nth").select("int_id", "cell_type")
     ids = nodes.select(F.col("int_id").cast("long").alias("int_id")).join(labels.select(F.col("int_id").cast("long").alias("int_id"), "cell_type"), "int_id", "left")
     return integer_graph(ids, edges)
 

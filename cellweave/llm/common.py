@@ -19,10 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: bytes of a row group where texts are written beside other memory-hungry work: a task holds a group until it is full
+ROW_GROUP = 16 << 20
+
+
+def staged(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
     """Write df below the shared folder and read it back: lineage ends here, lost executors don't matter."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
+    writer.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

@@ -22,7 +22,9 @@ from cellweave.operators.genes import associate_genes
 from cellweave.plans.lineage import checkpointed, scratch
 from cellweave.plans.ranks import ranked_in_lanes
 from cellweave.sources.graph_io import integer_graph, read_spatial_graph, store_graph, store_node_order, write_spatial_graph
+from cellweave.sources.matrix_market import read_expression, write_expression
 from cellweave.sources.reports import report_table, write_table
+from cellweave.streaming.catalog import LiveCatalog
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -576,6 +578,28 @@ def _(spark, sf):
     return M.find_motifs(sg, 3, colored=False).catalog.select("motif_id", "count")
 
 
+# users and the items of their clicks, as edges that come in several batches
+L_SQL = """l AS (SELECT user_id a, 1000 + cast(regexp_extract(props, '[0-9]+') AS bigint) % 500 b FROM events WHERE event_type = 'click' UNION SELECT user_id, 1 + user_id * 7 % 1999 FROM events),
+ e AS (SELECT DISTINCT least(a, b) f, greatest(a, b) t FROM l WHERE a <> b), adj AS (SELECT f b, t x FROM e UNION ALL SELECT t, f FROM e),
+ i0 AS (SELECT l.b b, l.x a, r.x c, k.f IS NOT NULL closed FROM adj l JOIN adj r ON l.b = r.b AND l.x < r.x LEFT JOIN e k ON k.f = l.x AND k.t = r.x),
+ i3 AS (SELECT CASE WHEN closed THEN 'triangle' ELSE 'wedge' END topology, 't' || a % 3 c1, 't' || c % 3 c2, 't' || b % 3 c3 FROM i0 WHERE NOT closed OR b < a)"""
+
+
+@query("live_catalog3", f"WITH {L_SQL} SELECT {L3} motif_id, 3 size, topology canonical_iso_class, {T3} color_tuple, count(*) \"count\" FROM i3 GROUP BY ALL")
+def _(spark, sf):
+    e = read(spark, sf, "events")
+    item = 1000 + F.regexp_extract("props", "[0-9]+", 0).cast("long") % 500
+    pairs = e.where("event_type = 'click'").select(F.col("user_id").alias("from_id"), item.alias("to_id"))
+    pairs = pairs.unionByName(e.select(F.col("user_id").alias("from_id"), (1 + F.col("user_id") * 7 % 1999).alias("to_id")))
+    base = scratch(spark, "live")
+    pairs.repartition(3).write.parquet(f"{base}/in")
+    ends = pairs.select(F.col("from_id").alias("int_id")).unionByName(pairs.select(F.col("to_id").alias("int_id"))).distinct()
+    live = LiveCatalog(spark, f"{base}/state", ends.withColumn("cell_type", F.concat(F.lit("t"), F.col("int_id") % 3)))
+    stream = spark.readStream.schema("from_id long, to_id long").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    live.start(stream, f"{base}/check", availableNow=True).awaitTermination()
+    return live.catalog()
+
+
 # ---- comparison, association, niches ----------------------------------------------------------------------------
 
 
@@ -665,6 +689,15 @@ def _(spark, sf):
     return associated(associate_genes(M.find_motifs(sg, 3), expression(spark, sf), sg)).drop("orbit_id")
 
 
+@query("genes_sparse_file", f"WITH {I3_SQL}, {member_sql('motif', False)}, {X_SQL}, xs AS (SELECT '' s, * FROM x), {W_SQL} {GENES.replace('orbit_id, ', '')}")
+def _(spark, sf):
+    sg, values = graph(spark, sf), expression(spark, sf)
+    dims = read(spark, sf, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
+    genes = spark.range(dims).select(F.concat(F.lit("g"), F.col("id").cast("string")).alias("gene"))
+    paths = write_expression(values, genes, sg.nodes, scratch(spark, "matrix"))
+    return associated(associate_genes(M.find_motifs(sg, 3), read_expression(spark, *paths)[0], sg)).drop("orbit_id")
+
+
 @query("genes_orbit", f"WITH {I3_SQL}, {member_sql('orbit', False)}, {X_SQL}, xs AS (SELECT '' s, * FROM x), {W_SQL} {GENES}")
 def _(spark, sf):
     sg = graph(spark, sf)

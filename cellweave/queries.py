@@ -19,6 +19,7 @@ from cellweave.operators.build import build_spatial_graph, knn_edges
 from cellweave.operators.compare import compare_motifs, motifs_by_sample
 from cellweave.operators.enrichment import motif_enrichment, motif_enrichment_store, motif_enrichment_stream, test_motif_enrichment
 from cellweave.operators.genes import associate_genes
+from cellweave.operators.ingest import normalised, principal_components, quality_filtered
 from cellweave.plans.lineage import checkpointed, scratch
 from cellweave.plans.ranks import ranked_in_lanes
 from cellweave.sources.graph_io import integer_graph, read_spatial_graph, store_graph, store_node_order, write_spatial_graph
@@ -734,6 +735,30 @@ def _(spark, sf):
     return associate_genes(M.find_motifs(sg, 3), expression(spark, sf), sg, min_cells=1 << 30).select("motif_id", "gene", "n_in", "z")
 
 
+# genes seen in three cells, then cells with five such genes, and their logarithms
+N_SQL = f"""{X_SQL}, kg AS (SELECT gene FROM x WHERE v >= 1 GROUP BY gene HAVING count(*) >= 3), kx AS (SELECT * FROM x SEMI JOIN kg USING (gene)), kc AS (SELECT cell_id FROM kx WHERE v >= 1 GROUP BY cell_id HAVING count(*) >= 5),
+ nx AS (SELECT gene, cell_id, log2(1 + 6000 * v / sum(v) OVER (PARTITION BY cell_id)) v FROM kx SEMI JOIN kc USING (cell_id) WHERE v <> 0)"""
+
+
+@query("expression_normalised", f"WITH {N_SQL} SELECT gene, cell_id, round(v, 9) \"value\" FROM nx")
+def _(spark, sf):
+    return normalised(quality_filtered(expression(spark, sf))).withColumn("value", F.round("value", 9))
+
+
+# the total variance, and that the components' scores are uncorrelated with variances that fall: checked from the scores
+@query("expression_pca", f"WITH {N_SQL}, m AS (SELECT count(DISTINCT cell_id)::double n FROM nx), g AS (SELECT sum(v) s, sum(v * v) q FROM nx GROUP BY gene) SELECT 'variance' item, round(sum(q - s * s / n) / (any_value(n) - 1), 6) \"value\" FROM g, m UNION ALL SELECT 'scores', 5 * n FROM m UNION ALL SELECT 'correlated pairs', 0.0")
+def _(spark, sf):
+    values = normalised(quality_filtered(expression(spark, sf)))
+    values = checkpointed(values)
+    found = principal_components(values, values.select("cell_id").distinct(), k=5)
+    scores = checkpointed(found.scores)
+    a, b = scores.toDF("cell_id", "p", "x"), scores.toDF("cell_id", "q", "y")
+    pairs = a.join(b, "cell_id").where("p < q").groupBy("p", "q").agg(F.corr("x", "y").alias("r")).where("abs(r) > 1e-4")
+    out = pairs.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("correlated pairs").alias("item"), "value")
+    out = out.unionByName(scores.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("scores").alias("item"), "value"))
+    return out.unionByName(spark.createDataFrame([("variance", round(found.variance, 6))], "item string, value double"))
+
+
 @query("bh_adjust", f"SELECT o_orderkey, round(p_adj, 12) p_adj FROM {bh('(SELECT o_orderkey, o_totalprice / 1000000.0 p FROM orders)', 'p', 'p_adj')}")
 def _(spark, sf):
     o = read(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000000.0).alias("p"))

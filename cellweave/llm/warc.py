@@ -2,7 +2,8 @@
 
 A WARC column holds one record per row, gzipped as a member of its own, as WARC files are: rows can be joined into
 a file by concatenation, and a file splits into rows at its members. The reader takes any sequence of records in
-one value, gzipped or not, and finds the ends by Content-Length.
+one value, gzipped and plain ones in any order, and finds the ends by Content-Length. What is neither a record nor a
+whole member gives an error after the records before it.
 
 For each response a `metadata` record (JSON envelope: response status and headers, page title, meta tags, links
 with their kind and resolved target) and a `conversion` record (the page's text) are made. Both carry
@@ -11,8 +12,10 @@ source, and SHA-1 block digests in base 32; the metadata record repeats the sour
 made from the source id and the kind, so building again gives the same records.
 
 Bodies are read as a browser would: chunks are joined, and the codings gzip, deflate and zstd undone in reverse order;
-of a body in another coding, or one that doesn't decode, there is no text. The entity digest is of the body as it is
-sent.
+of a body in another coding, or one that doesn't decode, there is no text: its conversion record says WARC-Truncated, and its row has
+an error beside the derivatives. The entity digest is of the body as it is sent. A tag, comment, script or style that
+never ends takes the rest of the page, as in a browser; a quote that never ends is an ordinary character. So a page is
+read in time linear in its length, whatever it holds.
 
 Defined results: a null url, page or id is empty; a response's id follows from page id, url and page, so equal rows
 give equal record ids; records that aren't responses pass by; header names are looked up without regard to case, and a repeated header is a list of its values
@@ -40,6 +43,8 @@ from pyspark.sql import functions as F
 from cellweave.llm.common import table, text_or_empty
 
 CRLF = b"\r\n"
+GZIP = b"\x1f\x8b"
+PIECE = 1 << 14  # bytes that a gzip member is fed at once
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-record")
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 1  # of compression
@@ -102,54 +107,78 @@ def write(record: Record, gzipped: bool = True) -> bytes:
     return zlib.compress(data, LEVEL, 31)
 
 
-def _plain(data: bytes) -> bytes:
-    if data[:2] != b"\x1f\x8b":
-        return data
-    parts = []
-    while data[:2] == b"\x1f\x8b":
+def _members(data: bytes, at: int) -> tuple[bytes, int, bool]:
+    """(text of the gzip members in a row from at, where they end, False if the last is cut off or damaged)."""
+    parts, view = [], memoryview(data)
+    while data.startswith(GZIP, at):
         unpacker = zlib.decompressobj(31)
-        parts.append(unpacker.decompress(data) + unpacker.flush())
-        data = unpacker.unused_data
-    return b"".join(parts)
+        try:
+            while not unpacker.eof:
+                if at >= len(data):
+                    return b"".join(parts), at, False
+                piece = view[at : at + PIECE]
+                parts.append(unpacker.decompress(piece))
+                at += len(piece) - len(unpacker.unused_data)
+        except zlib.error:
+            return b"".join(parts), at, False
+    return b"".join(parts), at, True
 
 
 def _fields(lines: list[bytes]) -> dict[str, str | list[str]]:
     """Values by name as it is first written; a list where a name, in whatever case, comes more than once."""
     names: dict[str, str] = {}
-    found: dict[str, list[str]] = {}
+    found: dict[str, list[list[str]]] = {}  # the lines of each value
     last = None
     for text in CRLF.join(lines).decode("utf-8", "replace").split("\r\n"):
         if text[:1] in (" ", "\t") and last:
-            found[last][-1] += " " + text.strip()
+            found[last][-1].append(text.strip())
             continue
         name, colon, value = text.partition(":")
         if colon:
             name = name.strip()
             last = names.setdefault(name.lower(), name)
-            if last in found:
-                found[last].append(value.strip())
-            else:
-                found[last] = [value.strip()]
-    return {k: v if len(v) > 1 else v[0] for k, v in found.items()}
+            found.setdefault(last, []).append([value.strip()])
+    return {k: [" ".join(x) for x in v] if len(v) > 1 else " ".join(v[0]) for k, v in found.items()}
+
+
+def _record(data: bytes, at: int) -> tuple[Record, int]:
+    """The plain record at a place, and where it ends."""
+    end = data.find(CRLF * 2, at)
+    head = data[at : end if end >= 0 else at].split(CRLF)
+    if not head[0].startswith(b"WARC/"):
+        raise ValueError("no WARC record head")
+    headers = {NAMES.get(k.lower(), k if k.startswith("WARC") else k.title()): v for k, v in _fields(head[1:]).items()}
+    size = _listed(headers.pop("Content-Length", ""))[0]
+    if not size.isdigit() or end + 4 + int(size) > len(data):
+        raise ValueError("bad Content-Length")
+    at = end + 4 + int(size)
+    return Record(headers, data[end + 4 : at]), at
 
 
 def read(data: bytes) -> Iterator[Record]:
-    """The records of a value; ValueError where a record is malformed."""
-    data, at = _plain(data), 0
+    """The records of a value; ValueError where a record is malformed, after those before it."""
+    at = 0
     while at < len(data):
         if data.startswith(CRLF, at):
             at += 2
-            continue
-        end = data.find(CRLF * 2, at)
-        head = data[at : end if end >= 0 else len(data)].split(CRLF)
-        if not head[0].startswith(b"WARC/") or end < 0:
-            raise ValueError("no WARC record head")
-        headers = {NAMES.get(k.lower(), k if k.startswith("WARC") else k.title()): v for k, v in _fields(head[1:]).items()}
-        size = _listed(headers.pop("Content-Length", ""))[0]
-        if not size.isdigit() or end + 4 + int(size) > len(data):
-            raise ValueError("bad Content-Length")
-        at = end + 4 + int(size)
-        yield Record(headers, data[end + 4 : at])
+        elif data.startswith(GZIP, at):
+            plain, at, whole = _members(data, at)
+            yield from read_plain(plain)
+            if not whole:
+                raise ValueError("damaged gzip member")
+        else:
+            record, at = _record(data, at)
+            yield record
+
+
+def read_plain(data: bytes) -> Iterator[Record]:
+    at = 0
+    while at < len(data):
+        if data.startswith(CRLF, at):
+            at += 2
+        else:
+            record, at = _record(data, at)
+            yield record
 
 
 def split_http(block: bytes) -> tuple[str, dict[str, str | list[str]], bytes]:
@@ -225,16 +254,20 @@ def response(key: str, url: str, page: str, date: str = DATE) -> Record:
 
 # ---- what a page says ------------------------------------------------------------------------------------------
 
-QUOTED = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
-HIDDEN = re.compile(r"<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?-->", re.S | re.I)
-TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
+# the rest of a tag; possessive, and with a way on from every character, so no start is tried twice over the same text
+REST = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+"
+END = r"(?:>|\Z)"
+COMMENT = r"<!--.*?(?:-->|\Z)"
+ATTRIBUTE = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+HIDDEN = re.compile(rf"<(script|style|noscript|template)\b[^>]*+{END}.*?(?:</\1\s*+>|\Z)|{COMMENT}", re.S | re.I)
+TITLE = re.compile(rf"<title[^>]*+{END}", re.I)
+TITLE_END = re.compile(r"</title\s*+>", re.I)
 # fixed values: attributes that hold links, and elements that begin a line of text
 LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "source": "src", "video": "src", "audio": "src", "embed": "src", "form": "action"}
 LINES = "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table td th title tr ul".split()
-LINKING = re.compile(rf"<!--.*?-->|<({'|'.join([*LINKS, 'meta', 'base'])})\s({QUOTED})>", re.S | re.I)
-LINE = re.compile(rf"</?(?:{'|'.join(LINES)})(?![-\w]){QUOTED}>", re.I)
-TAG = re.compile(rf"</?[a-zA-Z]{QUOTED}>|<![^>]*>")
+LINKING = re.compile(rf"{COMMENT}|<({'|'.join([*LINKS, 'meta', 'base'])})\s({REST}){END}", re.S | re.I)
+LINE = re.compile(rf"</?(?:{'|'.join(LINES)})(?![-\w]){REST}{END}", re.I)
+TAG = re.compile(rf"</?[a-zA-Z]{REST}{END}|<![^>]*+{END}")
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -260,7 +293,9 @@ def resolved(base: str, site: str, link: str) -> str:
 
 
 def page_facts(page: str, url: str) -> dict:
-    title = TITLE.search(page)
+    start = TITLE.search(page)
+    end = TITLE_END.search(page, start.end()) if start else None
+    title = html.unescape(page[start.end() : end.start()]).strip() if end else ""
     metas, links, base, site = [], [], url, _site(url)
     for m in LINKING.finditer(page):
         if not m[1]:
@@ -274,7 +309,7 @@ def page_facts(page: str, url: str) -> dict:
         elif found.get(LINKS[name], "").strip():
             raw = found[LINKS[name]]
             links.append({"path": f"{name.upper()}@/{LINKS[name]}", "url": raw, "target": resolved(base, site, raw)})
-    return {"Title": html.unescape(title[1]).strip() if title else "", "Metas": metas, "Links": links}
+    return {"Title": title, "Metas": metas, "Links": links}
 
 
 def _site(url: str) -> str:
@@ -304,7 +339,8 @@ def derivatives(source: Record) -> tuple[Record, Record, dict]:
     """(metadata, conversion, facts) of a response record."""
     status, headers, body = split_http(source.block)
     found = re.search(r"charset=\"?([-\w]+)", next((_listed(v)[0] for k, v in headers.items() if k.lower() == "content-type"), ""))
-    plain = entity(body, headers) or b""
+    decoded = entity(body, headers)
+    plain = decoded or b""
     try:
         page = plain.decode(found[1] if found else "utf-8", "replace")
     except LookupError:
@@ -321,6 +357,8 @@ def derivatives(source: Record) -> tuple[Record, Record, dict]:
     metadata = _linked(source, "metadata", "application/json", json.dumps(envelope, ensure_ascii=False).encode())
     conversion = _linked(source, "conversion", "text/plain", plain_text(page).encode())
     conversion.headers["WARC-Source-Payload-Digest"] = source.first("WARC-Payload-Digest", digest(body))
+    if decoded is None:
+        conversion.headers["WARC-Truncated"] = "unspecified"
     return metadata, conversion, facts
 
 
@@ -345,13 +383,13 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
             for record in read(data or b""):
                 if record.kind == "response":
                     metadata, conversion, facts = derivatives(record)
-                    yield i, record.id, record.first("WARC-Target-URI"), record.first("WARC-Payload-Digest", None), write(metadata), write(conversion), len(facts["Links"]), None
-        except (ValueError, zlib.error) as e:
+                    yield i, record.id, record.first("WARC-Target-URI"), record.first("WARC-Payload-Digest", None), write(metadata), write(conversion), len(facts["Links"]), "body not decoded" if "WARC-Truncated" in conversion.headers else None
+        except ValueError as e:
             yield i, None, None, None, None, None, None, str(e)
 
 
 def build_derivatives(warcs: DataFrame, key: str = "page_id") -> DataFrame:
-    """warcs(key, warc) -> (key, ...SCHEMA): a row per response record in warc, and per malformed value."""
+    """warcs(key, warc) -> (key, ...SCHEMA): a row per response record in warc, and one for what is malformed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string()] * 3 + [pa.binary()] * 2 + [pa.int64(), pa.string()]

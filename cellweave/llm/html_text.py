@@ -12,6 +12,8 @@
 3. Character references are decoded, white space inside a line becomes one space, lines are trimmed and joined in
    page order by one space.
 
+A page is read in time linear in its length, whatever it holds.
+
 Defined results: a null or empty page gives an empty text; unclosed elements end with their parent; a page without
 any line above the threshold gives its longest window's lines, so short pages keep their text. Pages are taken
 one by one, so repeated rows give equal rows. Nothing is cut.
@@ -48,7 +50,8 @@ PARTS = frozenset(
     "notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login footer header masthead share sharing social related recommended widget widgets pagination pager toolbar skip toc search alert "
     "complementary contentinfo alertdialog dialog".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+# possessive, and with a way on from every character: a tag is read once, and a quote that never ends is an ordinary character
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S)
 # those of them that also count on an article element, where others are mere styling
 ASIDES = frozenset("ad ads advert advertisement sponsored promo promotion comment comments reply replies respond related recommended widget".split())
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -129,10 +132,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         at = m.end()
         if m[1] is not None and not out:
             buffer.append(html.escape(m[1], quote=False))
-        name = (m[3] or m[6] or "").lower()
+        name = (m[3] or "").lower()
         if not name:
             continue
-        if m[2] or m[5]:
+        if m[2]:
             k = innermost([name])
             # an inline element isn't ended from within an article that it holds
             if k >= 0 and (name in BLOCK or k >= innermost(("article", "main", "body"))):
@@ -147,7 +150,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             end_line()
         if name in VOID:
             continue
-        found = _attributes(m[4] or m[7] or "")
+        found = _attributes(m[4])
         in_article_header = name == "header" and marked > 0
         left_out = (name in SKIP and not in_article_header) or (name not in ("html", "body") and _is_part(found, ASIDES if name in ("article", "main") else PARTS))
         marks = not left_out and (name in ("article", "main") or found.get("role", "").lower() == "main" or "articlebody" in found.get("itemprop", "").lower())
@@ -155,7 +158,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             end = RAW_ENDS[name].search(page, at)
             at = end.end() if end else len(page)
             continue
-        if (m[4] or m[7] or "").rstrip().endswith("/") and name in ("svg", "path"):
+        if m[4].rstrip().endswith("/") and name in ("svg", "path"):
             continue
         for group in groups(name):
             places.setdefault(group, []).append(len(open_))

@@ -317,6 +317,48 @@ def test_html_without_quadratic_steps():
     for page_ in ("<b>" * 30_000 + "x", "<b>" * 20_000 + "<div>x</div>" * 20_000, "<p><b>" * 20_000 + "</i>" * 20_000):
         html_text.main_text(page_)
     assert time.process_time() - began < 20
+    for kind in ("<a x='>' ", '<p y="', "<style ", "<!-- ", "<title>", "<![CDATA[", "</p '"):
+        began = time.process_time()
+        assert html_text.main_text("<p>Start</p>" + kind * (500_000 // len(kind)) + '"').startswith("Start"), kind
+        assert time.process_time() - began < 5, kind
+    assert html_text.main_text('<p>one<i title=">two</i><p>three') == "one" + "two three"
+
+
+def test_html_query_against_plain_steps(spark, tables):
+    """The whole query again: weights, windows and borders line by line."""
+    params = html_text.Params()
+
+    def plain(page):
+        lines = html_text.lines_of(page or "")
+        runs, last = [], None
+        for text, linked, marked in lines:
+            own = 0.0 if linked >= 0.8 * len(text) else float(len(text) - linked)
+            if marked != last:
+                runs.append([])
+                last = marked
+            runs[-1].append((text, own + 40.0 if marked and own else own))
+        sums = [sum(w for _, w in r[i : i + 3]) for r in runs for i in range(len(r))]
+        if not any(w for r in runs for _, w in r):
+            return ""
+        least = min(120.0, max(sums))
+        kept = []
+        for r in runs:
+            above = [sum(w for _, w in r[i : i + 3]) >= least for i in range(len(r))]
+            inside = set()
+            for surge in range(len(r)):
+                if above[surge] and not (surge and above[surge - 1]):
+                    dive = next((k for k in range(surge, len(r)) if not above[k]), len(r)) + 1  # the last line of the last window
+                    full = [k for k in range(surge, min(dive + 1, len(r))) if r[k][1]]
+                    inside |= set(range(full[0], full[-1] + 1))
+            kept += [t for i, (t, _) in enumerate(r) if i in inside]
+        return " ".join(kept)
+
+    source = spark.read.parquet(f"{tables[0]}/pages.parquet").collect()
+    assert Counter((r.page_id, r.text) for r in run(spark, tables, "op8_line_blocks")) == Counter((r.page_id, plain(r.html)) for r in source)
+    rng = random.Random(8)
+    for _ in range(300):
+        page = "".join(rng.choice(("<p>", "<article>", "</article>", "<ul>", "<div>")) + rng.choice(("", "ab", "Some words here.", "x" * 70, "x" * 140, "<a href=1>" + "link " * 9 + "</a>")) for _ in range(rng.randint(1, 20)))
+        assert html_text.main_text(page, params) == plain(page), page
 
 
 def test_html_query(spark, tables):

@@ -59,3 +59,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table below the shared folder. Unlike a checkpoint it forgets what the plan knew of its columns, which in a loop of
+    joins grows with every turn."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a written table; what was made of it must have been written too."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.written_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

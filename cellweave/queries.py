@@ -16,10 +16,12 @@ from cellweave.graph import SpatialGraph, canonical_edges
 from cellweave.operators import motifs as M
 from cellweave.operators import niche
 from cellweave.operators.build import build_spatial_graph, knn_edges
+from cellweave.operators.communities import communities, gini_markers, shared_neighbours
 from cellweave.operators.compare import compare_motifs, motifs_by_sample
 from cellweave.operators.enrichment import motif_enrichment, motif_enrichment_store, motif_enrichment_stream, test_motif_enrichment
 from cellweave.operators.genes import associate_genes
 from cellweave.operators.ingest import normalised, principal_components, quality_filtered
+from cellweave.plans.grid import nearest
 from cellweave.plans.lineage import checkpointed, scratch
 from cellweave.plans.ranks import ranked_in_lanes
 from cellweave.sources.graph_io import integer_graph, read_spatial_graph, store_graph, store_node_order, write_spatial_graph
@@ -759,6 +761,33 @@ def _(spark, sf):
     return out.unionByName(spark.createDataFrame([("variance", round(found.variance, 6))], "item string, value double"))
 
 
+@query(
+    "shared_neighbours",
+    f"""WITH {K_SQL}, li AS (SELECT a, list(b) l FROM nn WHERE rn <= 10 GROUP BY a), pr AS (SELECT DISTINCT least(a, b) a, greatest(a, b) b FROM nn WHERE rn <= 10),
+ sh AS (SELECT pr.a, pr.b, len(list_intersect(u.l, w.l)) shared, len(u.l) + len(w.l) total FROM pr JOIN li u ON u.a = pr.a JOIN li w ON w.a = pr.b) SELECT a, b, shared, round(shared / (total - shared)::double, 9) weight FROM sh WHERE shared >= 1""",
+)
+def _(spark, sf):
+    return shared_neighbours(nearest(points(spark, sf), 10)).withColumn("weight", F.round("weight", 9))
+
+
+@query("cell_communities")
+def _(spark, sf):
+    cells = points(spark, sf)
+    return communities(shared_neighbours(nearest(cells, 10)), cells, resolution=0.4).members
+
+
+@query(
+    "gini_markers",
+    f"""WITH {P_SQL}, {N_SQL}, cz AS (SELECT cell_type "cluster", count(*) n FROM p GROUP BY ALL), tt AS (SELECT count(*) al FROM p), cv AS (SELECT cell_type "cluster", gene, sum(v) s, count(*)::double d FROM nx JOIN p USING (cell_id) WHERE v > 0 GROUP BY ALL),
+ gv AS (SELECT gene, sum(s) ts, sum(d) td FROM cv GROUP BY gene), mm AS (SELECT "cluster", gene, s / n mi, greatest(ts - s, 0) / (al - n) mo, d / n si, (td - d) / (al - n) so FROM cv JOIN gv USING (gene) JOIN cz USING ("cluster"), tt),
+ sc AS (SELECT *, round(greatest(mi - mo, 0) / (mi + mo) * (greatest(si - so, 0) / (si + so)), 9) score FROM mm)
+ SELECT "cluster", gene, round(mi, 7) mean_in, round(mo, 7) mean_out, round(si, 9) share_in, round(so, 9) share_out, round(score, 7) score, row_number() OVER (PARTITION BY "cluster" ORDER BY score DESC, gene) "rank" FROM sc""",
+)
+def _(spark, sf):
+    found = gini_markers(normalised(quality_filtered(expression(spark, sf))), points(spark, sf).select("cell_id", F.col("cell_type").alias("cluster")))
+    return found.withColumns({c: F.round(c, 7 if c[:5] in ("mean_", "score") else 9) for c in ("mean_in", "mean_out", "share_in", "share_out", "score")})
+
+
 @query("bh_adjust", f"SELECT o_orderkey, round(p_adj, 12) p_adj FROM {bh('(SELECT o_orderkey, o_totalprice / 1000000.0 p FROM orders)', 'p', 'p_adj')}")
 def _(spark, sf):
     o = read(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000000.0).alias("p"))

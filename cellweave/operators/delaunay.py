@@ -18,8 +18,8 @@ TURN_BOUND, CIRCLE_BOUND = 3.4e-16, 1.2e-15
 def delaunay_edges(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Index pairs (i < j) of the Delaunay triangulation; coincident points are connected to the first of them.
 
-    Fewer than three distinct points, or points on one line, give the path along them. Of cocircular points one of the
-    triangulations is taken.
+    Fewer than three distinct points, or points on one line, give the path along them. Of four points on one circle the
+    smallest by (x, y) is taken to lie a little outside, so any set that holds them all is triangulated alike there.
     """
     points = np.column_stack([x, y]).astype(float)
     distinct, first, inverse = np.unique(points, axis=0, return_index=True, return_inverse=True)
@@ -116,7 +116,13 @@ class Triangulation:
             return value > 0
         (ax, ay), (bx, by), (cx, cy), (dx, dy) = self._whole(a, b, c, d)
         ax, ay, bx, by, cx, cy = ax - dx, ay - dy, bx - dx, by - dy, cx - dx, cy - dy
-        return (ax * ax + ay * ay) * (bx * cy - by * cx) + (bx * bx + by * by) * (cx * ay - cy * ax) + (cx * cx + cy * cy) * (ax * by - ay * bx) > 0
+        exact = (ax * ax + ay * ay) * (bx * cy - by * cx) + (bx * bx + by * by) * (cx * ay - cy * ax) + (cx * cx + cy * cy) * (ax * by - ay * bx)
+        if exact:
+            return exact > 0
+        # four points on one circle: the first of them is taken to lie a little outside the circle of the others
+        lowest = min(a, b, c, d)
+        others = {a: (d, b, c), b: (d, c, a), c: (d, a, b)}
+        return lowest != d and self._turn(*others[lowest]) > 0
 
     def _conflicts(self, u: int, v: int, w: int, k: int) -> bool:
         """Whether point k does away with triangle u, v, w; a triangle at infinity goes if k sees its edge or is on it."""

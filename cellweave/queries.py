@@ -21,6 +21,7 @@ from cellweave.operators.compare import compare_motifs, motifs_by_sample
 from cellweave.operators.enrichment import motif_enrichment, motif_enrichment_store, motif_enrichment_stream, test_motif_enrichment
 from cellweave.operators.genes import associate_genes
 from cellweave.operators.ingest import normalised, principal_components, quality_filtered
+from cellweave.operators.tiles import tiled_delaunay
 from cellweave.plans.grid import nearest
 from cellweave.plans.lineage import checkpointed, scratch
 from cellweave.plans.ranks import ranked_in_lanes
@@ -127,6 +128,13 @@ def _(spark, sf):
     return graph(spark, sf, "delaunay").edges.select("source", "target", F.round("distance", 9).alias("distance"))
 
 
+@query("edges_delaunay_tiles", f"WITH {D_SQL} SELECT source, target, round(d, 9) distance FROM de")
+def _(spark, sf):
+    """The same by tiles of at most 100 points, so that small tables have rounds too."""
+    found = tiled_delaunay(points(spark, sf), capacity=100)
+    return found.select(F.col("a").alias("source"), F.col("b").alias("target"), F.round("distance", 9).alias("distance"))
+
+
 @query(
     "canonicalize_edges",
     """WITH raw AS (SELECT cast(l_partkey AS varchar) a, cast(l_suppkey AS varchar) b, l_quantity d FROM lineitem), o AS (SELECT least(a, b) source, greatest(a, b) target, d FROM raw WHERE a <> b)

@@ -5,8 +5,9 @@ dealt by hash into buckets (a row per block and bucket), and the positions as a
 numbers (one body row). The bucket rows of all blocks are shuffled by bucket, where each distinct word is
 encoded once, and its ids go back to the blocks that hold it. Bodies and ids then meet by block and documents
 are reassembled by position. A word that makes up a third of all tokens is one entry per block. A block's size
-is bounded (a single longer text is a block of its own), and a bucket takes the blocks of some `GROUP_BYTES` of input,
-as Spark estimates its size, so no task collects an unbounded group; a word is encoded once for each such group.
+is bounded (a single longer text is a block of its own), and there is a bucket for every `BUCKET_BYTES` of input, as Spark
+estimates its size (at least 64), so a bucket's share of all blocks' words stays as large as it is however much the input
+grows. All blocks that hold a word send it to the same bucket: over the whole table it is encoded once.
 
 Decoding joins ids with the token-byte table. That table has one entry per vocabulary id (its size is fixed by
 the vocabulary file, not by the corpus); every task holds it as two arrays and gathers from them.
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -30,13 +30,14 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cellweave.llm.common import staged, table, text_or_empty
 
 BLOCK_CHARS = 16 << 20
-BUCKETS = 64
-GROUP_BYTES = 4 << 30
+LEAST_BUCKETS = 64
+BUCKET_BYTES = 64 << 20
 
 
 @cache
@@ -137,7 +138,23 @@ def unpack_words(data: bytes) -> list[bytes]:
     return [text[a:b] for a, b in zip([0, *ends], ends)]
 
 
-BLOCK_ROWS = "block long, grp int, bucket int, data binary"
+def arrow_type(docs: DataFrame) -> pa.DataType:
+    return to_arrow_schema(docs.select("doc_id").schema).field(0).type
+
+
+def pack_ids(ids: list, kind: pa.DataType) -> bytes:
+    """Document ids of any type, as an Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("doc_id", kind)])) as out:
+        out.write_batch(pa.record_batch([pa.array(ids, kind)], names=["doc_id"]))
+    return squeezed(sink.getvalue().to_pybytes())
+
+
+def unpack_ids(data: bytes) -> pa.ChunkedArray:
+    return pa.ipc.open_stream(unsqueezed(data)).read_all().column(0)
+
+
+BLOCK_ROWS = "block long, bucket long, data binary"
 
 
 def explode_blocks(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -146,7 +163,9 @@ def explode_blocks(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS
     The body holds the ids, the token counts, the stream of word numbers and the bucket of each word.
     """
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    groups = max(1, min(docs.rdd.getNumPartitions(), -(-size // GROUP_BYTES)))
+    # an estimate may be far too large behind joins; a partition read from files holds at most some two buckets' bytes
+    n_buckets = max(LEAST_BUCKETS, min(2 * docs.rdd.getNumPartitions(), -(-size // BUCKET_BYTES)))
+    kind = arrow_type(docs)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -163,18 +182,17 @@ def explode_blocks(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS
             rank[order] = np.arange(len(words), dtype=np.uint32)
             listed = list(words)
             listed = [listed[i] for i in order.tolist()]
-            by_bucket: list[list[str]] = [[] for _ in range(BUCKETS)]
-            buckets = np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in listed), np.uint8, len(listed))
+            by_bucket: dict[int, list[str]] = {}
+            buckets = np.fromiter((zlib.crc32(w.encode()) % n_buckets for w in listed), np.uint32, len(listed))
             for w, k in zip(listed, buckets.tolist()):
-                by_bucket[k].append(w)
-            body = framed(json.dumps(ids).encode(), packed(np.array(counts, np.uint32)), *pack_stream(rank[stream]), squeezed(buckets.tobytes()))
-            rows = [(-1, body), *((k, pack_words(x)) for k, x in enumerate(by_bucket) if x)]
+                by_bucket.setdefault(k, []).append(w)
+            body = framed(pack_ids(ids, kind), packed(np.array(counts, np.uint32)), *pack_stream(rank[stream]), packed(buckets))
+            rows = [(-1, body), *((k, pack_words(by_bucket[k])) for k in sorted(by_bucket))]
             n = len(rows)
             return pa.record_batch(
                 {
                     "block": pa.array([(part << 24) + seq] * n, pa.int64()),
-                    "grp": pa.array([part % groups] * n, pa.int32()),
-                    "bucket": pa.array([k for k, _ in rows], pa.int32()),
+                    "bucket": pa.array([k for k, _ in rows], pa.int64()),
                     "data": pa.array([x for _, x in rows], pa.binary()),
                 }
             )
@@ -208,7 +226,7 @@ def encode_buckets(words: DataFrame, path: str, pattern: str) -> DataFrame:
             out.append(framed(packed(lengths), packed(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))))
         return frame.assign(data=out)
 
-    return words.groupBy("grp", "bucket").applyInPandas(run, BLOCK_ROWS)
+    return words.groupBy("bucket").applyInPandas(run, BLOCK_ROWS)
 
 
 def encoded_blocks(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -219,9 +237,7 @@ def encoded_blocks(docs: DataFrame, path: str, pattern: str, block_chars: int =
 
 def reassembled(blocks: DataFrame, each, schema: str) -> DataFrame:
     """each(ids) -> columns after doc_id, for every document of every block whose words' ids have come back."""
-    names = [x.split()[0] for x in schema.split(",")]
-    whole = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}
-    kind = whole.get(schema.split(",")[0].split()[1], pa.string())
+    names = StructType.fromDDL(schema).names
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("bucket")
@@ -231,7 +247,7 @@ def reassembled(blocks: DataFrame, each, schema: str) -> DataFrame:
         none = [np.zeros(0, np.uint32)]
         sizes = np.concatenate([unpacked(x) for x, _ in coded] or none).astype(np.int64)
         pool = np.concatenate([unpacked(x) for _, x in coded] or none)
-        order = np.argsort(np.frombuffer(unsqueezed(buckets), np.uint8), kind="stable")
+        order = np.argsort(unpacked(buckets), kind="stable")
         lengths, starts = np.empty_like(sizes), np.empty_like(sizes)
         lengths[order], starts[order] = sizes, np.cumsum(sizes) - sizes
         stream, at, done = unpack_stream(short, rest), 0, []
@@ -239,7 +255,7 @@ def reassembled(blocks: DataFrame, each, schema: str) -> DataFrame:
             own = stream[at : at + n]
             at += n
             done.append(each(gathered(pool, starts[own], lengths[own])))
-        return pa.table([pa.array(json.loads(ids), kind), *map(pa.array, zip(*done))], names=names)
+        return pa.table([unpack_ids(ids), *map(pa.array, zip(*done))], names=names)
 
     return blocks.groupBy("block").applyInArrow(run, schema)
 

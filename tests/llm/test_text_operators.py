@@ -152,6 +152,26 @@ def test_byte_bpe(docs, odd_texts):
     assert bpe.encode(d.limit(0), BYTE, tokenizers_.PATTERN).count() == 0
 
 
+def test_a_word_is_encoded_once(spark, monkeypatch):
+    """However many blocks, partitions and buckets there are, a word goes to one bucket; and ids may have any type."""
+    monkeypatch.setattr(bpe, "BUCKET_BYTES", 1)
+    texts = [" ".join(f"w{(i * j) % 97}" for j in range(60)) for i in range(200)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(50)
+    rows = bpe.explode_blocks(d, tokenizers_.PATTERN, 100).where("bucket >= 0").collect()
+    homes = collections.defaultdict(set)
+    for r in rows:
+        for w in bpe.unpack_words(r["data"]):
+            homes[w].add(r["bucket"])
+    assert all(len(x) == 1 for x in homes.values()) and max(r["bucket"] for r in rows) >= bpe.LEAST_BUCKETS
+    want = sorted(r.ids for r in bpe.encode(d, BYTE, tokenizers_.PATTERN).collect())
+    for kind in ("date_add(date'2020-01-01', cast(doc_id as int))", "cast(doc_id as decimal(20, 2))", "named_struct('n', doc_id)", "cast(doc_id as string)"):
+        named = d.selectExpr(f"{kind} doc_id", "text")
+        found = bpe.encode(named, BYTE, tokenizers_.PATTERN, 100)
+        assert found.schema["doc_id"].dataType == named.schema["doc_id"].dataType
+        rows = found.collect()
+        assert len({str(r.doc_id) for r in rows}) == 200 and sorted(r.ids for r in rows) == want
+
+
 def test_packed_numbers():
     for n in (0, 1, 1000):
         x = np.random.default_rng(n).integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)

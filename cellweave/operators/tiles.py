@@ -25,6 +25,8 @@ from cellweave.operators.delaunay import FAR, Triangulation
 from cellweave.plans.lineage import cached, checkpointed
 
 CAPACITY = 20000
+#: a task gets the tiles of some so many points; these are little data but much work, so tasks aren't merged by bytes
+TASK_POINTS = 5000
 #: the points around a tile that it sees, in sides
 MARGIN = 0.25
 #: the finest grid has 2^DEEPEST tiles a side
@@ -101,7 +103,7 @@ def final_edges(points: np.ndarray, rim: set[tuple[int, int]] | None, place: tup
     return np.concatenate([kept[:, [0, 1]], kept[:, [1, 2]], kept[:, [2, 0]]])
 
 
-def _round(left: DataFrame, keys: tuple[str, ...], low: tuple[float, float], side: float, tiles: int) -> DataFrame:
+def _round(left: DataFrame, keys: tuple[str, ...], low: tuple[float, float], side: float, tiles: int, tasks: int) -> DataFrame:
     """(*keys, u, v, ux, uy, vx, vy): the edges of the round's final triangles, each with its triangle on the left."""
     kinds = dict(left.dtypes)
 
@@ -120,7 +122,8 @@ def _round(left: DataFrame, keys: tuple[str, ...], low: tuple[float, float], sid
         return pd.DataFrame({**own, "u": ids[e[:, 0]], "v": ids[e[:, 1]], "ux": ux, "uy": uy, "vx": vx, "vy": vy})
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "u string, v string, ux double, uy double, vx double, vy double"])
-    return _with_surroundings(left, low, side, tiles).groupBy(*keys, "ti", "tj").applyInPandas(run, schema)
+    by_tile = [*keys, "ti", "tj"]
+    return _with_surroundings(left, low, side, tiles).repartition(tasks, *by_tile).groupBy(*by_tile).applyInPandas(run, schema)
 
 
 def _equal(names: tuple[str, ...]):
@@ -164,24 +167,28 @@ def tiled_delaunay(points: DataFrame, keys: tuple[str, ...] = (), capacity: int
     # a little more than the points take up, so that none lies on the far side of the last tile
     extent = max((box[2] or 0.0) - low[0], (box[3] or 0.0) - low[1]) * (1 + 1e-9) or 1.0
 
-    def densest(frame: DataFrame, depth: int) -> int:
+    def sizes(frame: DataFrame, depth: int) -> tuple[int, int]:
+        """Points of the densest tile, and of all."""
         numbers = [_tile(c, least, extent / 2**depth, 2**depth)[1] for c, least in zip("xy", low)]
-        return frame.groupBy(*keys, *numbers).count().agg(F.max("count")).first()[0] or 0
+        most, every = frame.groupBy(*keys, *numbers).count().agg(F.max("count"), F.sum("count")).first()
+        return most or 0, every or 0
 
-    depth = 0
-    while depth < DEEPEST and (crowd := densest(sites, depth)) > capacity:
+    depth, (crowd, every) = 0, sizes(sites, 0)
+    while crowd > capacity and depth < DEEPEST:
         depth = min(DEEPEST, depth + max(1, math.ceil(math.log(crowd / capacity, 4))))
+        crowd, _ = sizes(sites, depth)
     nothing = F.array().cast("array<double>")
     left, rim, parts = sites.drop("__n").withColumns({"out_x": nothing, "out_y": nothing, "fresh": F.lit(True)}), None, []
     while True:
-        finals = _round(left, keys, low, extent / 2**depth, 2**depth)
+        finals = _round(left, keys, low, extent / 2**depth, 2**depth, every // TASK_POINTS + 1)
         if not depth:
             parts.append(finals)
             break
         finals = checkpointed(finals)
         parts.append(finals)
         left, rim = _remaining(left, finals, rim, keys)
-        depth = 0 if densest(left, 0) <= capacity else max(depth - 2, 0)
+        crowd, every = sizes(left, 0)
+        depth = 0 if crowd <= capacity else max(depth - 2, 0)
     found = reduce(DataFrame.unionByName, parts)
     length = F.hypot(F.col("ux") - F.col("vx"), F.col("uy") - F.col("vy"))
     edges = found.select(*keys, F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), length.alias("distance")).dropDuplicates([*keys, "a", "b"])

@@ -5,7 +5,8 @@ whose circle lies within a tile and its surroundings is a triangle of the whole
 circle's centre gives it out. A point that final triangles surround is done. The others, with the edges that have a final
 triangle on one side only, go into a round of tiles of four times the side: there a triangle is final if its circle
 fits and final triangles lead to it from such an edge, for then it belongs to what isn't covered yet. One tile ends
-the rounds. The first tiles are so fine that none has more than `capacity` points, however the points cluster.
+the rounds. The first tiles are so fine that none has more than `capacity` points, down to a millionth of the
+extent.
 
 What is left for the last tile is the hull, the rims of large holes and long thin triangles along them. Points on one circle
 or line, all of which belong there, still meet in one task.

@@ -83,6 +83,27 @@ def test_negatives_query_without_rows_or_anchors(spark, tmp_path):
     assert QUERIES["op11_block_negatives"](spark, f"{tmp_path}/a").collect() == QUERIES["op11_block_negatives"](spark, f"{tmp_path}/b").collect() == []
 
 
+@pytest.mark.parametrize("shape", [{"held": 1, "anchors": 3, "rows": 11, "width": 5, "cells": 9}, {"cells": 1, "rows": 1}])
+def test_negatives_of_a_grid_of_cells(spark, shape):
+    rows = [r for r in vectors(random.Random(8), 420, 8) if r[0] is not None]
+    df = spark.createDataFrame(rows, "id long, label int, embedding array<float>")
+    rows = [(r.id, r.label, r.embedding) for r in df.collect()]
+    other = df.withColumn("label", F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    found = hard_negatives.mined(hard_negatives.usable(other), F.col("id") % 100 == 0, hard_negatives.Params(**shape))
+    assert sorted(map(tuple, found.collect())) == plain_negatives(rows)
+
+
+def test_products_of_pairs_are_not_shuffled(spark):
+    """2000 anchors and 8000 rows are 16 million pairs, 128 MB as whole numbers."""
+    shuffled = lambda: sum(x.totalShuffleWrite() for x in [spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)).get(0)])
+    q = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.pmod(F.xxhash64("id", k), F.lit(200)))
+    rows = spark.range(8000).select("id", (F.col("id") % 10).alias("label"), q.alias("q"))
+    before = shuffled()
+    assert hard_negatives.mined(rows, F.col("id") % 4 == 1).count() > 2000
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30000)
+    assert shuffled() - before < 40 << 20
+
+
 # ---- Merkle manifest ---------------------------------------------------------------------------------------------
 
 

@@ -461,10 +461,15 @@ S_SQL = f"""li AS (SELECT DISTINCT l_orderkey o, l_partkey k FROM lineitem), se
  p AS (SELECT lpad(cast(p_partkey AS varchar), 19, '0') cell_id, p_brand cell_type FROM part), e AS (SELECT lpad(cast(f AS varchar), 19, '0') source, lpad(cast(t AS varchar), 19, '0') target, a.cell_type sc, b.cell_type tc FROM se JOIN p a ON a.cell_id = lpad(cast(f AS varchar), 19, '0') JOIN p b ON b.cell_id = lpad(cast(t AS varchar), 19, '0'))"""
 
 
-def purchases(spark, sf) -> DataFrame:
-    li = read(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
+def bought_together(spark, sf) -> DataFrame:
+    """Pairs of parts, one for each order that has both; an order's lines are dealt once."""
+    li = read(spark, sf, "lineitem").select("l_orderkey", "l_partkey").repartition("l_orderkey").distinct()
     left, right = li.toDF("o", "from_id"), li.toDF("o", "to_id")
-    return left.join(right, "o").where("from_id < to_id").select("from_id", "to_id").distinct()
+    return left.join(right, "o").where("from_id < to_id").select("from_id", "to_id")
+
+
+def purchases(spark, sf) -> DataFrame:
+    return bought_together(spark, sf).distinct()
 
 
 def brands(spark, sf) -> DataFrame:
@@ -585,7 +590,7 @@ def _(spark, sf):
 @query("edge_store_catalog3", f"""WITH {S_SQL}, {ADJ_SQL}, ek AS (SELECT source, target FROM e), tp AS (SELECT l.b b, l.x a, r.x c, k.source IS NOT NULL closed FROM adj l JOIN adj r ON l.b = r.b AND l.x < r.x LEFT JOIN ek k ON k.source = l.x AND k.target = r.x)
  SELECT CASE WHEN closed THEN 'size3_closed' ELSE 'size3_open' END motif_id, count(*) \"count\" FROM tp WHERE NOT closed OR b < a GROUP BY ALL""")
 def _(spark, sf):
-    sg = integer_graph(brands(spark, sf), purchases(spark, sf))
+    sg = integer_graph(brands(spark, sf), bought_together(spark, sf))
     return M.find_motifs(sg, 3, colored=False).catalog.select("motif_id", "count")
 
 

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.stats import with_bh
 from cellweave.graph import SpatialGraph
-from cellweave.operators import counting
+from cellweave.operators import counting, triangles
 from cellweave.operators import motifs as M
 from cellweave.operators.compare import motifs_by_sample
 from cellweave.plans import ranks
+from cellweave.sources.graph_io import integer_graph
 from tests.fixtures import NODES, small_graph
 
 
@@ -126,3 +127,34 @@ def test_ranks_in_ranges(spark):
     for g in (0, 1):
         own = sorted(r.v for r in rows if r.g == g)
         assert {r.v: r.r for r in rows if r.g == g} == {v: i for i, v in enumerate(own, 1)}
+
+
+@pytest.mark.parametrize("cell", [triangles.CELL, 1500, 150])
+def test_a_store_without_colors_is_counted_by_cells(spark, monkeypatch, cell):
+    """One part, some and many; edges are repeated, turned, loops, or end in no node."""
+    monkeypatch.setattr(triangles, "CELL", cell)
+    rng = random.Random(4)
+    ids = [-(2**62), 2**62, *range(-5, 90)]
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(1200)] + [(7, i) for i in range(90)] + [(5, 5), (3, 1000), (1000, 4), (None, 3)]
+    edges = {(min(e), max(e)) for e in pairs if None not in e and 1000 not in e and e[0] != e[1]}
+    near = {i: {a + b - i for a, b in edges if i in (a, b)} for i in ids}
+    closed = sum(len(near[a] & near[b]) for a, b in edges) // 3
+    paths = sum(len(x) * (len(x) - 1) // 2 for x in near.values())
+    nodes = spark.createDataFrame([(i, "a") for i in ids], "int_id long, cell_type string")
+    sg = integer_graph(nodes, spark.createDataFrame(pairs, "from_id long, to_id long"))
+    found = {r.motif_id: r["count"] for r in M.find_motifs(sg, 3, colored=False).catalog.collect()}
+    assert found == {"size3_closed": closed, "size3_open": paths - 3 * closed}
+    assert M.find_motifs(integer_graph(nodes, spark.createDataFrame([], "from_id long, to_id long")), 3, colored=False).catalog.collect() == []
+
+
+def test_pairs_of_neighbours_of_a_store_are_not_shuffled(spark):
+    """All pairs of 600 nodes: 36 million triangles, half as many pairs of neighbours beyond each node."""
+    shuffled = lambda: spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)).get(0).totalShuffleWrite()
+    n = 600
+    nodes = spark.range(n).select(F.col("id").alias("int_id"), F.lit("a").alias("cell_type"))
+    edges = spark.range(n).select(F.col("id").alias("from_id"), F.explode(F.sequence(F.col("id"), F.lit(n - 1))).alias("to_id"))
+    before = shuffled()
+    found = {r.motif_id: r["count"] for r in M.find_motifs(integer_graph(nodes, edges), 3, colored=False).catalog.collect()}
+    assert found == {"size3_closed": n * (n - 1) * (n - 2) // 6}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30000)
+    assert shuffled() - before < 8 << 20

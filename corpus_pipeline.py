@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cellweave.llm import line_crf, near_dedup, packing, quality_rules
-from cellweave.llm.common import ROW_GROUP, delete, table
+from cellweave.llm.common import ROW_GROUP, delete, small_scans, table
 from cellweave.plans.lineage import scratch
 
 
@@ -47,7 +47,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, base, last = table(spark, sf_dir, "documents"), scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
-        out.write.option("parquet.block.size", ROW_GROUP).parquet(f"{base}/{name}")
+        with small_scans(spark):
+            out.write.option("parquet.block.size", ROW_GROUP).parquet(f"{base}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{base}/{name}")
         if last:
             delete(spark, f"{base}/{last}")

@@ -34,9 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm.bpe import gathered, squeezed, unsqueezed
-from cellweave.llm.common import chunks, free_memory, staged, table, text_or_empty
+from cellweave.llm.common import ROW_GROUP, chunks, free_memory, small_scans, staged, table, text_or_empty
 
 LANES = 512
+#: texts whose ids are put together at a time
+RUN = 64
 
 
 @dataclass(frozen=True)
@@ -191,12 +193,18 @@ class WordTokenizer:
         marked = pc.and_(pc.equal(pc.subtract(pc.utf8_length(low), pc.utf8_length(word)), 1), pc.utf8_is_alpha(pc.utf8_slice_codeunits(word, -1)))
         words = pc.if_else(marked, word, low).dictionary_encode()
         marks = pc.if_else(marked, pc.utf8_slice_codeunits(low, -1), "").dictionary_encode()
+        places = cut.offsets.to_numpy()
+        del cut, low, word, marked
         ids, begin, count = self._encoded(pa.concat_arrays([words.dictionary, marks.dictionary]))
-        at = np.empty(2 * len(low), np.int64)
-        at[::2], at[1::2] = words.indices.to_numpy(), marks.indices.to_numpy() + np.int64(len(words.dictionary))
-        count = count[at]
-        flat, ends = gathered(ids, begin[at], count), np.append(0, np.cumsum(count))[2 * cut.offsets.to_numpy()]
-        return [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        words, marks, out = words.indices.to_numpy(), marks.indices.to_numpy() + np.int64(len(words.dictionary)), []
+        for k in range(0, len(texts), RUN):
+            own = places[k : k + RUN + 1]
+            at = np.empty(2 * (own[-1] - own[0]), np.int64)
+            at[::2], at[1::2] = words[own[0] : own[-1]], marks[own[0] : own[-1]]
+            n = count[at]
+            flat, ends = gathered(ids, begin[at], n), np.append(0, np.cumsum(n))[2 * (own - own[0])]
+            out += [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        return out
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
@@ -222,7 +230,7 @@ def _unpack_ids(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(unsqueezed(data), np.uint8).reshape(2, -1).T).view(np.uint16).ravel()
 
 
-def tokenized(docs: DataFrame, path: str, params: Params = Params(), chunk: int = 1 << 22) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, params: Params = Params(), chunk: int = 1 << 21) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, row, n, topic, ids, lane, df): a row per document, and one with df per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +378,8 @@ NUMBERS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
 
 def packed(docs: DataFrame, path: str, params: Params = Params(), with_ids: bool = False) -> DataFrame:
     """docs(doc_id, text) -> a row per piece: doc_id, where it starts in the document, where it stands in its sequence."""
-    tokens = staged(tokenized(docs, path, params), "tokens")
+    with small_scans(docs.sparkSession):
+        tokens = staged(tokenized(docs, path, params), "tokens", ROW_GROUP)
     df, n, total = corpus_counts(tokens)
     documents = tokens.where("df IS NULL")
     size = F.sum(F.col("n") + params.doc_tokens)

@@ -21,8 +21,10 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
-    return near_dedup.deduplicated(docs)
+    """One document of each class of near duplicates stays. Pairs of texts go to Python workers few at a time: what workers
+    and executors took for large batches would count against the next stage too."""
+    with small_scans(spark):
+        return near_dedup.deduplicated(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
-"""The pipeline's first stage where eight tasks share the smallest heap that Spark takes."""
+"""The pipeline's first stage where eight tasks share the smallest heap that Spark takes, and the Python worker of its last."""
 
 import os
+import random
 import subprocess
 import sys
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from cellweave.llm import common
 
@@ -42,3 +44,59 @@ def test_the_sessions_batches_come_back(spark):
     with common.small_scans(spark):
         assert int(spark.conf.get(common.SCAN_KEY)) <= 256
     assert spark.conf.get(common.SCAN_KEY) == before
+
+
+@pytest.mark.parametrize("own, inside", [("10000", 1000), ("50", 50), ("0", 1000)])
+def test_workers_get_small_batches(spark, own, inside):
+    before = spark.conf.get(common.ARROW_KEY)
+    spark.conf.set(common.ARROW_KEY, own)
+    try:
+        with common.small_scans(spark):
+            assert int(spark.conf.get(common.ARROW_KEY)) == inside
+        assert spark.conf.get(common.ARROW_KEY) == own
+    finally:
+        spark.conf.set(common.ARROW_KEY, before)
+
+
+PACK = """
+import os, re, sys
+import public_tokenizers
+from pyspark.sql import SparkSession
+from cellweave.llm import common, packing
+at = sys.argv[1]
+conf = {"spark.driver.memory": "1g", "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.checkpoint.dir": f"file://{at}/shared", "spark.local.dir": f"{at}/local"}
+spark = SparkSession.builder.master("local[1]").config(map=conf).getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+pieces = packing.packed(common.table(spark, at, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+def parents(pid):
+    while pid > 1:
+        yield pid
+        try:
+            pid = int(re.search(r"PPid:\\s+(\\d+)", open(f"/proc/{pid}/status").read())[1])
+        except OSError:
+            return
+
+def peak(pid):
+    try:
+        ours = b"pyspark.daemon" in open(f"/proc/{pid}/cmdline", "rb").read() and os.getpid() in parents(pid)
+        return int(re.search(r"VmHWM:\\s+(\\d+)", open(f"/proc/{pid}/status").read())[1]) >> 10 if ours else 0
+    except (OSError, TypeError):
+        return 0
+
+print("PEAK", max(peak(int(p)) for p in os.listdir("/proc") if p.isdigit()))
+print("PACKED", pieces.select("doc_id").distinct().count())
+"""
+
+
+def test_a_packing_worker_stays_small(tmp_path):
+    """10000 texts of 8 kB, which Spark hands to a worker at once by default, are 80 MB."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(5000)]
+    lines = [" ".join(rng.choices(words, k=100)) for _ in range(500)]
+    own = pa.table({"doc_id": pa.array(range(10_000), pa.int64()), "text": ["\n".join(rng.choices(lines, k=12)) for _ in range(10_000)]})
+    pq.write_table(own, tmp_path / "documents.parquet", compression="zstd", use_dictionary=False)
+    env = os.environ | {"PYTHONPATH": f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"}
+    done = subprocess.run([sys.executable, "-c", PACK, str(tmp_path)], env=env, capture_output=True, text=True, timeout=600)
+    assert "PACKED 10000" in done.stdout, done.stderr[-2000:]
+    assert 0 < int(done.stdout.split("PEAK ")[1].split()[0]) < 300, done.stdout
